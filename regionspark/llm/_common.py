@@ -69,7 +69,7 @@ def size_hint(df: DataFrame) -> int:
 
     Only partition counts and packing widths follow it, never which rows count.
     """
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(max(n, 1 << 20), 1 << 50)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, tokenbin
+from . import mixing, recompression, simhash, tokenbin
 from ._common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.tokenize_to_binary(table(spark, sf_dir, "documents"), tokenizer_file())[0]
 
@@ -33,6 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recompression": op1_recompression,
     "op5_token_binary": op5_token_binary,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
