@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, recompression, simhash, tokenbin
+from . import decontam, mixing, recompression, simhash, tokenbin
 from ._common import table
 
 
@@ -27,6 +27,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.tokenize_to_binary(table(spark, sf_dir, "documents"), tokenizer_file())[0]
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,6 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op5_token_binary": op5_token_binary,
+    "op6_decontamination": op6_decontamination,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }
