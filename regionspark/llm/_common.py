@@ -77,6 +77,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_memory(key: str, make):
+    """What a Python worker keeps from task to task, under a name: caches only, for a new worker starts without."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_regionspark_worker_memory", types.ModuleType("_regionspark_worker_memory")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality, recompression, simhash, tokenbin, toxicity, viterbi
+from . import ann, decontam, mixing, pii, quality, recompression, simhash, tokenbin, toxicity, viterbi
 from ._common import table
 
 
@@ -43,6 +43,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.tokenize_to_binary(table(spark, sf_dir, "documents"), tokenizer_file())[0]
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_ann": op4_ann,
     "op5_token_binary": op5_token_binary,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import pick, worker_memory
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        counter = UnigramCounter(load_pieces(model))
+        counter = worker_memory(f"unigram {model}", lambda: UnigramCounter(load_pieces(model)))
         for b in batches:
             got = [counter.count(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "n_tokens", "score"])
