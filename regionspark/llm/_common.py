@@ -64,6 +64,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a narrow table counts as proven small.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it proves to have at most `limit` rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def size_hint(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes, from file sizes; nothing is read.
 
@@ -90,7 +99,8 @@ def worker_memory(key: str, make):
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    solid = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(solid == "", F.array().cast("array<string>")).otherwise(F.split(solid, "[\\x20\\x09-\\x0D]+", -1))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, pick
+from ._common import WORD, bounded, materialize, pick
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -74,17 +74,8 @@ def _invert(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, area / start).otherwise((root - start) / slope)
 
 
-def mix_positions(docs: DataFrame, text: str = "text", seed: int = 7, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, positions.
-
-    positions holds the training position in [0, 1] of each time the document
-    is taken, at most max_epochs of them; taken is their number times size. A
-    pass over a document counts if at least half of it lies below the source's
-    target, so a source's taken words miss its target by half a document at
-    most. Null texts have size 0 and are never taken; null sources are one
-    source, the last; equal rows are told apart by nothing and share the same
-    treatment; an empty table gives no rows. Reruns agree.
-    """
+def _laid_out(docs: DataFrame, text: str, seed: int, weights, max_epochs: int, schedules, whole: bool) -> DataFrame:
+    """doc_id, source, size, source_size, target, __kept (starts of the passes taken), __a, __b and, if whole, __row."""
     base = pick(docs, "doc_id", text, "source").select("doc_id", "source", n_words(F.col(text)).alias("size"))
     base = materialize(base.withColumn("__u", F.xxhash64(F.col("doc_id"), F.lit(seed))), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("__n"))
@@ -93,43 +84,54 @@ def mix_positions(docs: DataFrame, text: str = "text", seed: int = 7, weights=WE
     starts = F.array(*[F.lit(float(a)) for a, _ in schedules])
     ends = F.array(*[F.lit(float(b)) for _, b in schedules])
     at = ((F.col("source_rank") - 1) % len(schedules) + 1).cast("int")
-    src = materialize(
-        src.select(
-            F.col("source").alias("__s"), "source_size", "target", F.col("source_rank").alias("__rank"), "__n", F.element_at(starts, at).alias("__a"), F.element_at(ends, at).alias("__b")
-        ),
-        "mix-sources",
+    src = src.select(
+        F.col("source").alias("__s"), "source_size", "target", F.col("source_rank").alias("__rank"), "__n", F.element_at(starts, at).alias("__a"), F.element_at(ends, at).alias("__b")
     )
     # sent to all executors only if proven short; beyond that a shuffle join, which AQE splits at hot sources
-    if src.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        src = F.broadcast(src)
+    src = bounded(materialize(src, "mix-sources"), MAX_BROADCAST_SOURCES)
     # 31 bits of the hash spread a source's documents over its chunks
     part = F.shiftrightunsigned("__u", 33)
     chunks = F.greatest(F.ceil(F.col("__n") / CHUNK), F.lit(1))
-    chunked = base.join(src, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__chunk", F.floor(part * chunks / F.lit(2.0**31)).cast("long"))
-    per_chunk = chunked.groupBy("__rank", "__chunk").agg(F.sum("size").alias("__sum"))
+    chunk = lambda df: df.join(src, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__chunk", F.floor(part * chunks / F.lit(2.0**31)).cast("long"))
+    per_chunk = chunk(base).groupBy("__rank", "__chunk").agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("__rank").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     base_of = per_chunk.select("__rank", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    rows = base
+    if whole:
+        flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        rows = flat.select(F.struct(*flat.columns).alias("__row"))
+        place = {n: f"c{docs.columns.index(n)}" for n in ("doc_id", text, "source")}
+        rows = rows.select("__row", F.col(f"__row.{place['doc_id']}").alias("doc_id"), F.col(f"__row.{place['source']}").alias("source"), n_words(F.col(f"__row.{place[text]}")).alias("size"))
+        rows = rows.withColumn("__u", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     inside = Window.partitionBy("__rank", "__chunk").orderBy("__u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = chunked.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base_of, ["__rank", "__chunk"])
-    first = (F.col("__in") + F.col("__base")).cast("double")
+    laid = chunk(rows).withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base_of, ["__rank", "__chunk"])
     passes = F.array(*[F.lit(float(e)) for e in range(max_epochs)])
-    starts_at = F.transform(passes, lambda e: e * F.col("source_size") + F.col("__first"))
-    kept = F.filter(starts_at, lambda c: c + F.col("size") / 2.0 <= F.col("target"))
-    laid = laid.withColumn("__first", first).withColumn("__kept", F.when(F.col("size") > 0, kept).otherwise(F.array().cast("array<double>")))
+    first = (F.col("__in") + F.col("__base")).cast("double")
+    begins = F.transform(passes, lambda e: e * F.col("source_size") + first)
+    kept = F.filter(begins, lambda c: c + F.col("size") / 2.0 <= F.col("target"))
+    kept = F.when(F.col("size") > 0, kept).otherwise(F.array().cast("array<double>"))
     share = lambda c: F.least(c / F.col("target"), F.lit(1.0))
-    return laid.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.size("__kept") * F.col("size")).cast("long").alias("taken"),
-        F.transform("__kept", lambda c: _invert(share(c), F.col("__a"), F.col("__b"))).alias("positions"),
-    )
+    return laid.withColumn("positions", F.transform(kept, lambda c: _invert(share(c), F.col("__a"), F.col("__b"))))
+
+
+def mix_positions(docs: DataFrame, text: str = "text", seed: int = 7, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, positions.
+
+    positions holds the training position in [0, 1] of each time the document
+    is taken, at most max_epochs of them; taken is their number times size. A
+    pass over a document counts if at least half of it lies below the source's
+    target, so a source's taken words miss its target by half a document at
+    most. Null texts have size 0 and are never taken; null sources are one
+    source, the last; equal rows are told apart by nothing and share the same
+    treatment; an empty table gives no rows. Reruns agree.
+    """
+    laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=False)
+    return laid.select("doc_id", "source", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions")
 
 
-def training_order(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: one row per pass over a document, range-sorted by position."""
-    mixed = mix_positions(docs, **options)
-    passes = mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("epoch", "position"))
-    return passes.orderBy("position", "doc_id", "epoch")
+def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
+    """The mix itself, with all columns of docs: a row for each pass over a document, range-sorted by position."""
+    laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=True)
+    passes = laid.select("__row", "doc_id", F.posexplode("positions").alias("__epoch", "__position"))
+    passes = passes.orderBy("__position", "doc_id", "__epoch")
+    return passes.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick, shuffle_partitions
+from ._common import bounded, materialize, pick, shuffle_partitions
 from .components import connected_components
 
 BITS = 64
@@ -232,3 +232,20 @@ def simhash_classes(docs: DataFrame, text: str = "text", width: int = 3, bits: i
     parts = connected_components(near_links(reps, bits))
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
     return all_fp.join(named, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """One document of each class stays, the one with the least doc_id, with all its columns.
+
+    Of rows that share that doc_id one stays. Rows without a doc_id stay, for
+    nothing tells them apart.
+    """
+    classes = materialize(simhash_classes(docs, text, **options), "simhash-classes")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    if not twice.isEmpty():
+        twice = bounded(materialize(twice, "simhash-twice"))
+        same = F.col("doc_id") == F.col("__twice")
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept
