@@ -14,6 +14,7 @@ a file that nothing refers to.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -26,22 +27,26 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick, scratch, shuffle_partitions
+from ._common import materialize, pick, scratch, shuffle_partitions, worker_memory
 
 MAGIC = b"TOKIDX01"
 END_ID = 2
 #: Unicode White_Space (fixed value). Byte-level pre-tokenization never joins a character
 #: before one of these to it, so a text may be cut before each run of them.
 _SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Entries of a worker's memory of encoded pieces; it starts anew when full.
-CACHE = 400_000
+CACHE = 800_000
+#: New pieces that are encoded as one text; they can be told apart again by their bytes.
+TOGETHER = 200
 
 
 class PieceEncoder:
     """Encodes whole texts with a byte-level tokenizer, each distinct piece once.
 
-    The tokenizer sees every piece of every text; only repeats are looked up.
+    The tokenizer sees every distinct piece; only repeats are looked up. Ids
+    are kept as bytes of the file's integer type.
     """
 
     def __init__(self, path: str):
@@ -49,29 +54,47 @@ class PieceEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    @property
-    def width(self) -> int:
-        return 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        # a byte-level token has a character for each of its bytes
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes[i] = len(token)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        known, kind = self.known, f"<u{self.width}"
+        # a piece of white space and then others follows any other piece without changing its ids
+        plain = [p for p in new if p[0] in _SPACES and p[-1] not in _SPACES and not any(s in p for s in self.special)]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for i in range(0, len(groups), 64):
+            part = groups[i : i + 64]
+            for g, e in zip(part, self.tokenizer.encode_batch_fast(["".join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids)
+                ends = np.cumsum(self.bytes[ids])
+                cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in g]), side="left") + 1
+                raw = ids.astype(kind).tobytes()
+                start = 0
+                for p, stop in zip(g, (cuts * self.width).tolist()):
+                    known[p] = raw[start:stop]
+                    start = stop
+        rest = list(set(new).difference(plain))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[p] = np.array(e.ids, kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
         pieces = [_PIECES.findall(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = tuple(e.ids)
-        out = []
-        for ps in pieces:
-            ids: list[int] = []
-            for p in ps:
-                ids += known[p]
-            out.append(ids)
-        return out
+        new = set(itertools.chain.from_iterable(pieces)).difference(self.known)
+        if new:
+            self._learn(list(new))
+        look = self.known.__getitem__
+        return [b"".join(map(look, ps)) for ps in pieces]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -105,24 +128,24 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer: str, text: str
     def write(batches):
         from pyspark import TaskContext
 
-        enc = PieceEncoder(tokenizer)
+        enc = worker_memory(f"pieces of {tokenizer}", lambda: PieceEncoder(tokenizer))
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
         stem = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         width = max(enc.width, 2 if end_id < 1 << 16 else 4)
+        end = np.array([end_id], f"<u{width}").tobytes()
         lengths, keys = [], []
         sink = None
         for ids, texts in _blocks(batches):
             if sink is None:
                 sink = store.open_output_stream(f"{stem}.ids")
             encoded = enc.encode(texts)
-            for e in encoded:
-                e.append(end_id)
-            lengths.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            if width != enc.width:
+                encoded = [np.frombuffer(e, f"<u{enc.width}").astype(f"<u{width}").tobytes() for e in encoded]
+            lengths.append(np.fromiter((len(e) // width + 1 for e in encoded), np.int64, len(encoded)))
             keys.append(np.array(ids, np.int64))
-            flat = np.fromiter((i for e in encoded for i in e), f"<u{width}", int(lengths[-1].sum()))
-            sink.write(flat.tobytes())
+            sink.write(end.join(encoded) + end)
         if sink is None:
             return
         sink.close()
