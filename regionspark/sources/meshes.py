@@ -138,7 +138,7 @@ def batch_meshes(requested: DataFrame, meshes: DataFrame, zipped: bool = False)
                 missing.append(i)
             else:
                 found[i] = x
-        return pa.table({"batch": [key[0].as_py()], "container": pa.array([encode_batch(found, missing, zipped)], pa.binary())})
+        return pa.table({"batch": pa.array([key[0].as_py()], key[0].type), "container": pa.array([encode_batch(found, missing, zipped)], pa.binary())})
 
     kind = requested.schema["batch"].dataType.simpleString()
     return wanted.groupBy("batch").applyInArrow(pack, f"batch {kind}, container binary")
