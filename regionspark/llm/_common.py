@@ -29,6 +29,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"__c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def carry(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and __row: all columns, out of the way of their names."""
+    cols = docs.columns
+    lower = [c.lower() for c in cols]
+    at = [cols.index(n) if n in cols else lower.index(n.lower()) for n in names]
+    flat = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    return flat.select(F.struct(*flat.columns).alias("__row"), *[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
+
+
+def unpack(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, from __row."""
+    return df.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

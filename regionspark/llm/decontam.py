@@ -16,14 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick, words
+from ._common import bounded, carry, materialize, pick, unpack, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 fingerprints differ in about 10 of 64 bits, with a deviation of 3.
 RADIUS = 20
-#: Item shingles, and documents with a shared shingle, up to which they may be broadcast.
-MAX_BROADCAST = 1_000_000
 
 
 def _shingles(w: Column, width: int) -> Column:
@@ -33,9 +31,9 @@ def _shingles(w: Column, width: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bounded(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
-    """Marked for broadcast if it proves to have at most `limit` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _split(text: Column) -> Column:
+    """The words of a text; one without words has a single empty one, too few for a shingle."""
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
 
 
 def _fingerprint(keyed: DataFrame, key: list[str], hashes: str) -> DataFrame:
@@ -89,18 +87,21 @@ def contaminated(
 
     # 1. where windows may lie: a shingle of the document at an item's shingle
     seeds = items.select("n", F.posexplode("ih").alias("q", "h")).distinct()
-    hashed = rows.select("doc_id", F.xxhash64("text").alias("stamp"), words(F.col("text")).alias("w"))
-    hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), F.posexplode(_shingles(F.col("w"), shingle)).alias("p", "h"))
-    placed = hashed.join(_bounded(seeds), "h")
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("stamp"), _split(F.col("text")).alias("w"))
+    # positions are generated and hashed inside one stage of generated code; the array of words is not copied
+    hashed = hashed.select("doc_id", "stamp", "w", F.explode(F.when(F.size("w") >= shingle, F.sequence(F.lit(0), F.size("w") - shingle))).alias("p"))
+    hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), "p", F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(shingle)]).alias("h"))
+    placed = hashed.join(bounded(seeds), "h")
     start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("nd") - F.col("n")), F.lit(0))
     windows = materialize(placed.select("doc_id", "stamp", "n", start.alias("start")).distinct(), "decon-windows")
 
     # 2. cut them from the documents that have any, and fingerprint both sides
     holders = windows.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).agg(F.collect_list(F.struct("n", "start")).alias("__at"))
-    own = rows.withColumn("stamp", F.xxhash64("text")).join(_bounded(holders), (F.col("doc_id") == F.col("__d")) & (F.col("stamp") == F.col("__s")))
-    own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", words(F.col("text")).alias("w"), F.explode("__at").alias("at"))
-    cut = own.select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), _shingles(F.slice("w", F.col("at.start") + 1, F.col("at.n")), shingle).alias("wh"))
-    cut = materialize(cut.where(F.size("wh") > 0), "decon-cut")
+    own = rows.withColumn("stamp", F.xxhash64("text")).join(bounded(holders), (F.col("doc_id") == F.col("__d")) & (F.col("stamp") == F.col("__s")))
+    own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", _split(F.col("text")).alias("w"), F.explode("__at").alias("at"))
+    # the slice is a column of its own, else it would be cut anew for every word
+    own = own.select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"))
+    cut = materialize(own.select("doc_id", "n", "start", _shingles(F.col("w"), shingle).alias("wh")), "decon-cut")
     key = ["doc_id", "n", "start"]
     window_fp = _fingerprint(cut.select(*key, F.xxhash64("wh").alias("v"), "wh"), [*key, "v"], "wh")
     item_fp = _fingerprint(items, ["item_id", "n"], "ih").withColumnRenamed("fp", "ifp").drop("m")
@@ -108,11 +109,11 @@ def contaminated(
     # 3. pairs within the radius, by blocks
     left = _blocks(window_fp, radius)
     right = _blocks(item_fp.withColumn("fp", F.col("ifp")), radius).drop("fp")
-    near = left.join(_bounded(right), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    near = left.join(bounded(right), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     near = near.select(*key, "v", "item_id").distinct()
 
     # 4. the exact similarity
-    full = near.join(cut.withColumn("v", F.xxhash64("wh")), [*key, "v"]).join(_bounded(items.select("item_id", F.col("n").alias("__n"), "ih")), ["item_id"]).where("n = __n")
+    full = near.join(cut.withColumn("v", F.xxhash64("wh")), [*key, "v"]).join(bounded(items.select("item_id", F.col("n").alias("__n"), "ih")), ["item_id"]).where("n = __n")
     full = full.withColumn("n_shared", _common(F.col("wh"), F.col("ih")).cast("long"))
     full = full.withColumn("n_all", (F.size("wh") + F.size("ih")).cast("long") - F.col("n_shared"))
     full = full.withColumn("similarity", F.col("n_shared") / F.col("n_all")).where(F.col("similarity") >= similarity)
@@ -121,6 +122,6 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that repeat no item, with all their columns."""
+    """The documents that repeat no item, with all their columns; rows without a doc_id stay."""
     bad = contaminated(docs, benchmark, text, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(_bounded(materialize(bad, "decon-bad")), F.col("doc_id") == F.col("__bad"), "left_anti")
+    return unpack(carry(docs, "doc_id").join(bounded(materialize(bad, "decon-bad")), F.col("doc_id") == F.col("__bad"), "left_anti"), docs)
