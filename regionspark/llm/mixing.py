@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, bounded, materialize, pick
+from ._common import WORD, bounded, carry, materialize, pick, unpack
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -98,10 +98,7 @@ def _laid_out(docs: DataFrame, text: str, seed: int, weights, max_epochs: int, s
     base_of = per_chunk.select("__rank", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     rows = base
     if whole:
-        flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-        rows = flat.select(F.struct(*flat.columns).alias("__row"))
-        place = {n: f"c{docs.columns.index(n)}" for n in ("doc_id", text, "source")}
-        rows = rows.select("__row", F.col(f"__row.{place['doc_id']}").alias("doc_id"), F.col(f"__row.{place['source']}").alias("source"), n_words(F.col(f"__row.{place[text]}")).alias("size"))
+        rows = carry(docs, "doc_id", text, "source").select("__row", "doc_id", "source", n_words(F.col(text)).alias("size"))
         rows = rows.withColumn("__u", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     inside = Window.partitionBy("__rank", "__chunk").orderBy("__u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = chunk(rows).withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base_of, ["__rank", "__chunk"])
@@ -134,4 +131,4 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, weights=
     laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=True)
     passes = laid.select("__row", "doc_id", F.posexplode("positions").alias("__epoch", "__position"))
     passes = passes.orderBy("__position", "doc_id", "__epoch")
-    return passes.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return unpack(passes, docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, materialize, pick
+from ._common import carry, held_out, materialize, pick, unpack
 from .textfeat import QUALITY_FEATURES, quality_features
 
 #: Most rows that either sample of the fit has.
@@ -191,4 +191,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
         x = np.array([quality_features(t or "") for t in texts], float).reshape(-1, len(QUALITY_FEATURES))
         return pd.Series(net.score(x) if net is not None else np.full(len(x), UNKNOWN))
 
-    return docs.where(score(F.col(text)) >= threshold)
+    return unpack(carry(docs, text).where(score(F.col(text)) >= threshold), docs)

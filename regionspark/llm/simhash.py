@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, materialize, pick, shuffle_partitions
+from ._common import bounded, carry, materialize, pick, shuffle_partitions, unpack
 from .components import connected_components
 
 BITS = 64
@@ -242,10 +242,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", **options) -> Data
     """
     classes = materialize(simhash_classes(docs, text, **options), "simhash-classes")
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = carry(docs, "doc_id")
+    kept = rows.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
     if not twice.isEmpty():
         twice = bounded(materialize(twice, "simhash-twice"))
         same = F.col("doc_id") == F.col("__twice")
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+        kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return unpack(kept, docs)
