@@ -35,9 +35,12 @@ END_ID = 2
 #: before one of these to it, so a text may be cut before each run of them.
 _SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
-_PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Letters that a piece may end with where white space or ASCII punctuation follows: a run of letters
+#: is never joined to either, so "word," and "word" share a piece.
+_LETTER = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
+_PIECES = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@\\[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Entries of a worker's memory of encoded pieces; it starts anew when full.
-CACHE = 800_000
+CACHE = 1_500_000
 #: New pieces that are encoded as one text; they can be told apart again by their bytes.
 TOGETHER = 200
 
