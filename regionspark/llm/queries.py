@@ -87,4 +87,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+#: The others need hashes, regular expression offsets, tokenizers or fits that SQL has not; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_recompression": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+spot AS MATERIALIZED (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM spot WHERE p + 12 <= len(ws)),
+owner AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+bad AS (SELECT doc_id, p FROM win JOIN owner USING (k) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM bad CROSS JOIN (SELECT unnest(range(0, 13)) AS j)),
+word AS (SELECT spot.doc_id, spot.p, ws[spot.p] AS x, gone.p IS NOT NULL AS out FROM spot LEFT JOIN gone ON spot.doc_id = gone.doc_id AND spot.p = gone.p),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT out) AS t FROM word GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_decontamination": f"""
+WITH iw AS (SELECT DISTINCT item_id, {_WORDS.format("lower(text)")} AS ws FROM benchmark),
+ish AS (SELECT item_id, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS q, ws FROM iw WHERE len(ws) >= 5),
+ih AS (SELECT item_id, n, q - 1 AS q, array_to_string(ws[q:q + 4], ' ') AS h FROM ish),
+dw AS (SELECT DISTINCT doc_id, {_WORDS.format("lower(text)")} AS ws FROM documents),
+dsh AS (SELECT doc_id, len(ws) AS nd, unnest(range(1, len(ws) - 3)) AS p, ws FROM dw WHERE len(ws) >= 5),
+dh AS MATERIALIZED (SELECT doc_id, nd, p - 1 AS p, array_to_string(ws[p:p + 4], ' ') AS h FROM dsh),
+win AS (SELECT DISTINCT doc_id, item_id, n, greatest(least(p - q, nd - n), 0) AS s FROM dh JOIN ih USING (h)),
+wc AS (SELECT doc_id, item_id, n, s, h, count(*) AS c FROM win JOIN dh USING (doc_id) WHERE p BETWEEN s AND s + n - 5 GROUP BY ALL),
+ic AS (SELECT item_id, h, count(*) AS c FROM ih GROUP BY ALL),
+tot AS (SELECT item_id, count(*) AS c FROM ih GROUP BY item_id),
+sim AS (SELECT wc.doc_id, wc.item_id, wc.n, wc.s, CAST(sum(least(wc.c, coalesce(ic.c, 0))) AS BIGINT) AS n_shared, CAST(sum(wc.c) + any_value(tot.c) - sum(least(wc.c, coalesce(ic.c, 0))) AS BIGINT) AS n_all
+  FROM wc LEFT JOIN ic ON wc.item_id = ic.item_id AND wc.h = ic.h JOIN tot ON wc.item_id = tot.item_id GROUP BY ALL),
+best AS (SELECT *, n_shared / n_all AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_shared / n_all DESC, s) AS k FROM sim)
+SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE k = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
+}
