@@ -134,3 +134,34 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_id") % 10 == 0, 404).when(F.col("event_id") % 7 == 0, 304).otherwise(200)
     return e.select(F.col("event_type").alias("route"), status.alias("status"), F.col("value").alias("ms"), "ts", F.col("event_id").alias("request_id"), (F.col("event_id") % 3 == 0).alias("hit"))
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level reports of made-up datasets, one per part, with flaws here and there: dataset, lod, k and their numbers."""
+    p, k = F.col("p_partkey"), F.col("k")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.array(*[F.lit(x) for x in ("high", "medium", "low")])).alias("k", "lod"))
+    flaw = lambda m, at: ((p % m == 0) & (k == at)).cast("int")
+    rows = rows.withColumn("vertices", F.floor((p % 50 + 10) * 100 / (k * (p % 4 + 1) + 1)).cast("long")).where(~((p % 29 == 0) & (k == 1)))
+    return rows.select(
+        p.alias("dataset"),
+        "lod",
+        "k",
+        (flaw(11, 1) + 5).alias("territory_count"),
+        "vertices",
+        F.when(flaw(37, 2) == 1, 0).otherwise(F.col("vertices") - 2).alias("triangles"),
+        (F.col("vertices") * 14).alias("bytes"),
+        F.lit(3).alias("source_parts"),
+        (3 - flaw(13, 0)).alias("parts"),
+        F.lit(1).alias("source_holes"),
+        (1 + flaw(17, 1)).alias("holes"),
+        ((p % 19) * 600).cast("double").alias("largest_dropped"),
+        ((p % 23) * 2500).cast("double").alias("dropped_area"),
+    )
+
+
+LEVELS_SQL = """
+lv AS (SELECT p AS dataset, lod, k, 5 + CASE WHEN p % 11 = 0 AND k = 1 THEN 1 ELSE 0 END AS territory_count, v AS vertices, CASE WHEN p % 37 = 0 AND k = 2 THEN 0 ELSE v - 2 END AS triangles, v * 14 AS bytes,
+  3 AS source_parts, 3 - CASE WHEN p % 13 = 0 AND k = 0 THEN 1 ELSE 0 END AS parts, 1 AS source_holes, 1 + CASE WHEN p % 17 = 0 AND k = 1 THEN 1 ELSE 0 END AS holes,
+  CAST((p % 19) * 600 AS DOUBLE) AS largest_dropped, CAST((p % 23) * 2500 AS DOUBLE) AS dropped_area
+  FROM (SELECT p_partkey AS p, k, lod, CAST(((p_partkey % 50 + 10) * 100) // (k * (p_partkey % 4 + 1) + 1) AS BIGINT) AS v FROM part CROSS JOIN (VALUES (0, 'high'), (1, 'medium'), (2, 'low')) t(k, lod)) WHERE NOT (p % 29 = 0 AND k = 1))
+"""

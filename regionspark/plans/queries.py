@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import projection as P
 from ..functions import requests as Q
 from ..functions import rings as R
-from ..operators import account, edges, grid, ledger, mesh, metrics, paging, publish
+from ..operators import account, edges, grid, ledger, mesh, metrics, paging, publish, service, validate
 from ..sources import meshes
 from ..streaming import viewport
 from . import fixtures as fx
@@ -581,3 +581,108 @@ def polygon_overlaps(spark, d):
     t = mesh.triangulate(_parts_of(r))
     o = mesh.triangle_overlaps(t, t, 0.5).where("l_territory < r_territory")
     return o.select(F.col("l_territory").alias("left"), F.col("r_territory").alias("right"), F.floor(F.col("area") * 1_000_000 + 0.5).cast("long").alias("area_micro"))
+
+
+_WHOLE = "whole AS (SELECT dataset, max(vertices) FILTER (lod = 'high') AS vh, max(vertices) FILTER (lod = 'medium') AS vm, max(vertices) FILTER (lod = 'low') AS vl, count(DISTINCT territory_count) AS c, max(parts) FILTER (lod = 'high') AS hp FROM lv GROUP BY dataset HAVING count(DISTINCT lod) = 3)"
+
+
+@query(
+    f"""WITH {fx.LEVELS_SQL}, {_WHOLE}, bad AS (
+ SELECT dataset, NULL AS lod, 'missing_level' AS rule FROM lv GROUP BY dataset HAVING count(DISTINCT lod) < 3 UNION ALL SELECT dataset, NULL, 'territory_count' FROM whole WHERE c <> 1
+ UNION ALL SELECT dataset, NULL, 'not_coarsening' FROM whole WHERE NOT (vh > vm AND vm > vl) UNION ALL SELECT dataset, NULL, 'low_vertex_budget' FROM whole WHERE CAST(vl AS DOUBLE) / vh > CAST(0.25 AS DOUBLE)
+ UNION ALL SELECT dataset, NULL, 'high_parts' FROM whole WHERE hp <> 3 UNION ALL SELECT dataset, lod, 'invented_holes' FROM lv JOIN whole USING (dataset) WHERE holes > source_holes
+ UNION ALL SELECT dataset, lod, 'no_triangles' FROM lv JOIN whole USING (dataset) WHERE triangles <= 0 UNION ALL SELECT dataset, lod, 'dropped_part_area' FROM lv JOIN whole USING (dataset) WHERE largest_dropped > 10000
+ UNION ALL SELECT dataset, lod, 'total_dropped_area' FROM lv JOIN whole USING (dataset) WHERE dropped_area > 50000) SELECT * FROM bad"""
+)
+def report_violations(spark, d):
+    """What level reports break."""
+    return validate.ladder(fx.levels(spark, d), "dataset")
+
+
+@query(
+    f"""WITH {fx.LEVELS_SQL}, m AS (SELECT dataset, lod, vertices + CASE WHEN dataset % 7 = 0 THEN 1 ELSE 0 END AS vertices, CASE WHEN dataset % 9 = 0 THEN NULL ELSE triangles END AS triangles, bytes FROM lv WHERE dataset % 31 <> 1),
+ a AS (SELECT dataset, lod, unnest(['vertices', 'triangles', 'bytes']) AS field, unnest([CAST(vertices AS VARCHAR), CAST(triangles AS VARCHAR), CAST(bytes AS VARCHAR)]) AS stated FROM lv),
+ b AS (SELECT dataset, lod, unnest(['vertices', 'triangles', 'bytes']) AS field, unnest([CAST(vertices AS VARCHAR), CAST(triangles AS VARCHAR), CAST(bytes AS VARCHAR)]) AS built FROM m)
+ SELECT dataset, lod, field, stated, built FROM a FULL JOIN b USING (dataset, lod, field) WHERE stated IS DISTINCT FROM built"""
+)
+def report_against_build(spark, d):
+    lv = fx.levels(spark, d).select("dataset", "lod", "vertices", "triangles", "bytes")
+    k = F.col("dataset")
+    built = lv.where(k % 31 != 1).withColumns({"vertices": F.col("vertices") + F.when(k % 7 == 0, 1).otherwise(0), "triangles": F.when(k % 9 != 0, F.col("triangles"))})
+    return validate.report_matches(lv, built, ("vertices", "triangles", "bytes"), "dataset")
+
+
+@query(
+    f"WITH {fx.LEVELS_SQL}, w AS (SELECT dataset, lod, vertices, lag(vertices) OVER o AS f, first_value(vertices) OVER o AS h FROM lv WINDOW o AS (PARTITION BY dataset ORDER BY k)) SELECT dataset, lod, vertices, CAST(floor(CAST(vertices AS DOUBLE) / f * 1000000 + 0.5) AS BIGINT) AS of_finer_ppm, CAST(floor(CAST(vertices AS DOUBLE) / h * 1000000 + 0.5) AS BIGINT) AS of_high_ppm FROM w"
+)
+def vertex_ratios(spark, d):
+    ppm = lambda c: F.floor(F.col(c) * 1_000_000 + 0.5).cast("long").alias(f"{c}_ppm")
+    return validate.coarsening_steps(fx.levels(spark, d), "dataset").select("dataset", "lod", "vertices", ppm("of_finer"), ppm("of_high"))
+
+
+def _published(spark, d):
+    lv = fx.levels(spark, d).withColumn("revision_id", F.concat(F.lit("r"), (F.col("dataset") % 3).cast("string")))
+    pointers = lv.select("dataset").distinct().withColumns({"revision_id": F.concat(F.lit("r"), (F.col("dataset") % 5 % 3).cast("string")), "published_at": F.concat(F.lit("2024-"), F.lpad((F.col("dataset") % 12 + 1).cast("string"), 2, "0"))})
+    return pointers, lv
+
+
+_PUBLISHED_SQL = f"{fx.LEVELS_SQL}, pl AS (SELECT *, 'r' || CAST(dataset % 3 AS VARCHAR) AS revision_id FROM lv), pt AS (SELECT DISTINCT dataset, 'r' || CAST(dataset % 5 % 3 AS VARCHAR) AS revision_id, '2024-' || lpad(CAST(dataset % 12 + 1 AS VARCHAR), 2, '0') AS published_at FROM lv)"
+
+
+@query(f"WITH {_PUBLISHED_SQL} SELECT dataset, revision_id, published_at, territory_count FROM pt JOIN pl USING (dataset, revision_id) WHERE lod = 'high'")
+def dataset_listing(spark, d):
+    return service.datasets(*_published(spark, d))
+
+
+@query(f"WITH {_PUBLISHED_SQL} SELECT dataset, revision_id, string_agg(lod || '=' || CAST(vertices AS VARCHAR), ',' ORDER BY k) AS levels FROM pl GROUP BY dataset, revision_id")
+def dataset_level_table(spark, d):
+    lv = _published(spark, d)[1].withColumns({c: F.lit(0.0) for c in SIDES})
+    t = service.dataset_levels(lv)
+    return t.select("dataset", "revision_id", F.array_join(F.transform("levels", lambda x: F.concat_ws("=", x["lod"], x["vertices"].cast("string"))), ",").alias("levels"))
+
+
+@query(f"WITH {_PUBLISHED_SQL}, ok AS (SELECT dataset FROM pt JOIN pl USING (dataset, revision_id) GROUP BY dataset HAVING count(DISTINCT lod) = 3) SELECT DISTINCT p_partkey * 2 AS dataset FROM part WHERE p_partkey * 2 NOT IN (SELECT dataset FROM ok)")
+def readiness(spark, d):
+    required = fx.table(spark, d, "part").select((F.col("p_partkey") * 2).alias("dataset"))
+    return service.not_ready(required, *_published(spark, d))
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS id, p_partkey * 10 AS bl, '"i' || p_partkey || '"' AS tag, CASE WHEN p_partkey % 2 = 0 THEN '"g' || p_partkey || '"' END AS gtag FROM part WHERE p_partkey % 5 <> 0),
+ q AS (SELECT event_id AS request_id, event_id % 300 AS id, event_id % 3 = 0 AS gz, event_id % 4 AS m, event_id % 7 = 0 AS head FROM events),
+ j AS (SELECT q.*, bl, CASE WHEN gz AND gtag IS NOT NULL THEN gtag ELSE tag END AS etag, gz AND gtag IS NOT NULL AS z FROM q LEFT JOIN e USING (id)),
+ s AS (SELECT *, CASE WHEN bl IS NULL THEN 404 WHEN m = 1 THEN 304 WHEN m = 2 AND etag = '"i' || id || '"' THEN 304 ELSE 200 END AS status FROM j)
+ SELECT request_id, status, CASE WHEN status <> 404 THEN CASE WHEN z THEN 'gzip' ELSE 'identity' END END AS encoding, etag, CASE WHEN status = 200 AND NOT head THEN CASE WHEN z THEN bl // 2 ELSE bl END ELSE 0 END AS body_bytes FROM s"""
+)
+def conditional_meshes(spark, d):
+    p = F.col("p_partkey")
+    tag = lambda x: F.concat(F.lit(f'"{x}'), p.cast("string"), F.lit('"'))
+    entries = fx.table(spark, d, "part").where(p % 5 != 0).select(p.alias("id"), (p * 10).alias("byte_length"), tag("i").alias("etag"), (p * 5).alias("gzip_length"), F.when(p % 2 == 0, tag("g")).alias("gzip_etag"))
+    e = F.col("event_id")
+    own = F.concat(F.lit('W/"i'), (e % 300).cast("string"), F.lit('"'))
+    asked = fx.table(spark, d, "events").select(e.alias("request_id"), (e % 300).alias("id"), F.when(e % 4 == 1, "*").when(e % 4 == 2, own).alias("if_none_match"), F.when(e % 3 == 0, "br, gzip;q=0.4").alias("accept_encoding"), (e % 7 == 0).alias("head"))
+    return service.mesh_responses(asked, entries)
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS lod, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'unsafe' ELSE 'safe' END AS verdict,
+ CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat_ws('; ', CASE WHEN p_partkey % 2 = 0 THEN 'parts of the source are missing' END, CASE WHEN p_partkey % 7 = 0 THEN 'parts were merged, split or made' END, CASE WHEN p_partkey % 3 = 0 THEN 'ask level high' END) END AS reasons FROM part"""
+)
+def level_verdicts(spark, d):
+    p = F.col("p_partkey")
+    lv = fx.table(spark, d, "part").select(p.cast("string").alias("lod"), (p % 2 == 0).alias("lossy"), (p % 7 == 0).alias("topology_changed"), F.when(p % 5 != 0, p % 3 == 0).alias("picking_unsafe"), F.lit("high").alias("fallback_lod"))
+    return service.safety_verdict(lv)
+
+
+@query(
+    f"""WITH {_KINDS_SQL}, {_EVENTS_SQL}, c AS (SELECT territory, CASE seq % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS lod, kind, sum(n) AS n FROM ev WHERE seq % 499 = 1 GROUP BY ALL),
+ w AS (SELECT territory, lod, coalesce(sum(n) FILTER (kind = 'dropped_part'), 0) + coalesce(sum(n) FILTER (kind = 'part_merge'), 0) - coalesce(sum(n) FILTER (kind = 'part_split'), 0) - coalesce(sum(n) FILTER (kind = 'part_created'), 0) AS p,
+  coalesce(sum(n) FILTER (kind = 'dropped_hole'), 0) + coalesce(sum(n) FILTER (kind = 'hole_merge'), 0) - coalesce(sum(n) FILTER (kind = 'hole_split'), 0) AS h FROM c GROUP BY ALL)
+ SELECT territory, lod, 'part_identity' AS rule FROM w WHERE p <> 1 UNION ALL SELECT territory, lod, 'hole_identity' FROM w WHERE h <> 0"""
+)
+def counting_violations(spark, d):
+    """Levels that lost one part and no hole, against what the events say."""
+    lod = F.element_at(F.array(*[F.lit(x) for x in Q.LODS]), (F.col("seq") % 3 + 1).cast("int"))
+    counts = fx.ledger_events(spark, d).where("seq % 499 = 1").withColumn("lod", lod).groupBy("territory", "lod", "kind").agg(F.sum("count").alias("count"))
+    lv = counts.select("territory", "lod").distinct().withColumns({"source_parts": F.lit(3), "parts": F.lit(2), "source_holes": F.lit(1), "holes": F.lit(1)})
+    return validate.counting(lv, counts, "territory")

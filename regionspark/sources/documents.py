@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,54 @@ def geometry_problems(territories: DataFrame) -> DataFrame:
         .when(area <= 0, "no_area")
     )
     return territories.select("dataset", "id", problem.alias("problem"), interior_area(g).alias("hole_area")).where("problem is not null").drop("hole_area")
+
+
+def _crosses(ring: np.ndarray) -> bool:
+    """Whether edges of a closed ring cross or touch other than at their common ends: a sweep over edges by their left end."""
+    a, b = ring[:-1], ring[1:]
+    n = len(a)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    starts = low[order, 0]
+    ends = np.searchsorted(starts, high[order, 0], side="right")
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    for k in range(n):
+        i = order[k]
+        j = order[k + 1 : ends[k]]
+        j = j[(low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])]
+        gap = np.abs(j - i)
+        near = (gap == 1) | (gap == n - 1)
+        far = j[~near]
+        if len(far):
+            s1, s2 = side(a[i], b[i], a[far]), side(a[i], b[i], b[far])
+            s3, s4 = side(a[far], b[far], a[i]), side(a[far], b[far], b[i])
+            if ((s1 * s2 <= 0) & (s3 * s4 <= 0)).any():
+                return True
+        for m in j[near].tolist():  # neighbours may only fold back on each other
+            p, q = (i, m) if (i + 1) % n == m else (m, i)
+            if n > 2 and side(a[p], b[p], b[q]) == 0 and float((a[p] - b[p]) @ (b[q] - b[p])) > 0:
+                return True
+    return False
+
+
+def self_crossing(territories: DataFrame) -> DataFrame:
+    """dataset, id, part, ring of rings that cross or touch themselves, such as bow ties; rows are rings, so work spreads."""
+    rings = territories.select("dataset", "id", F.posexplode("geometry").alias("part", "p")).select("dataset", "id", "part", F.posexplode("p").alias("ring", "points"))
+
+    def run(batches):
+        for b in batches:
+            keep = [_crosses(np.array([(p["x"], p["y"]) for p in r], float)) if r and len(r) > 3 else False for r in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays(list(b.columns[:4]), names=["dataset", "id", "part", "ring"]).filter(pa.array(keep, pa.bool_()))
+
+    return rings.mapInArrow(run, "dataset string, id string, part int, ring int")
+
+
+def require_valid(territories: DataFrame) -> DataFrame:
+    """The territories, or an error that names the first bad ones: duplicates, unusable or self-crossing geometries."""
+    bad = [f"{r.dataset}/{r.id}: {r.problem}" for r in geometry_problems(territories).limit(10).collect()]
+    bad += [f"{r.dataset}/{r.id}: duplicate id" for r in duplicate_ids(territories).limit(10).collect()]
+    if not bad:
+        bad = [f"{r.dataset}/{r.id}: crosses itself" for r in self_crossing(territories).limit(10).collect()]
+    if bad:
+        raise DatasetError("; ".join(bad))
+    return territories
