@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import projection as P
 from ..functions import requests as Q
 from ..functions import rings as R
-from ..operators import account, edges, grid, ledger, mesh, metrics, paging, publish, service, validate
+from ..operators import account, edges, grid, ledger, mesh, metrics, paging, publish, reports, service, validate
 from ..sources import meshes
 from ..streaming import viewport
 from . import fixtures as fx
@@ -686,3 +686,48 @@ def counting_violations(spark, d):
     counts = fx.ledger_events(spark, d).where("seq % 499 = 1").withColumn("lod", lod).groupBy("territory", "lod", "kind").agg(F.sum("count").alias("count"))
     lv = counts.select("territory", "lod").distinct().withColumns({"source_parts": F.lit(3), "parts": F.lit(2), "source_holes": F.lit(1), "holes": F.lit(1)})
     return validate.counting(lv, counts, "territory")
+
+
+_PAIRS_SQL = "pairs AS (SELECT 'p' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS label, CAST(greatest(o_custkey % 7 - 3, 0) AS DOUBLE) AS gap, CAST(greatest(o_custkey % 11 - 8, 0) AS DOUBLE) AS overlap FROM orders)"
+
+
+def _pairs(spark, d):
+    c = F.col("o_custkey")
+    return fx.table(spark, d, "orders").select(F.concat(F.lit("p"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("label"), F.greatest(c % 7 - 3, F.lit(0)).cast("double").alias("gap"), F.greatest(c % 11 - 8, F.lit(0)).cast("double").alias("overlap"))
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT count(*) AS pairs, count(*) FILTER (gap > 0 OR overlap > 0) AS affected, sum(gap) AS gap, sum(overlap) AS overlap FROM pairs")
+def pair_totals(spark, d):
+    return reports.pair_totals(_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT label, gap, overlap, gap + overlap AS score FROM pairs WHERE gap > 0 OR overlap > 0 ORDER BY score DESC, label DESC LIMIT 10")
+def worst_pairs(spark, d):
+    return reports.worst_pairs(_pairs(spark, d))
+
+
+@query("SELECT o_orderpriority AS lod, CAST(o_orderkey AS VARCHAR) AS territory, o_totalprice AS area, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS rank FROM orders QUALIFY rank <= 5")
+def largest_drops(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("lod"), F.col("o_orderkey").cast("string").alias("territory"), F.col("o_totalprice").alias("area"))
+    return reports.dropped_details(o)
+
+
+@query(f"WITH {fx.TERRITORIES_SQL}, k AS (SELECT CAST(substr(id, 3, 6) AS INTEGER) AS key, w * h / 16 AS hole, w * h / 16 AS part FROM terr) SELECT count(*) AS features, count(*) FILTER (key % 5 = 0 AND part <= CAST(0.01 AS DOUBLE)) AS dropped_parts, count(*) FILTER (key % 3 = 0 AND hole <= CAST(0.01 AS DOUBLE)) AS dropped_holes FROM k")
+def normalisation(spark, d):
+    """Parts and holes of no more than a hundredth of a square degree."""
+    return reports.normalisation_totals(reports.normalise(fx.geometries(spark, d), 0.01))
+
+
+@query("SELECT p_partkey AS id, p_partkey * 97 % 90000 AS vertex_count FROM part WHERE p_partkey * 97 % 90000 <= 65535 AND CAST(p_partkey * 97 % 90000 AS DOUBLE) / 65535 >= CAST(0.8 AS DOUBLE)")
+def index_width_warnings(spark, d):
+    m = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 97 % 90000).alias("vertex_count"))
+    return reports.index_width_warnings(m).select("id", "vertex_count")
+
+
+@query("WITH h AS (SELECT user_id, CAST(event_id % 40 AS DOUBLE) + 2 * CAST(event_id % 5 - 2 AS DOUBLE) AS x, CAST(event_id % 30 AS DOUBLE) + 2 * CAST(event_id % 3 - 1 AS DOUBLE) AS y FROM events WHERE event_id % 6 <> 0) SELECT user_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM h GROUP BY user_id")
+def ground_boxes(spark, d):
+    """Where each user's camera rays meet the ground; a sixth of them point away."""
+    e = F.col("event_id")
+    n = lambda c: c.cast("double")
+    rays = fx.table(spark, d, "events").select("user_id", n(e % 40).alias("ox"), n(e % 30).alias("oy"), F.lit(8.0).alias("oz"), n(e % 5 - 2).alias("dx"), n(e % 3 - 1).alias("dy"), F.when(e % 6 == 0, 4.0).otherwise(-4.0).alias("dz"))
+    return reports.ground_box(rays, "user_id")

@@ -98,3 +98,21 @@ def test_streamed_latency_equals_batch(spark, tmp_path):
     n.processAllAvailable()
     n.stop()
     assert spark.table("counts_out").agg(F.sum("n")).first()[0] == r.count()
+
+
+def test_snapshot_prunes_and_lists(spark, tmp_path):
+    from regionspark.operators import reports
+
+    m = spark.createDataFrame([("d", f"r{i % 2}", "high", f"x{i:03}", None, None) for i in range(40)], "dataset string, revision_id string, lod string, id string, neighbor_ids array<string>, lossy boolean")
+    reports.write_snapshot(m, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    one = back.where("revision_id = 'r1' and id > 'x010'")
+    plan = one._jdf.queryExecution().toString()
+    assert one.count() == 15 and "PartitionFilters: [isnotnull(revision_id" in plan and "GreaterThan(id,x010)" in plan
+    shown = reports.public_fields(back.withColumns({"name": F.col("id"), "parent_id": F.lit(None).cast("string"), "level": F.lit(1)}))
+    assert {(tuple(r.neighbor_ids), r.lossy) for r in shown.collect()} == {((), False)}
+    groups = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "x"), ("b", "y")], "dataset string, shape_group string")
+    assert [(r.dataset, r.groups) for r in reports.mixed_groups(groups).collect()] == [("b", ["x", "y"])]
+    busy = spark.createDataFrame([("a", 1, 0, 0), ("b", 1, 1, 1), ("c", 0, 0, 1)], "territory string, merges int, splits int, created int")
+    assert [r.territory for r in reports.busiest_regions(busy).collect()] == ["b", "a", "c"]
+    assert spark.range(1).select(reports.mismatched_segments(F.lit(3), F.lit(5))).first()[0] == 0
