@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; whole texts are long, and a worker holds several copies.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session has a setting of its own."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,8 +31,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, the first of each exact name.
 
     Extra columns never matter, even if their names differ in case alone or
-    equal one that an operator adds.
+    equal one that an operator adds. Texts that go on to Python workers go in
+    bounded batches.
     """
+    bound_batches(df.sparkSession)
     cols = df.columns
     flat = df.toDF(*[f"__c{i}" for i in range(len(cols))])
     lower = [c.lower() for c in cols]
@@ -30,7 +43,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def carry(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and __row: all columns, out of the way of their names."""
+    """The named columns, and __row: all columns, out of the way of their names; batches are bounded as for pick."""
+    bound_batches(docs.sparkSession)
     cols = docs.columns
     lower = [c.lower() for c in cols]
     at = [cols.index(n) if n in cols else lower.index(n.lower()) for n in names]
@@ -87,6 +101,20 @@ def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most `limit` rows, those with the least hashes of their keys, so that reruns agree.
+
+    A bound on the hash first leaves little more than `limit` rows in all
+    partitions together, however many there are; only those are ordered.
+    """
+    n = df.count()
+    u = F.xxhash64(*keys)
+    if n > limit:
+        share = (limit + 5 * limit**0.5 + 10) / n
+        df = df.where(F.pmod(u, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.withColumn("__u", F.pmod(u, F.lit(1 << 40))).orderBy("__u", *keys).limit(limit).drop("__u")
+
+
 def size_hint(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes, from file sizes; nothing is read.
 
