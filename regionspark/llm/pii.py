@@ -189,7 +189,7 @@ def find_personal_data(
     # a row counts once for each entity and term; sums are partial before they are dealt out
     pairs = near.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = materialize(pairs.where(F.col("n") >= min_documents), "pii-pairs")
-    df = _document_frequency(rows, pairs.select("term").distinct())
+    df = materialize(_document_frequency(rows, pairs.select("term").distinct()), "pii-df")
     entities = found.select("row", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
     total = found.count()
     told = pairs.join(df, "term").join(entities, "entity")

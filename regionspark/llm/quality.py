@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import carry, held_out, materialize, pick, unpack
+from ._common import carry, hash_sample, held_out, materialize, pick, unpack
 from .textfeat import QUALITY_FEATURES, quality_features
 
 #: Most rows that either sample of the fit has.
@@ -53,7 +53,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _sample(df: DataFrame, limit: int) -> np.ndarray:
     """At most `limit` rows' features, chosen by hash, so that reruns agree."""
-    got = df.select("x", F.xxhash64("doc_id", "x").alias("u")).orderBy("u").limit(limit).select("x").toPandas()
+    got = hash_sample(df.select("doc_id", "x"), limit, "doc_id", "x").select("x").toPandas()
     return np.array(got["x"].tolist(), float).reshape(-1, len(QUALITY_FEATURES))
 
 
@@ -184,11 +184,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
     feats = materialize(features(docs, text), "quality-features")
     net, _ = fit(feats, labels)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        x = np.array([quality_features(t or "") for t in texts], float).reshape(-1, len(QUALITY_FEATURES))
-        return pd.Series(net.score(x) if net is not None else np.full(len(x), UNKNOWN))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([quality_features(t.as_py() or "") for t in texts], float).reshape(-1, len(QUALITY_FEATURES))
+        return pa.array(net.score(x) if net is not None else np.full(len(x), UNKNOWN))
 
     return unpack(carry(docs, text).where(score(F.col(text)) >= threshold), docs)

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, materialize, pick
+from ._common import hash_sample, held_out, materialize, pick
 from .textfeat import ToxicLexicon, bare, lexicon_keys
 
 #: Most labelled rows that any part of the fit sees.
@@ -32,8 +32,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, label: str) -> Data
     """doc_id, text, y, part (0-3 fit, 4 calibration) of at most MAX_LABELLED rows that may be learned from."""
     rows = pick(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.max(label).cast("double").alias("y"))
-    rows = rows.withColumn("u", F.xxhash64("__d")).orderBy("u").limit(MAX_LABELLED)
-    rows = rows.select("__d", "y", F.pmod("u", F.lit(5)).cast("int").alias("part"))
+    rows = hash_sample(rows, MAX_LABELLED, "__d").select("__d", "y", F.pmod(F.xxhash64("__d", F.lit(1)), F.lit(5)).cast("int").alias("part"))
     texts = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     # at most MAX_LABELLED rows of 20 bytes are broadcast
     found = texts.join(F.broadcast(rows), F.col("doc_id") == F.col("__d")).dropDuplicates(["doc_id"])
