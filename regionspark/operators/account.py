@@ -93,3 +93,25 @@ def gate_violations(dropped: DataFrame, max_part: float = MAX_PART_AREA, max_tot
     single = dropped.where(F.col("area") > max_part).select("territory", F.lit("dropped_part_area").alias("rule"))
     total = dropped.agg(F.sum("area").alias("area")).where(F.col("area") > max_total)
     return single.unionByName(total.select(F.lit(None).cast("string").alias("territory"), F.lit("total_dropped_area").alias("rule")))
+
+
+def hole_events(source: DataFrame, output: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """territory, kind, count, area of holes (territory, hole, area) lost, invented, merged or split.
+
+    overlaps: territory, i, j, area > 0 between source and output holes. Holes
+    correspond as parts do. A source hole without a partner is a dropped_hole:
+    its area is ground that was added. An output hole without one is an
+    artifact, to be removed from the geometry.
+    """
+    s = source.select("territory", F.col("hole").alias("i"), F.col("area").alias("sa"))
+    o = output.select("territory", F.col("hole").alias("j"), F.col("area").alias("oa"))
+    smaller = F.least("sa", "oa")
+    e = overlaps.join(s, ["territory", "i"]).join(o, ["territory", "j"]).where((smaller > 0) & (F.col("area") >= CORRESPONDENCE * smaller))
+    by_i = e.groupBy("territory", "i").agg(F.count(F.lit(1)).alias("d"))
+    by_j = e.groupBy("territory", "j").agg(F.count(F.lit(1)).alias("d"))
+    lost = s.join(by_i, ["territory", "i"], "left_anti").groupBy("territory").agg(F.count(F.lit(1)).alias("count"), F.sum("sa").alias("area"))
+    new = o.join(by_j, ["territory", "j"], "left_anti").groupBy("territory").agg(F.count(F.lit(1)).alias("count"), F.sum("oa").alias("area"))
+    more = lambda d: d.where("d > 1").groupBy("territory").agg(F.sum(F.col("d") - 1).alias("count"), F.lit(0.0).alias("area"))
+    named = [(lost, "dropped_hole"), (new, "artifact_hole_removed"), (more(by_j), "hole_merge"), (more(by_i), "hole_split")]
+    parts = [df.select("territory", F.lit(kind).alias("kind"), "count", "area") for df, kind in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

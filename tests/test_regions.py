@@ -257,3 +257,20 @@ def test_rings(spark):
     assert (r.i, r.p, r.n, r.h) == (0.125, 3.875, 1, 1)
     flat = spark.createDataFrame([([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)],)], f"r {R.RING}")
     assert flat.select(R.prepare_ring(F.col("r"), True).alias("x")).first().x is None
+
+
+def test_hole_correspondence(spark):
+    box = lambda x, y, s: tuple(map(float, (x, y, x + s, y + s)))
+
+    def events(src, out):
+        s = spark.createDataFrame([("t", i, *b) for i, b in enumerate(src)], "territory string, part int, x0 double, y0 double, x1 double, y1 double")
+        o = spark.createDataFrame([("t", i, *b) for i, b in enumerate(out)], s.schema)
+        area = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")
+        h = lambda df: df.select("territory", F.col("part").alias("hole"), area)
+        return {r.kind: (r["count"], r.area) for r in account.hole_events(h(s), h(o), account.box_overlaps(s, o)).collect()}
+
+    assert events([box(0, 0, 2)], []) == {"dropped_hole": (1, 4.0)}
+    assert events([], [box(0, 0, 2)]) == {"artifact_hole_removed": (1, 4.0)}
+    assert events([box(0, 0, 2)], [box(0, 0, 2)]) == {}
+    assert events([box(0, 0, 2), box(3, 0, 2)], [(0.0, 0.0, 5.0, 2.0)]) == {"hole_merge": (1, 0.0)}
+    assert events([(0.0, 0.0, 8.0, 2.0)], [box(0, 0, 2), box(3, 0, 2), box(6, 0, 2)]) == {"hole_split": (2, 0.0)}
