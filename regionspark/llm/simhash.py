@@ -128,6 +128,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _hubs(root: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For each node the one of its class with the least rep: a crowd has the same hub at most of its anchors."""
+    order = np.lexsort((rep, root))
+    head = np.flatnonzero(np.diff(root[order], prepend=-1))
+    out = np.empty(len(root), np.int64)
+    out[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    return out
+
+
 def _links_of_group(fp: np.ndarray, bits: int, width: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links whose classes are those of all pairs within `bits` bits; at most a row per reachable point."""
     n = len(fp)
@@ -178,9 +187,9 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         del first
         for s, n in zip(start[size > 16], size[size > 16]):
             a, b = _links_of_group(fp[s : s + n], bits)
-            root = _roots(n, a, b)
-            moved = np.flatnonzero(root != np.arange(n))
-            out.append((s + root[moved], s + moved))
+            hub = _hubs(_roots(n, a, b), rep[s : s + n])
+            moved = np.flatnonzero(hub != np.arange(n))
+            out.append((s + hub[moved], s + moved))
         a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
         pairs = np.unique(np.stack([rep[a], rep[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -267,7 +276,7 @@ def _long_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
-    """reps (rep, pieces) -> links (u, v) between reps that some piece connects within `bits` bits."""
+    """reps (rep, pieces) -> links (u, v), u < v, each once, between reps that some piece connects within `bits` bits."""
     spark = reps.sparkSession
     code = AnchorCode.for_count(reps.count(), PIECE_BITS)
     reach = (bits + 1) // 2
@@ -285,7 +294,8 @@ def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
 
     placed = reps.select("rep", "pieces").mapInArrow(spread, "anchor long, fp long, rep long")
     grouped = placed.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "fp", "rep")
-    return grouped.mapInArrow(lambda it: _compare(it, bits), "u long, v long").distinct()
+    links = grouped.mapInArrow(lambda it: _compare(it, bits), "u long, v long").where("u <> v")
+    return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
@@ -294,9 +304,10 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
     Documents have 384-bit SimHash fingerprints in twelve pieces of 32 bits.
     Two that agree in one piece but for `bits` bits - all pairs within 35 of
     384 bits do, and most pairs at the least similarity - meet at an anchor of
-    that piece's covering code. Of each local class links to its first member
+    that piece's covering code. Of each local class links to its least member
     go on; those of at most FAR_BITS bits are verified by the exact similarity
-    of the shingle sets. Documents with equal sets enter once. A-Z are lowered;
+    of the shingle sets, one a document first, then all that lie between the
+    classes these have made. Documents with equal sets enter once. A-Z are lowered;
     texts without words are alike. A null doc_id is in no class.
     """
     rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text")).where("doc_id is not null")
@@ -314,13 +325,13 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
 
     made = materialize(rows.mapInArrow(sketch, "doc_id long, same long, pieces array<long>"), "near-sketch")
     reps = materialize(made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by("pieces", "doc_id").alias("pieces")), "near-reps")
-    links = _piece_links(reps, bits).where("u <> v")
+    links = _piece_links(reps, bits)
     a = reps.select(F.col("rep").alias("u"), F.col("pieces").alias("pu"))
     b = reps.select(F.col("rep").alias("v"), F.col("pieces").alias("pv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
     links = materialize(links.join(a, "u").join(b, "v").where(apart <= FAR_BITS).select("u", "v"), "near-links")
-
-    need = materialize(links.select(F.explode(F.array("u", "v")).alias("__need")).distinct(), "near-need")
+    ends = links.select(F.col("u").alias("__need")).distinct().union(links.select(F.col("v").alias("__need")).distinct())
+    need = materialize(ends.distinct(), "near-need")
 
     def sets(batches):
         for b in batches:
@@ -329,10 +340,22 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
 
     texts = rows.join(bounded(need), F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"])
     shingles = materialize(texts.mapInArrow(sets, "n long, s array<long>"), "near-sets")
-    both = links.join(shingles.select(F.col("n").alias("u"), F.col("s").alias("su")), "u").join(shingles.select(F.col("n").alias("v"), F.col("s").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    true = both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
-    parts = connected_components(true)
+
+    def similar(some):
+        """The links that hold."""
+        both = some.join(shingles.select(F.col("n").alias("u"), F.col("s").alias("su")), "u").join(shingles.select(F.col("n").alias("v"), F.col("s").alias("sv")), "v")
+        common = F.size(F.array_intersect("su", "sv"))
+        return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    # a link for each document first; links inside a class that these make can tell nothing new
+    first = links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    held = materialize(similar(first), "near-first")
+    parts = connected_components(held)
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    rest = links.join(first.select("v", F.col("u").alias("__tried")), "v").where(F.col("u") != F.col("__tried"))
+    rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    rest = materialize(rest, "near-rest")
+    parts = connected_components(held.unionByName(similar(rest)))
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "rep").alias("component_id"))
     return made.join(named, F.col("same") == F.col("__same")).select("doc_id", "component_id")
 

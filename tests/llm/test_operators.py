@@ -213,6 +213,27 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len(set(got.values())) <= 1.08 * len(set(label.values()))
 
 
+def test_hubs_are_the_least_of_their_class():
+    root, rep = np.array([0, 0, 2, 0, 2, 5]), np.array([9, 4, 7, 8, 1, 3])
+    assert simhash._hubs(root, rep).tolist() == [1, 1, 4, 1, 4, 5]
+
+
+def test_a_crowd_whose_ends_differ_is_one_class(spark):
+    """Each text is near the next one only: links beyond the first of a document are needed, and none is lost."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = {}
+    for i in range(80):
+        texts[i] = " ".join(w)
+        for _ in range(2):
+            w[rng.randrange(400)] = f"n{i}"
+    texts |= {100 + i: texts[i].upper() for i in range(5)} | {200: None, 201: "", 202: " \n"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    label, _ = _similar_classes(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()}
+    assert got == label and set(got.values()) == {0, 200}
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
