@@ -298,6 +298,138 @@ def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
     return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+#: The exact search: of the documents one in so many is looked at for common shingles, the most of these that are kept,
+#: and the documents that compare a common shingle in one block. They set the order of work, never which pairs are found.
+LOOK, COMMON, BLOCK = 32, 200_000, 4000
+
+
+def _common_shingles(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and about how many do; from one document in LOOK of a large table."""
+    share = LOOK if rows.count() > 10_000 else 1
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+
+    def each(batches):
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingle_hashes(t.as_py(), width, seed)).view(np.int64))], names=["h"])
+
+    seen = some.mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    found = seen.orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    h = np.array([r.h for r in found], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r.c for r in found], np.int64)[order] * share
+
+
+def _times(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """About how many documents hold each shingle; 0 for those that are not common."""
+    if not len(common[0]):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+    return np.where(common[0][at] == h, common[1][at], 0)
+
+
+def _head(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's shingles, rare ones before common ones: two sets that are similar enough share one of them."""
+    least = max(1, math.ceil(similarity * len(h) - 1e-9))
+    return h[np.lexsort((h, _times(h, common)))[: len(h) - least + 1]]
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of a set's shingles falls on each. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((h >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and part -> pairs of unlike classes that can be similar, if this is the first shingle they share.
+
+    The shingles from this one on must be enough in either set; sizes that are too unlike fail that too.
+    """
+    kept = None
+
+    def pairs(h, part, side, rep, cls, n, at):
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(h)))
+        mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
+        out = []
+
+        def hold(i, j):
+            left = np.minimum(n[i] - at[i], n[j] - at[j])
+            ok = (cls[i] != cls[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (left * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
+            if ok.any():
+                a, b = np.broadcast_arrays(rep[i], rep[j])
+                out.append(np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0))
+
+        end = np.repeat(start + size, size)
+        rows = np.flatnonzero(np.repeat(mixed & (size <= 16), size))
+        for d in range(1, 16):
+            rows = rows[rows + d < end[rows]]
+            if not len(rows):
+                break
+            hold(rows, rows + d)
+        for s, m in zip(start[mixed & (size > 16)], size[mixed & (size > 16)]):
+            # each that is not of the largest class against all
+            names, where, many = np.unique(cls[s : s + m], return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(where != np.argmax(many)):
+                hold(np.full(m, s + i), np.arange(s, s + m))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    for b in batches:
+        cols = [c.to_numpy() for c in b.columns]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols)]
+        if not len(cols[0]):
+            continue
+        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+        whole = int(np.argmax(last))
+        if whole:
+            yield pairs(*(c[:whole] for c in cols))
+        kept = [c[whole:] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield pairs(*kept)
+
+
+def _exact_links(reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """reps (rep, n, head, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components: all that are similar, and some more.
+
+    A common shingle's documents are compared by pairs of blocks.
+    """
+    spark = reps.sparkSession
+
+    def spread(batches):
+        for b in batches:
+            rep, cls, n = (b.column(k).to_numpy() for k in range(3))
+            heads = b.column(3)
+            size = np.diff(heads.offsets.to_numpy())
+            h = heads.flatten().to_numpy()
+            of = np.repeat(np.arange(len(rep)), size)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            blocks = np.maximum(1, -(-_times(h.view(np.uint64), common) // BLOCK))
+            for g in np.unique(blocks).tolist():
+                k = np.flatnonzero(blocks == g)
+                own = ((rep[of[k]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
+                for other in range(g):
+                    part = np.minimum(own, other) * g + np.maximum(own, other)
+                    side = np.where(own == other, 2, own > other)
+                    cols = [h[k], part, side, rep[of[k]], cls[of[k]], n[of[k]], at[k]]
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    for x in range(0, len(k), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)], t) for c, t in zip(cols, types)], names=["h", "part", "side", "rep", "cls", "n", "at"])
+
+    placed = reps.join(bounded(parts), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("cls"), "n", "head")
+    placed = placed.mapInArrow(spread, "h long, part int, side int, rep long, cls long, n int, at int")
+    grouped = placed.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
+    pairs = grouped.mapInArrow(lambda it: _meet(it, similarity), "u long, v long").distinct()
+    a = reps.select(F.col("rep").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
+    b = reps.select(F.col("rep").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
+    apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
+    near = apart * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6
+    return pairs.join(a, "u").join(b, "v").where(near).select("u", "v")
+
+
 def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """doc_id, component_id: classes of documents whose sets of word shingles are similar.
 
@@ -307,55 +439,71 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
     that piece's covering code. Of each local class links to its least member
     go on; those of at most FAR_BITS bits are verified by the exact similarity
     of the shingle sets, one a document first, then all that lie between the
-    classes these have made. Documents with equal sets enter once. A-Z are lowered;
+    classes these have made. This joins crowds at little cost, but not all.
+    Then an exact search takes every pair of unlike classes that shares one of
+    the shingles with which both sets begin, rare ones first (no pair at the
+    least similarity does without), and verifies what sizes, places and parities
+    allow: no pair is missed. Documents with equal sets enter once. A-Z are lowered;
     texts without words are alike. A null doc_id is in no class.
     """
     rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text")).where("doc_id is not null")
+    common = _common_shingles(rows, width, seed)
 
     def sketch(batches):
         import xxhash
 
         for b in batches:
-            keys, pieces = [], []
+            cols = [[] for _ in range(5)]
             for t in b.column(1):
                 h = _shingle_hashes(t.as_py(), width, seed)
-                keys.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()) - (1 << 63))
-                pieces.append(_long_fingerprint(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(pieces, pa.list_(pa.int64()))], names=["doc_id", "same", "pieces"])
-
-    made = materialize(rows.mapInArrow(sketch, "doc_id long, same long, pieces array<long>"), "near-sketch")
-    reps = materialize(made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by("pieces", "doc_id").alias("pieces")), "near-reps")
+                once = np.unique(h)
+                made = (xxhash.xxh64_intdigest(once.tobytes()) - (1 << 63), _long_fingerprint(h), len(once), _parity(once), _head(once, similarity, common).view(np.int64))
+                for c, x in zip(cols, made):
+                    c.append(x)
+            longs = pa.list_(pa.int64())
+            types = [pa.int64(), longs, pa.int32(), longs, longs]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "same", "pieces", "n", "parity", "head"])
+
+    made = materialize(rows.mapInArrow(sketch, "doc_id long, same long, pieces array<long>, n int, parity array<long>, head array<long>"), "near-sketch")
+    reps = made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("pieces", "n", "parity", "head"), "doc_id").alias("x"))
+    reps = materialize(reps.select("same", "rep", "x.*"), "near-reps")
     links = _piece_links(reps, bits)
     a = reps.select(F.col("rep").alias("u"), F.col("pieces").alias("pu"))
     b = reps.select(F.col("rep").alias("v"), F.col("pieces").alias("pv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
     links = materialize(links.join(a, "u").join(b, "v").where(apart <= FAR_BITS).select("u", "v"), "near-links")
-    ends = links.select(F.col("u").alias("__need")).distinct().union(links.select(F.col("v").alias("__need")).distinct())
-    need = materialize(ends.distinct(), "near-need")
 
     def sets(batches):
         for b in batches:
             found = [np.unique(_shingle_hashes(t.as_py(), width, seed)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "s"])
 
-    texts = rows.join(bounded(need), F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"])
-    shingles = materialize(texts.mapInArrow(sets, "n long, s array<long>"), "near-sets")
+    def sets_of(some):
+        """The shingle sets of all ends of some links."""
+        ends = some.select(F.col("u").alias("__need")).distinct().union(some.select(F.col("v").alias("__need")).distinct())
+        need = materialize(ends.distinct(), "near-need")
+        texts = rows.join(bounded(need), F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"])
+        return materialize(texts.mapInArrow(sets, "n long, s array<long>"), "near-sets")
 
-    def similar(some):
+    def similar(some, shingles):
         """The links that hold."""
         both = some.join(shingles.select(F.col("n").alias("u"), F.col("s").alias("su")), "u").join(shingles.select(F.col("n").alias("v"), F.col("s").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv"))
         return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
     # a link for each document first; links inside a class that these make can tell nothing new
+    shingles = sets_of(links)
     first = links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    held = materialize(similar(first), "near-first")
+    held = materialize(similar(first, shingles), "near-first")
     parts = connected_components(held)
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rest = links.join(first.select("v", F.col("u").alias("__tried")), "v").where(F.col("u") != F.col("__tried"))
     rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     rest = materialize(rest, "near-rest")
-    parts = connected_components(held.unionByName(similar(rest)))
+    held = materialize(held.unionByName(similar(rest, shingles)), "near-held")
+    # what the pieces and the stars have left apart
+    more = materialize(_exact_links(reps, connected_components(held), similarity, common), "near-more")
+    parts = connected_components(held.unionByName(similar(more, sets_of(more))))
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "rep").alias("component_id"))
     return made.join(named, F.col("same") == F.col("__same")).select("doc_id", "component_id")
 

@@ -234,6 +234,26 @@ def test_a_crowd_whose_ends_differ_is_one_class(spark):
     assert got == label and set(got.values()) == {0, 200}
 
 
+def test_links_of_crowded_anchors_are_not_lost(spark, monkeypatch):
+    """Members that a hub brings together stay linked, though neither is similar to the hub."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(300)]
+    texts = {0: " ".join(base)}
+    for i in range(30):
+        w = list(base)
+        for k in rng.sample(range(300), 14):
+            w[k] = f"c{i}x{k}"
+        texts[2 * i + 1] = " ".join(w)
+        w[rng.randrange(300)] = "z"
+        texts[2 * i + 2] = " ".join(w)
+    # all fingerprints alike: one anchor a piece holds all
+    monkeypatch.setattr(simhash, "_long_fingerprint", lambda h: np.zeros(simhash.PIECES, np.int64))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    label, n = _similar_classes(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()}
+    assert n >= 30 and len(set(label.values())) > 20 and got == label
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
