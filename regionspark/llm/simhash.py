@@ -260,6 +260,11 @@ def _shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
     return np.fromiter((h(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(width)))), np.uint64)
 
 
+def _sketched(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The shingles that a text's long fingerprint is made of: each once, for sets decide."""
+    return np.unique(_shingle_hashes(text, width, seed))
+
+
 def _long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """384 majority bits as 12 pieces of 32: four words of bits are mixed from each hash."""
     out = []
@@ -433,7 +438,7 @@ def _exact_links(reps: DataFrame, parts: DataFrame, similarity: float, common: t
 def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """doc_id, component_id: classes of documents whose sets of word shingles are similar.
 
-    Documents have 384-bit SimHash fingerprints in twelve pieces of 32 bits.
+    Documents have 384-bit SimHash fingerprints of their sets, in twelve pieces of 32 bits.
     Two that agree in one piece but for `bits` bits - all pairs within 35 of
     384 bits do, and most pairs at the least similarity - meet at an anchor of
     that piece's covering code. Of each local class links to its least member
@@ -455,9 +460,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
         for b in batches:
             cols = [[] for _ in range(5)]
             for t in b.column(1):
-                h = _shingle_hashes(t.as_py(), width, seed)
-                once = np.unique(h)
-                made = (xxhash.xxh64_intdigest(once.tobytes()) - (1 << 63), _long_fingerprint(h), len(once), _parity(once), _head(once, similarity, common).view(np.int64))
+                once = _sketched(t.as_py(), width, seed)
+                made = (xxhash.xxh64_intdigest(once.tobytes()) - (1 << 63), _long_fingerprint(once), len(once), _parity(once), _head(once, similarity, common).view(np.int64))
                 for c, x in zip(cols, made):
                     c.append(x)
             longs = pa.list_(pa.int64())

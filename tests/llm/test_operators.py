@@ -254,6 +254,17 @@ def test_links_of_crowded_anchors_are_not_lost(spark, monkeypatch):
     assert n >= 30 and len(set(label.values())) > 20 and got == label
 
 
+def test_repeats_do_not_move_fingerprints_apart(spark):
+    """A text and the same with its last part repeated many times have nearly equal sets, so near fingerprints, too."""
+    rng = random.Random(9)
+    w = [f"r{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(w), " ".join(w + w[-60:] * 20)]
+    near = [simhash._long_fingerprint(simhash._sketched(t, 5, simhash.SEED)) for t in texts]
+    assert np.bitwise_count(near[0] ^ near[1]).sum() <= simhash.FAR_BITS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicate_classes(df).collect()} == {0}
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
