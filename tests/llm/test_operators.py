@@ -265,6 +265,30 @@ def test_repeats_do_not_move_fingerprints_apart(spark):
     assert {r.component_id for r in simhash.near_duplicate_classes(df).collect()} == {0}
 
 
+def test_every_lone_pair_is_found(spark, monkeypatch):
+    """Lone pairs at the least similarity and just above it, short ones among them, are all joined; those just below are not."""
+    texts, want, k = {}, {}, 0
+    for n, both, times in ((4, 4, 40), (80, 64, 60), (80, 66, 40), (9, 7, 40), (80, 63, 20)):
+        # sets of `n` shingles and of `both`, all of these in the first; or one less in common than is needed
+        for _ in range(times):
+            w = [f"p{k}w{j}" for j in range(n + 5)]
+            if n == 4:
+                texts[k], texts[k + 1] = " ".join(w), " ".join(w[:-1])
+            else:
+                texts[k], texts[k + 1] = " ".join(w[: n + 4]), " ".join(w[: both + 4])
+            want[k], want[k + 1] = k, k if n == 4 or both >= 0.8 * n else k + 1
+            k += 2
+    # a passage that many texts share, compared in blocks
+    texts |= {k + i: " ".join([*(f"q{i}w{j}" for j in range(4)), *(f"line{j}" for j in range(60))]) for i in range(60)}
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    label, _ = _similar_classes(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()}
+    assert got == label and {i: got[i] for i in range(k)} == want
+    monkeypatch.setattr(simhash, "_piece_links", lambda reps, bits: reps.selectExpr("rep u", "rep v").limit(0))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()} == label
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
