@@ -2,9 +2,11 @@
 
 DataFrame functions only, no Python in tasks.
 
-A window has an item's number of words. Two texts whose five-word shingles have
-a similarity over 0 share a shingle, so only windows placed by a shared shingle
-(at the item's own offset) are cut and fingerprinted; that loses nothing and
+A window has an item's number of words, and may start at any word. It reaches
+the least similarity only if enough of its places hold a shingle of an item of
+its size, wherever that stands in the item; a running count over the places that
+do tells which starts these are, and only those windows are cut and
+fingerprinted. That loses nothing, for passages in another order neither, and
 spares fingerprinting every window of every size. Fingerprints of windows and
 items of one size meet by blocks: with radius + 1 blocks, two fingerprints
 within the radius agree in one block at least, so a join on (size, block, its
@@ -61,6 +63,14 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda acc, h: acc + F.least(times(a, h), times(b, h)))
 
 
+def _own_offset(a: Column, b: Column, first: Column, last: Column) -> Column:
+    """Whether a window (shingles a) has one where the item (b) has it; at a text's ends, where the item would stick out, too."""
+    at = lambda j: F.slice(b, F.when(first & ~last, j + 1).otherwise(1), F.when(last & ~first, j + 1).otherwise(F.size(b)))
+    inside = F.exists(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
+    ends = F.exists(F.sequence(F.lit(0), F.size(a) - 1), lambda j: F.array_contains(at(j), F.get(a, j)))
+    return F.when(first | last, ends).otherwise(inside)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,7 +83,8 @@ def contaminated(
     """Pairs of a document and a benchmark item that it repeats: doc_id, item_id, n_shared, n_all, similarity, start, n_words.
 
     n_shared and n_all are the shingles in both and in either of the best
-    window (the first of equals), each weighted by its number of repeats;
+    window, each weighted by its number of repeats; of equals the first goes
+    that has a shared shingle at the item's own offset, else the first;
     similarity is their quotient, `similarity` at least. start is the window's
     first word. Texts are lower-cased. A document shorter than an item is one
     window. Items with fewer words than a shingle, null and empty texts, and
@@ -85,23 +96,29 @@ def contaminated(
     items = materialize(items, "decon-items")
     rows = pick(docs, "doc_id", text).select("doc_id", F.lower(F.col(text)).alias("text")).where("doc_id is not null and text is not null")
 
-    # 1. where windows may lie: a shingle of the document at an item's shingle
-    seeds = items.select("n", F.posexplode("ih").alias("q", "h")).distinct()
+    # 1. where windows may lie: at starts whose window has enough places with a shingle of some item of its size
+    seeds = items.select("n", F.explode("ih").alias("h")).distinct()
     hashed = rows.select("doc_id", F.xxhash64("text").alias("stamp"), _split(F.col("text")).alias("w"))
     # positions are generated and hashed inside one stage of generated code; the array of words is not copied
     hashed = hashed.select("doc_id", "stamp", "w", F.explode(F.when(F.size("w") >= shingle, F.sequence(F.lit(0), F.size("w") - shingle))).alias("p"))
     hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), "p", F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(shingle)]).alias("h"))
-    placed = hashed.join(bounded(seeds), "h")
-    start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("nd") - F.col("n")), F.lit(0))
-    windows = materialize(placed.select("doc_id", "stamp", "n", start.alias("start")).distinct(), "decon-windows")
+    placed = hashed.join(bounded(seeds), "h").groupBy("doc_id", "stamp", "n", "nd").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    width = F.least("n", "nd") - shingle + 1
+    least = F.greatest(F.ceil((width + F.col("n") - shingle + 1) * (similarity / (1 + similarity)) - 1e-9), F.lit(1)).cast("int")
+    placed = placed.select("doc_id", "stamp", "n", "at", width.alias("k"), least.alias("least"), F.greatest(F.col("nd") - F.col("n"), F.lit(0)).alias("end")).where(F.size("at") >= F.col("least"))
+    # the starts at which place i is the first one inside, and the least-th one from it is inside as well
+    low = lambda i: F.greatest(F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0), F.get("at", i + F.col("least") - 1) - F.col("k") + 1)
+    spans = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), lambda i: F.struct(low(i).alias("a"), F.least(F.get("at", i), F.col("end")).alias("z")))
+    placed = placed.select("doc_id", "stamp", "n", F.explode(F.filter(spans, lambda x: x["a"] <= x["z"])).alias("x"))
+    windows = materialize(placed.select("doc_id", "stamp", "n", F.explode(F.sequence("x.a", "x.z")).alias("start")), "decon-windows")
 
     # 2. cut them from the documents that have any, and fingerprint both sides
     holders = windows.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).agg(F.collect_list(F.struct("n", "start")).alias("__at"))
     own = rows.withColumn("stamp", F.xxhash64("text")).join(bounded(holders), (F.col("doc_id") == F.col("__d")) & (F.col("stamp") == F.col("__s")))
     own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", _split(F.col("text")).alias("w"), F.explode("__at").alias("at"))
     # the slice is a column of its own, else it would be cut anew for every word
-    own = own.select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"))
-    cut = materialize(own.select("doc_id", "n", "start", _shingles(F.col("w"), shingle).alias("wh")), "decon-cut")
+    own = own.select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"), (F.col("at.start") + F.col("at.n") >= F.size("w")).alias("last"))
+    cut = materialize(own.select("doc_id", "n", "start", "last", _shingles(F.col("w"), shingle).alias("wh")), "decon-cut")
     key = ["doc_id", "n", "start"]
     window_fp = _fingerprint(cut.select(*key, F.xxhash64("wh").alias("v"), "wh"), [*key, "v"], "wh")
     item_fp = _fingerprint(items, ["item_id", "n"], "ih").withColumnRenamed("fp", "ifp").drop("m")
@@ -117,7 +134,8 @@ def contaminated(
     full = full.withColumn("n_shared", _common(F.col("wh"), F.col("ih")).cast("long"))
     full = full.withColumn("n_all", (F.size("wh") + F.size("ih")).cast("long") - F.col("n_shared"))
     full = full.withColumn("similarity", F.col("n_shared") / F.col("n_all")).where(F.col("similarity") >= similarity)
-    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_shared", "n_all", "n")).alias("b"))
+    full = full.withColumn("own", _own_offset(F.col("wh"), F.col("ih"), F.col("start") == 0, F.col("last")))
+    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "own", (-F.col("start")).alias("s"), "n_shared", "n_all", "n")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_all", "b.similarity", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"))
 
 

@@ -430,6 +430,35 @@ def test_decontamination(spark):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_passages_in_another_order(spark):
+    """Windows at every start are judged: halves that have changed places, and a cut beginning with a gap, stand at no offset of the item's."""
+    rng = random.Random(10)
+    say = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items = [(0, say("a", 50)), (1, say("b", 100)), (2, say("c", 120)), (3, say("d", 60)), (4, (["the", "of"] * 20)[:33])]
+    a, b, c, d = (x for _, x in items[:4])
+    docs = [say("x", 20) + a[25:] + a[:25] + say("y", 20), a[25:] + a[:25], say("x", 3) + b[50:] + b[:50], say("x", 9) + c[5:60] + say("g", 8) + c[60:] + say("y", 9)]
+    docs += [d[:50], d[30:] + d[:30] + say("z", 1), say("x", 70), ["the", "of"] * 40, say("x", 9) + d[4:20] + ["g"] + d[20:40] + d[44:] + say("y", 9)]
+    for _ in range(20):
+        w = list(rng.choice(items)[1])
+        cut = rng.randrange(len(w))
+        docs.append(say("x", rng.randrange(9)) + w[cut:] + say("g", rng.randrange(4)) + w[:cut] + say("y", rng.randrange(9)))
+    want = {}
+    for i, w in items:
+        sh = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        for n, v in enumerate(docs):
+            for s in range(max(1, len(v) - len(w) + 1)):
+                part = v[s : s + len(w)]
+                got = Counter(tuple(part[k : k + 5]) for k in range(len(part) - 4))
+                both = sum((got & sh).values())
+                share = both / (sum(got.values()) + sum(sh.values()) - both)
+                if share >= 0.8:
+                    want[n, i] = max(share, want.get((n, i), 0))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(df, bench).collect()}
+    assert got == want and {(0, 0), (1, 0), (2, 1)} <= set(got)
+
+
 def _targets(sizes, weights=(5, 2, 1), most=3):
     total = sum(sizes.values())
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
