@@ -340,8 +340,8 @@ def _head(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray
 
 
 def _parity(h: np.ndarray) -> np.ndarray:
-    """256 bits: whether an odd number of a set's shingles falls on each. Two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((h >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """1,024 bits: whether an odd number of a set's shingles falls on each. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((h >> np.uint64(7) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -397,8 +397,10 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         yield pairs(*kept)
 
 
-def _exact_links(reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """reps (rep, n, head, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components: all that are similar, and some more.
+def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """made (doc_id, same, head), reps (rep, same, n, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components, and apart.
+
+    All that are similar are there, and some more; they differ in `apart` shingles at least.
 
     A common shingle's documents are compared by pairs of blocks.
     """
@@ -424,15 +426,16 @@ def _exact_links(reps: DataFrame, parts: DataFrame, similarity: float, common: t
                     for x in range(0, len(k), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)], t) for c, t in zip(cols, types)], names=["h", "part", "side", "rep", "cls", "n", "at"])
 
-    placed = reps.join(bounded(parts), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("cls"), "n", "head")
+    named = reps.join(bounded(parts), F.col("rep") == F.col("node"), "left").select("rep", F.col("same").alias("__same"), F.coalesce("component", "rep").alias("cls"))
+    placed = made.join(bounded(named), (F.col("doc_id") == F.col("rep")) & (F.col("same") == F.col("__same"))).select("rep", "cls", "n", "head")
     placed = placed.mapInArrow(spread, "h long, part int, side int, rep long, cls long, n int, at int")
     grouped = placed.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
     pairs = grouped.mapInArrow(lambda it: _meet(it, similarity), "u long, v long").distinct()
     a = reps.select(F.col("rep").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
     b = reps.select(F.col("rep").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
-    near = apart * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6
-    return pairs.join(a, "u").join(b, "v").where(near).select("u", "v")
+    near = F.col("apart") * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6
+    return pairs.join(a, "u").join(b, "v").withColumn("apart", apart).where(near).select("u", "v", "apart")
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
@@ -469,7 +472,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "same", "pieces", "n", "parity", "head"])
 
     made = materialize(rows.mapInArrow(sketch, "doc_id long, same long, pieces array<long>, n int, parity array<long>, head array<long>"), "near-sketch")
-    reps = made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("pieces", "n", "parity", "head"), "doc_id").alias("x"))
+    reps = made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("pieces", "n", "parity"), "doc_id").alias("x"))
     reps = materialize(reps.select("same", "rep", "x.*"), "near-reps")
     links = _piece_links(reps, bits)
     a = reps.select(F.col("rep").alias("u"), F.col("pieces").alias("pu"))
@@ -495,19 +498,22 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
         common = F.size(F.array_intersect("su", "sv"))
         return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
-    # a link for each document first; links inside a class that these make can tell nothing new
-    shingles = sets_of(links)
-    first = links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    held = materialize(similar(first, shingles), "near-first")
-    parts = connected_components(held)
-    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    rest = links.join(first.select("v", F.col("u").alias("__tried")), "v").where(F.col("u") != F.col("__tried"))
-    rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    rest = materialize(rest, "near-rest")
-    held = materialize(held.unionByName(similar(rest, shingles)), "near-held")
+    def hold(links, first, held):
+        """The links that hold, besides those that do already: first one a document, then those between the classes that these make; others can tell nothing new."""
+        links, shingles = links.select("u", "v"), sets_of(links)
+        held = materialize(held.unionByName(similar(first, shingles)) if held is not None else similar(first, shingles), "near-first")
+        parts = connected_components(held)
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        rest = links.join(first.select("v", F.col("u").alias("__tried")), "v").where(F.col("u") != F.col("__tried"))
+        rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+        rest = materialize(rest, "near-rest")
+        return materialize(held.unionByName(similar(rest, shingles)), "near-held")
+
+    held = hold(links, links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), None)
     # what the pieces and the stars have left apart
-    more = materialize(_exact_links(reps, connected_components(held), similarity, common), "near-more")
-    parts = connected_components(held.unionByName(similar(more, sets_of(more))))
+    more = materialize(_exact_links(made, reps, connected_components(held), similarity, common), "near-more")
+    held = hold(more, more.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"), held)
+    parts = connected_components(held)
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "rep").alias("component_id"))
     return made.join(named, F.col("same") == F.col("__same")).select("doc_id", "component_id")
 
