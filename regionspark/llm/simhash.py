@@ -407,7 +407,8 @@ def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity:
     spark = reps.sparkSession
 
     def spread(batches):
-        for b in batches:
+        # few rows at a time: workers go on to other stages and keep what they once held
+        for b in (whole.slice(x, 512) for whole in batches for x in range(0, whole.num_rows, 512)):
             rep, cls, n = (b.column(k).to_numpy() for k in range(3))
             heads = b.column(3)
             size = np.diff(heads.offsets.to_numpy())
