@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than these (fixed value).
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -92,13 +93,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a narrow table counts as proven small.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table counts as proven small; a broadcast table takes a few times as many in memory.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it proves to have at most `limit` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes: 8 for a number, and the contents of texts, binaries, arrays and structs."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(24), lambda acc, x: acc + _width(x, kind.elementType)), F.lit(24))
+        return 24 + 8 * F.coalesce(F.size(value), F.lit(0))
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its rows prove to take at most `limit` bytes; else as it is, for a shuffle join."""
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8)).cast("long")
+    total = df.select(size.alias("size")).limit(limit // 16 + 1).agg(F.sum("size")).first()[0]
+    return F.broadcast(df) if (total or 0) <= limit else df
 
 
 def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 DataFrame functions only, no Python in tasks.
 
-A window has an item's number of words, and may start at any word. It reaches
-the least similarity only if enough of its places hold a shingle of an item of
-its size, wherever that stands in the item; a running count over the places that
-do tells which starts these are, and only those windows are cut and
-fingerprinted. That loses nothing, for passages in another order neither, and
-spares fingerprinting every window of every size. Fingerprints of windows and
-items of one size meet by blocks: with radius + 1 blocks, two fingerprints
-within the radius agree in one block at least, so a join on (size, block, its
-bits) finds all of them. What remains is checked exactly.
+A window has an item's number of words and may start at any word. It reaches
+the least similarity only if enough of its places hold a shingle of that item,
+wherever that stands in the item; a running count over the places that do tells
+which starts these are - first for all items of one size together, then for
+each item - and only those windows are cut and fingerprinted. That loses
+nothing, for passages in another order neither, and spares fingerprinting every
+window of every size. Fingerprints of an item and of its windows meet by
+blocks: with radius + 1 blocks, two fingerprints within the radius agree in one
+block at least, so a join on (item, block, its bits) finds all of them, and the
+number of candidates follows the shingles that a document shares with an item,
+never windows times items. What remains is checked exactly.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from ._common import bounded, carry, materialize, pick, unpack, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 fingerprints differ in about 10 of 64 bits, with a deviation of 3.
-RADIUS = 20
+#: At similarity 0.8 fingerprints differ in about 10 of 64 bits with a deviation of 3, and in 12 if one side has but four shingles.
+RADIUS = 24
 
 
 def _shingles(w: Column, width: int) -> Column:
@@ -39,14 +41,14 @@ def _split(text: Column) -> Column:
 
 
 def _fingerprint(keyed: DataFrame, key: list[str], hashes: str) -> DataFrame:
-    """key, m (number of shingles), fp: the majority of each bit over an array of hashes."""
+    """key, fp: the majority of each bit over an array of hashes."""
     bits = keyed.select(*key, F.explode(hashes).alias("__h"))
     sums = [F.sum(F.shiftright("__h", b).bitwiseAND(F.lit(1))).alias(f"__b{b}") for b in range(64)]
-    out = bits.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), *sums)
+    out = bits.groupBy(*key).agg(F.count(F.lit(1)).alias("__m"), *sums)
     fp = F.lit(0).cast("bigint")
     for b in range(64):
-        fp = fp.bitwiseOR(F.when(F.col(f"__b{b}") * 2 > F.col("m"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return out.select(*key, "m", fp.alias("fp"))
+        fp = fp.bitwiseOR(F.when(F.col(f"__b{b}") * 2 > F.col("__m"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+    return out.select(*key, fp.alias("fp"))
 
 
 def _blocks(df: DataFrame, radius: int) -> DataFrame:
@@ -57,18 +59,71 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("__p", F.explode(F.array(*parts))).select("*", F.col("__p.block").alias("block"), F.col("__p.bits").alias("bits")).drop("__p")
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Shingles that two arrays share, each weighted by its repeats in both."""
-    times = lambda arr, h: F.size(F.filter(arr, lambda x: x == h))
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda acc, h: acc + F.least(times(a, h), times(b, h)))
+def _least(n: Column, nd: Column, shingle: int, similarity: float) -> Column:
+    """Shingles that a window must share with an item of n words: s / (both - s) >= similarity."""
+    both = (F.least(n, nd) - shingle + 1) + (n - shingle + 1)
+    return F.greatest(F.ceil(both * (similarity / (1 + similarity)) - 1e-9), F.lit(1)).cast("int")
 
 
-def _own_offset(a: Column, b: Column, first: Column, last: Column) -> Column:
-    """Whether a window (shingles a) has one where the item (b) has it; at a text's ends, where the item would stick out, too."""
-    at = lambda j: F.slice(b, F.when(first & ~last, j + 1).otherwise(1), F.when(last & ~first, j + 1).otherwise(F.size(b)))
-    inside = F.exists(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
-    ends = F.exists(F.sequence(F.lit(0), F.size(a) - 1), lambda j: F.array_contains(at(j), F.get(a, j)))
-    return F.when(first | last, ends).otherwise(inside)
+def _spans(at: Column, least: Column, k: Column, end: Column) -> Column:
+    """Runs of starts (a to z) whose windows of k places hold at least `least` of the ascending places `at`.
+
+    A run ends where its first place inside leaves; `end` is the last start there is.
+    """
+    low = lambda i: F.greatest(F.when(i > 0, F.get(at, i - 1) + 1).otherwise(0), F.get(at, i + least - 1) - k + 1)
+    runs = F.transform(F.sequence(F.lit(0), F.size(at) - least), lambda i: F.struct(low(i).alias("a"), F.least(F.get(at, i), end).alias("z")))
+    return F.filter(runs, lambda x: x["a"] <= x["z"])
+
+
+def _repeats(rows: DataFrame, benchmark: DataFrame, item_text: str, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """rows (doc_id, stamp, text) -> doc_id, stamp, item_id, n, start, n_shared, n_all, similarity of every window that is similar enough."""
+    items = pick(benchmark, "item_id", item_text).select("item_id", words(F.lower(F.col(item_text))).alias("w")).where("item_id is not null").distinct()
+    items = items.select("item_id", F.size("w").alias("n"), _shingles(F.col("w"), shingle).alias("ih")).where(F.size("ih") > 0)
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "decon-items")
+    held = materialize(items.select("item", "n", F.explode("ih").alias("h")).groupBy("item", "n", "h").agg(F.count(F.lit(1)).alias("times")), "decon-seeds")
+
+    # 1. where windows may lie, first by items' sizes and then by item
+    hashed = rows.select("doc_id", "stamp", _split(F.lower("text")).alias("w"))
+    # positions are generated and hashed inside one stage of generated code; the array of words is not copied
+    hashed = hashed.select("doc_id", "stamp", "w", F.explode(F.when(F.size("w") >= shingle, F.sequence(F.lit(0), F.size("w") - shingle))).alias("p"))
+    hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), "p", F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(shingle)]).alias("h"))
+    found = hashed.join(bounded(held.select("n", "h").distinct()), "h").groupBy("doc_id", "stamp", "n", "nd").agg(F.sort_array(F.collect_set(F.struct("p", "h"))).alias("hits"))
+    n, nd = F.col("n"), F.col("nd")
+    least, k, end = _least(n, nd, shingle, similarity), F.least(n, nd) - shingle + 1, F.greatest(nd - n, F.lit(0))
+    sized = lambda df: df.withColumn("least", least).where(F.size("at") >= F.col("least")).withColumn("runs", _spans(F.col("at"), F.col("least"), k, end)).where(F.size("runs") > 0)
+    found = materialize(sized(found.withColumn("at", F.col("hits.p"))).select("doc_id", "stamp", "n", "nd", "hits"), "decon-hits")
+    hits = found.select("doc_id", "stamp", "n", "nd", F.explode("hits").alias("x")).select("doc_id", "stamp", "n", "nd", "x.p", "x.h")
+    near = hits.join(bounded(held.select("item", "n", "h")), ["n", "h"]).groupBy("doc_id", "stamp", "item", "n", "nd").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    starts = sized(near).select("doc_id", "stamp", "item", "n", F.explode("runs").alias("x")).select("doc_id", "stamp", "item", "n", F.explode(F.sequence("x.a", "x.z")).alias("start"))
+    windows = materialize(starts, "decon-windows")
+
+    # 2. cut them from the documents that have any, and fingerprint both sides
+    holders = windows.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).agg(F.collect_list(F.struct("item", "n", "start")).alias("at"))
+    own = rows.join(bounded(holders), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s")))
+    own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", "stamp", _split(F.lower("text")).alias("w"), F.explode("at").alias("at"))
+    # the slice is a column of its own, else it would be cut anew for every word
+    own = own.select("doc_id", "stamp", "at.*", F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"))
+    cut = own.select("doc_id", "stamp", "item", "n", "start", _shingles(F.col("w"), shingle).alias("wh"))
+    cut = materialize(cut.withColumn("window", F.monotonically_increasing_id()), "decon-cut")
+    window_fp = _fingerprint(cut, ["window", "item"], "wh")
+    item_fp = _fingerprint(items, ["item"], "ih")
+
+    # 3. windows within the radius of their item, by blocks
+    right = _blocks(item_fp, radius).withColumnRenamed("fp", "item_fp")
+    near = _blocks(window_fp, radius).join(bounded(right), ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = near.select("window").distinct()
+
+    # 4. the exact similarity: a shared shingle counts as often as both have it
+    again = cut.join(near, "window").select("window", "item", F.explode("wh").alias("h")).groupBy("window", "item", "h").agg(F.count(F.lit(1)).alias("c"))
+    shared = again.join(bounded(held.select("item", "h", "times")), ["item", "h"]).groupBy("window").agg(F.sum(F.least("c", "times")).alias("n_shared"))
+    sizes = bounded(items.select("item", "item_id", F.size("ih").alias("m")))
+    full = cut.select("window", "doc_id", "stamp", "item", "n", "start", F.size("wh").alias("k")).join(shared, "window").join(sizes, "item")
+    full = full.withColumn("n_all", F.col("k") + F.col("m") - F.col("n_shared")).withColumn("similarity", F.col("n_shared") / F.col("n_all"))
+    return full.where(F.col("similarity") >= similarity).select("doc_id", "stamp", "item_id", "n", "start", "n_shared", "n_all", "similarity")
+
+
+def _stamped(df: DataFrame, text: str) -> DataFrame:
+    return df.select("doc_id", F.xxhash64(F.col(text)).alias("stamp"), F.col(text).alias("text")).where("text is not null")
 
 
 def contaminated(
@@ -83,63 +138,31 @@ def contaminated(
     """Pairs of a document and a benchmark item that it repeats: doc_id, item_id, n_shared, n_all, similarity, start, n_words.
 
     n_shared and n_all are the shingles in both and in either of the best
-    window, each weighted by its number of repeats; of equals the first goes
-    that has a shared shingle at the item's own offset, else the first;
-    similarity is their quotient, `similarity` at least. start is the window's
-    first word. Texts are lower-cased. A document shorter than an item is one
-    window. Items with fewer words than a shingle, null and empty texts, and
-    rows with a null id match nothing; equal rows are one. Extra columns don't
-    matter, and an empty table on either side gives no rows.
+    window, each weighted by its number of repeats; of equals the first window
+    goes; similarity is their quotient, `similarity` at least. start is the
+    window's first word. Texts are lower-cased. A document shorter than an item
+    is one window. Items with fewer words than a shingle, null and empty texts,
+    and rows with a null id match nothing; equal rows are one, and of several
+    texts with one id the best window goes. Texts may be of any length. Extra
+    columns, whatever their names, don't matter, and an empty table on either
+    side gives no rows.
     """
-    items = pick(benchmark, "item_id", item_text).select("item_id", words(F.lower(F.col(item_text))).alias("__w")).where("item_id is not null").distinct()
-    items = items.select("item_id", F.size("__w").alias("n"), _shingles(F.col("__w"), shingle).alias("ih")).where(F.size("ih") > 0)
-    items = materialize(items, "decon-items")
-    rows = pick(docs, "doc_id", text).select("doc_id", F.lower(F.col(text)).alias("text")).where("doc_id is not null and text is not null")
-
-    # 1. where windows may lie: at starts whose window has enough places with a shingle of some item of its size
-    seeds = items.select("n", F.explode("ih").alias("h")).distinct()
-    hashed = rows.select("doc_id", F.xxhash64("text").alias("stamp"), _split(F.col("text")).alias("w"))
-    # positions are generated and hashed inside one stage of generated code; the array of words is not copied
-    hashed = hashed.select("doc_id", "stamp", "w", F.explode(F.when(F.size("w") >= shingle, F.sequence(F.lit(0), F.size("w") - shingle))).alias("p"))
-    hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), "p", F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(shingle)]).alias("h"))
-    placed = hashed.join(bounded(seeds), "h").groupBy("doc_id", "stamp", "n", "nd").agg(F.sort_array(F.collect_set("p")).alias("at"))
-    width = F.least("n", "nd") - shingle + 1
-    least = F.greatest(F.ceil((width + F.col("n") - shingle + 1) * (similarity / (1 + similarity)) - 1e-9), F.lit(1)).cast("int")
-    placed = placed.select("doc_id", "stamp", "n", "at", width.alias("k"), least.alias("least"), F.greatest(F.col("nd") - F.col("n"), F.lit(0)).alias("end")).where(F.size("at") >= F.col("least"))
-    # the starts at which place i is the first one inside, and the least-th one from it is inside as well
-    low = lambda i: F.greatest(F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0), F.get("at", i + F.col("least") - 1) - F.col("k") + 1)
-    spans = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), lambda i: F.struct(low(i).alias("a"), F.least(F.get("at", i), F.col("end")).alias("z")))
-    placed = placed.select("doc_id", "stamp", "n", F.explode(F.filter(spans, lambda x: x["a"] <= x["z"])).alias("x"))
-    windows = materialize(placed.select("doc_id", "stamp", "n", F.explode(F.sequence("x.a", "x.z")).alias("start")), "decon-windows")
-
-    # 2. cut them from the documents that have any, and fingerprint both sides
-    holders = windows.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).agg(F.collect_list(F.struct("n", "start")).alias("__at"))
-    own = rows.withColumn("stamp", F.xxhash64("text")).join(bounded(holders), (F.col("doc_id") == F.col("__d")) & (F.col("stamp") == F.col("__s")))
-    own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", _split(F.col("text")).alias("w"), F.explode("__at").alias("at"))
-    # the slice is a column of its own, else it would be cut anew for every word
-    own = own.select("doc_id", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"), (F.col("at.start") + F.col("at.n") >= F.size("w")).alias("last"))
-    cut = materialize(own.select("doc_id", "n", "start", "last", _shingles(F.col("w"), shingle).alias("wh")), "decon-cut")
-    key = ["doc_id", "n", "start"]
-    window_fp = _fingerprint(cut.select(*key, F.xxhash64("wh").alias("v"), "wh"), [*key, "v"], "wh")
-    item_fp = _fingerprint(items, ["item_id", "n"], "ih").withColumnRenamed("fp", "ifp").drop("m")
-
-    # 3. pairs within the radius, by blocks
-    left = _blocks(window_fp, radius)
-    right = _blocks(item_fp.withColumn("fp", F.col("ifp")), radius).drop("fp")
-    near = left.join(bounded(right), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    near = near.select(*key, "v", "item_id").distinct()
-
-    # 4. the exact similarity
-    full = near.join(cut.withColumn("v", F.xxhash64("wh")), [*key, "v"]).join(bounded(items.select("item_id", F.col("n").alias("__n"), "ih")), ["item_id"]).where("n = __n")
-    full = full.withColumn("n_shared", _common(F.col("wh"), F.col("ih")).cast("long"))
-    full = full.withColumn("n_all", (F.size("wh") + F.size("ih")).cast("long") - F.col("n_shared"))
-    full = full.withColumn("similarity", F.col("n_shared") / F.col("n_all")).where(F.col("similarity") >= similarity)
-    full = full.withColumn("own", _own_offset(F.col("wh"), F.col("ih"), F.col("start") == 0, F.col("last")))
-    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "own", (-F.col("start")).alias("s"), "n_shared", "n_all", "n")).alias("b"))
+    rows = _stamped(pick(docs, "doc_id", text).where("doc_id is not null"), text)
+    full = _repeats(rows, benchmark, item_text, shingle, similarity, radius)
+    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_shared", "n_all", "n")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_all", "b.similarity", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that repeat no item, with all their columns; rows without a doc_id stay."""
-    bad = contaminated(docs, benchmark, text, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return unpack(carry(docs, "doc_id").join(bounded(materialize(bad, "decon-bad")), F.col("doc_id") == F.col("__bad"), "left_anti"), docs)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS
+) -> DataFrame:
+    """The documents that repeat no item, with all their columns and as often as they are there.
+
+    A row goes by its own text, so rows without a doc_id, and others with the
+    same doc_id, are judged for themselves. Null and empty texts stay. Items
+    without an id are ignored. With an empty benchmark all rows stay.
+    """
+    rows = _stamped(pick(docs, "doc_id", text), text)
+    bad = _repeats(rows, benchmark, item_text, shingle, similarity, radius).select(F.col("doc_id").alias("__bad"), F.col("stamp").alias("__stamp")).distinct()
+    bad = bounded(materialize(bad, "decon-bad"))
+    return unpack(carry(docs, "doc_id", text).join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(text)) == F.col("__stamp")), "left_anti"), docs)

@@ -26,8 +26,6 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Documents in a chunk, on average.
 CHUNK = 4096
-#: A list of sources up to this long (some MB) may be broadcast.
-MAX_BROADCAST_SOURCES = 50_000
 #: (start, end) of the schedules in source order, repeating: falling, flat, rising.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
@@ -88,7 +86,7 @@ def _laid_out(docs: DataFrame, text: str, seed: int, weights, max_epochs: int, s
         F.col("source").alias("__s"), "source_size", "target", F.col("source_rank").alias("__rank"), "__n", F.element_at(starts, at).alias("__a"), F.element_at(ends, at).alias("__b")
     )
     # sent to all executors only if proven short; beyond that a shuffle join, which AQE splits at hot sources
-    src = bounded(materialize(src, "mix-sources"), MAX_BROADCAST_SOURCES)
+    src = bounded(materialize(src, "mix-sources"))
     # 31 bits of the hash spread a source's documents over its chunks
     part = F.shiftrightunsigned("__u", 33)
     chunks = F.greatest(F.ceil(F.col("__n") / CHUNK), F.lit(1))

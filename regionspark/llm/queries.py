@@ -104,16 +104,15 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
     "op6_decontamination": f"""
 WITH iw AS (SELECT DISTINCT item_id, {_WORDS.format("lower(text)")} AS ws FROM benchmark),
 ish AS (SELECT item_id, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS q, ws FROM iw WHERE len(ws) >= 5),
-ih AS (SELECT item_id, n, q - 1 AS q, array_to_string(ws[q:q + 4], ' ') AS h FROM ish),
+ih AS (SELECT item_id, n, array_to_string(ws[q:q + 4], ' ') AS h, count(*) AS times FROM ish GROUP BY ALL),
 dw AS (SELECT DISTINCT doc_id, {_WORDS.format("lower(text)")} AS ws FROM documents),
 dsh AS (SELECT doc_id, len(ws) AS nd, unnest(range(1, len(ws) - 3)) AS p, ws FROM dw WHERE len(ws) >= 5),
 dh AS MATERIALIZED (SELECT doc_id, nd, p - 1 AS p, array_to_string(ws[p:p + 4], ' ') AS h FROM dsh),
-win AS (SELECT DISTINCT doc_id, item_id, n, greatest(least(p - q, nd - n), 0) AS s FROM dh JOIN ih USING (h)),
-wc AS (SELECT doc_id, item_id, n, s, h, count(*) AS c FROM win JOIN dh USING (doc_id) WHERE p BETWEEN s AND s + n - 5 GROUP BY ALL),
-ic AS (SELECT item_id, h, count(*) AS c FROM ih GROUP BY ALL),
-tot AS (SELECT item_id, count(*) AS c FROM ih GROUP BY item_id),
-sim AS (SELECT wc.doc_id, wc.item_id, wc.n, wc.s, CAST(sum(least(wc.c, coalesce(ic.c, 0))) AS BIGINT) AS n_shared, CAST(sum(wc.c) + any_value(tot.c) - sum(least(wc.c, coalesce(ic.c, 0))) AS BIGINT) AS n_all
-  FROM wc LEFT JOIN ic ON wc.item_id = ic.item_id AND wc.h = ic.h JOIN tot ON wc.item_id = tot.item_id GROUP BY ALL),
-best AS (SELECT *, n_shared / n_all AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_shared / n_all DESC, s) AS k FROM sim)
-SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE k = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
+hit AS (SELECT doc_id, item_id, n, p, h, times, least(n, nd) - 4 AS k, greatest(nd - n, 0) AS last FROM dh JOIN ih USING (h)),
+place AS (SELECT doc_id, item_id, n, k, h, times, unnest(range(greatest(p - k + 1, 0), least(p, last) + 1)) AS s FROM hit),
+wc AS (SELECT doc_id, item_id, n, k, s, h, times, count(*) AS c FROM place GROUP BY ALL),
+sh AS (SELECT doc_id, item_id, n, k, s, CAST(sum(least(c, times)) AS BIGINT) AS n_shared FROM wc GROUP BY ALL),
+sim AS (SELECT *, k + n - 4 - n_shared AS n_all, n_shared / (k + n - 4 - n_shared) AS similarity FROM sh),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim)
+SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE r = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
 }

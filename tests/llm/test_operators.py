@@ -385,20 +385,21 @@ def test_token_counts_equal_the_tokenizer(spark, docs):
 
 
 def _contaminated(docs, items):
-    out = {}
-    for i, t in items:
-        w = (t or "").lower().split()
-        sh = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-        for d, text in docs:
-            v = (text or "").lower().split()
-            starts = {max(0, min(k - q, len(v) - len(w))) for k in range(len(v) - 4) for q in range(len(w) - 4) if v[k : k + 5] == w[q : q + 5]}
-            for s in starts:
-                part = v[s : s + len(w)]
-                got = Counter(tuple(part[k : k + 5]) for k in range(len(part) - 4))
-                n = sum((got & sh).values())
-                a = sum(got.values()) + sum(sh.values()) - n
-                if n / a >= 0.8 and (n / a, -s) > out.get((d, i), (0, 0))[:2]:
-                    out[d, i] = (n / a, -s, n, a)
+    """(doc, item) -> similarity, -start, shared and all shingles of the best of all windows."""
+    out, cut = {}, lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    held = [(i, len(w), Counter(cut(w))) for i, w in ((i, (t or "").lower().split()) for i, t in items) if len(w) >= 5]
+    for d, text in docs:
+        v = (text or "").lower().split()
+        own = cut(v)
+        for i, n, sh in held:
+            if sh.keys().isdisjoint(own):
+                continue
+            for s in range(max(1, len(v) - n + 1)):
+                got = Counter(own[s : s + n - 4])
+                both = sum((got & sh).values())
+                every = sum(got.values()) + sum(sh.values()) - both
+                if both / every >= 0.8 and (both / every, -s) > out.get((d, i), (0, 0))[:2]:
+                    out[d, i] = (both / every, -s, both, every)
     return out
 
 
@@ -426,7 +427,7 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, -r.start, r.n_shared, r.n_all) for r in decontam.contaminated(d, b).collect()}
     assert got == want and len(want) > 10
     clean = decontam.decontaminate(d, b)
-    assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {x[0] for x in docs} - {k for k, _ in want}
+    assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {x[0] for x in docs} - {k for k, _ in want} - {None}
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
 
@@ -457,6 +458,16 @@ def test_decontamination_of_passages_in_another_order(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(df, bench).collect()}
     assert got == want and {(0, 0), (1, 0), (2, 1)} <= set(got)
+    # first and last word changed and two put into the middle: the best window stands at no offset of the item's shingles
+    w = [f"w{k}" for k in range(58)]
+    item = spark.createDataFrame([(7, " ".join(w)), (7, " ".join(reversed(w)))], "item_id long, text string")
+    text = " ".join([*say("x", 20), "first", *w[1:28], "two", "more", *w[28:57], "last", *say("y", 20)])
+    want = _contaminated([(1, text)], [(7, " ".join(w))])
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start, r.n_shared, r.n_all) for r in decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), item).collect()}
+    assert got == want and len(want) == 1
+    # each row is judged by its own text, with or without an id
+    both = spark.createDataFrame([(1, text, "a"), (1, "another text of this id stays here", "b"), (None, text, "c"), (None, None, "d"), (2, "", "e")], "doc_id long, text string, stamp string")
+    assert {r.stamp for r in decontam.decontaminate(both, item).collect()} == {"b", "d", "e"}
 
 
 def _targets(sizes, weights=(5, 2, 1), most=3):
