@@ -32,7 +32,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     said = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["stop"].cast("string"))
     base = F.transform("spans", lambda s: said(s["kind"], s))
-    added = F.transform("terms", lambda s: said(F.lit(pii.TERM), s))
+    added = F.transform("terms", lambda s: said(s["kind"], s))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",

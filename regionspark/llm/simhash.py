@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, carry, materialize, pick, shuffle_partitions, unpack
+from ._common import bounded, carry, materialize, pick, shuffle_partitions, tidy, unpack
 from .components import connected_components
 
 BITS = 64
@@ -299,7 +299,7 @@ def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
 
     placed = reps.select("rep", "pieces").mapInArrow(spread, "anchor long, fp long, rep long")
     grouped = placed.repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor", "fp", "rep")
-    links = grouped.mapInArrow(lambda it: _compare(it, bits), "u long, v long").where("u <> v")
+    links = grouped.mapInArrow(tidy(lambda it: _compare(it, bits)), "u long, v long").where("u <> v")
     return links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -311,11 +311,11 @@ LOOK, COMMON, BLOCK = 32, 200_000, 4000
 def _common_shingles(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents hold, sorted, and about how many do; from one document in LOOK of a large table."""
     share = LOOK if rows.count() > 10_000 else 1
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "stamp"), F.lit(share)) == 0).select("text")
 
     def each(batches):
         for b in batches:
-            for t in b.column(1):
+            for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingle_hashes(t.as_py(), width, seed)).view(np.int64))], names=["h"])
 
     seen = some.mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
@@ -398,7 +398,7 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
 
 
 def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """made (doc_id, same, head), reps (rep, same, n, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components, and apart.
+    """made (doc_id, stamp, same, head), reps (same, doc_id, stamp, n, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components, and apart.
 
     All that are similar are there, and some more; they differ in `apart` shingles at least.
 
@@ -427,71 +427,64 @@ def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity:
                     for x in range(0, len(k), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)], t) for c, t in zip(cols, types)], names=["h", "part", "side", "rep", "cls", "n", "at"])
 
-    named = reps.join(bounded(parts), F.col("rep") == F.col("node"), "left").select("rep", F.col("same").alias("__same"), F.coalesce("component", "rep").alias("cls"))
-    placed = made.join(bounded(named), (F.col("doc_id") == F.col("rep")) & (F.col("same") == F.col("__same"))).select("rep", "cls", "n", "head")
-    placed = placed.mapInArrow(spread, "h long, part int, side int, rep long, cls long, n int, at int")
+    named = reps.join(bounded(parts), F.col("same") == F.col("node"), "left").select(F.col("same").alias("rep"), F.col("doc_id").alias("__d"), F.col("stamp").alias("__s"), F.coalesce("component", "same").alias("cls"))
+    placed = made.join(bounded(named), (F.col("same") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("rep", "cls", "n", "head")
+    placed = placed.mapInArrow(tidy(spread), "h long, part int, side int, rep long, cls long, n int, at int")
     grouped = placed.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
-    pairs = grouped.mapInArrow(lambda it: _meet(it, similarity), "u long, v long").distinct()
-    a = reps.select(F.col("rep").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
-    b = reps.select(F.col("rep").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
+    pairs = grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long").distinct()
+    a = reps.select(F.col("same").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
+    b = reps.select(F.col("same").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
     near = F.col("apart") * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6
     return pairs.join(a, "u").join(b, "v").withColumn("apart", apart).where(near).select("u", "v", "apart")
 
 
-def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id: classes of documents whose sets of word shingles are similar.
+def _near_nodes(docs: DataFrame, text: str, width: int, similarity: float, bits: int, seed: int) -> DataFrame:
+    """doc_id, stamp (of the text), node: equal nodes are one class.
 
-    Documents have 384-bit SimHash fingerprints of their sets, in twelve pieces of 32 bits.
-    Two that agree in one piece but for `bits` bits - all pairs within 35 of
-    384 bits do, and most pairs at the least similarity - meet at an anchor of
-    that piece's covering code. Of each local class links to its least member
-    go on; those of at most FAR_BITS bits are verified by the exact similarity
-    of the shingle sets, one a document first, then all that lie between the
-    classes these have made. This joins crowds at little cost, but not all.
-    Then an exact search takes every pair of unlike classes that shares one of
-    the shingles with which both sets begin, rare ones first (no pair at the
-    least similarity does without), and verifies what sizes, places and parities
-    allow: no pair is missed. Documents with equal sets enter once. A-Z are lowered;
-    texts without words are alike. A null doc_id is in no class.
+    A node is the hash of a shingle set, so texts meet by what they say,
+    whatever their ids, and texts with equal sets enter the search once.
     """
-    rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text")).where("doc_id is not null")
+    rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text)).alias("stamp"), F.col(text).alias("text"))
     common = _common_shingles(rows, width, seed)
 
     def sketch(batches):
         import xxhash
 
-        for b in batches:
+        # a part of a batch at a time: a worker holds what one of them takes
+        for b in (whole.slice(x, 512) for whole in batches for x in range(0, whole.num_rows, 512)):
             cols = [[] for _ in range(5)]
-            for t in b.column(1):
+            for t in b.column(2):
                 once = _sketched(t.as_py(), width, seed)
                 made = (xxhash.xxh64_intdigest(once.tobytes()) - (1 << 63), _long_fingerprint(once), len(once), _parity(once), _head(once, similarity, common).view(np.int64))
                 for c, x in zip(cols, made):
                     c.append(x)
             longs = pa.list_(pa.int64())
             types = [pa.int64(), longs, pa.int32(), longs, longs]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "same", "pieces", "n", "parity", "head"])
-
-    made = materialize(rows.mapInArrow(sketch, "doc_id long, same long, pieces array<long>, n int, parity array<long>, head array<long>"), "near-sketch")
-    reps = made.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("pieces", "n", "parity"), "doc_id").alias("x"))
-    reps = materialize(reps.select("same", "rep", "x.*"), "near-reps")
-    links = _piece_links(reps, bits)
-    a = reps.select(F.col("rep").alias("u"), F.col("pieces").alias("pu"))
-    b = reps.select(F.col("rep").alias("v"), F.col("pieces").alias("pv"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "stamp", "same", "pieces", "n", "parity", "head"])
+
+    made = materialize(rows.mapInArrow(tidy(sketch), "doc_id long, stamp long, same long, pieces array<long>, n int, parity array<long>, head array<long>"), "near-sketch")
+    # pieces, size and parity follow from the set; of its texts the one with the least id stands for it
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp")).alias("at")
+    reps = made.groupBy("same").agg(at, *[F.first(c).alias(c) for c in ("pieces", "n", "parity")])
+    reps = materialize(reps.select("same", "at.doc_id", "at.stamp", "pieces", "n", "parity"), "near-reps")
+    links = _piece_links(reps.select(F.col("same").alias("rep"), "pieces"), bits)
+    a = reps.select(F.col("same").alias("u"), F.col("pieces").alias("pu"))
+    b = reps.select(F.col("same").alias("v"), F.col("pieces").alias("pv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
     links = materialize(links.join(a, "u").join(b, "v").where(apart <= FAR_BITS).select("u", "v"), "near-links")
 
     def sets(batches):
-        for b in batches:
+        for b in (whole.slice(x, 512) for whole in batches for x in range(0, whole.num_rows, 512)):
             found = [np.unique(_shingle_hashes(t.as_py(), width, seed)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "s"])
 
     def sets_of(some):
         """The shingle sets of all ends of some links."""
-        ends = some.select(F.col("u").alias("__need")).distinct().union(some.select(F.col("v").alias("__need")).distinct())
-        need = materialize(ends.distinct(), "near-need")
-        texts = rows.join(bounded(need), F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"])
-        return materialize(texts.mapInArrow(sets, "n long, s array<long>"), "near-sets")
+        ends = some.select(F.explode(F.array("u", "v")).alias("need")).distinct().join(reps.select(F.col("same").alias("need"), F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")), "need")
+        need = bounded(materialize(ends, "near-need"))
+        texts = rows.join(need, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("need", "text").dropDuplicates(["need"])
+        return materialize(texts.mapInArrow(tidy(sets), "n long, s array<long>"), "near-sets")
 
     def similar(some, shingles):
         """The links that hold."""
@@ -515,23 +508,53 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
     more = materialize(_exact_links(made, reps, connected_components(held), similarity, common), "near-more")
     held = hold(more, more.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"), held)
     parts = connected_components(held)
-    named = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "rep").alias("component_id"))
-    return made.join(named, F.col("same") == F.col("__same")).select("doc_id", "component_id")
+    return made.join(parts, F.col("same") == F.col("node"), "left").select("doc_id", "stamp", F.coalesce("component", "same").alias("node"))
+
+
+def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """doc_id, component_id: classes of documents whose sets of word shingles are similar, a row per row of docs.
+
+    Documents have 384-bit SimHash fingerprints of their sets, in twelve pieces of 32 bits.
+    Two that agree in one piece but for `bits` bits - all pairs within 35 of
+    384 bits do, and most pairs at the least similarity - meet at an anchor of
+    that piece's covering code. Of each local class links to its least member
+    go on; those of at most FAR_BITS bits are verified by the exact similarity
+    of the shingle sets, one a document first, then all that lie between the
+    classes these have made. This joins crowds at little cost, but not all.
+    Then an exact search takes every pair of unlike classes that shares one of
+    the shingles with which both sets begin, rare ones first (no pair at the
+    least similarity does without), and verifies what sizes, places and parities
+    allow: no pair is missed.
+
+    A-Z are lowered; null texts, and texts without words, are alike; a text with fewer
+    words than a shingle is one shingle; texts may be of any length. Rows are
+    told apart by text, so texts that share a doc_id are judged for themselves.
+    A null doc_id takes part and is never the least, unless its whole class has
+    none. Extra columns don't matter; an empty table gives no rows.
+    """
+    nodes = materialize(_near_nodes(docs, text, width, similarity, bits, seed), "near-nodes")
+    least = nodes.groupBy(F.col("node").alias("__n")).agg(F.min("doc_id").alias("component_id"))
+    return nodes.join(least, F.col("node") == F.col("__n")).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """One document of each class of near_duplicate_classes stays, the one with the least doc_id, with all its columns.
+def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """One row of each class of near_duplicate_classes stays, with all its columns: that with the least doc_id.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id stay, for
-    nothing tells them apart.
+    Different texts with one doc_id are judged for themselves, and if one class
+    holds several of its least doc_id that with the least hash of its text
+    stays; of rows with the same text and doc_id one stays. Rows without a
+    doc_id take part, after all others.
     """
-    classes = materialize(near_duplicate_classes(docs, text, **options), "simhash-classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = carry(docs, "doc_id")
-    kept = rows.join(bounded(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    nodes = materialize(_near_nodes(docs, text, width, similarity, bits, seed), "near-nodes")
+    stays = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp")).alias("at"))
+    stays = stays.select(F.col("at.doc_id").alias("__d"), F.col("at.stamp").alias("__s"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))
+    gone = nodes.select("doc_id", "stamp").distinct().join(stays, same, "left_anti").select(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s"))
+    rows = carry(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("stamp", F.xxhash64(F.col(text)))
+    kept = rows.join(bounded(materialize(gone, "near-gone")), same, "left_anti")
+    twice = nodes.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).count().where("count > 1").join(gone, ["__d", "__s"], "left_anti").select("__d", "__s")
+    twice = materialize(twice, "near-twice")
     if not twice.isEmpty():
-        twice = bounded(materialize(twice, "simhash-twice"))
-        same = F.col("doc_id") == F.col("__twice")
-        kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+        twice = bounded(twice)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "stamp"]))
     return unpack(kept, docs)
