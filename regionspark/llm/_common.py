@@ -131,15 +131,6 @@ def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
     return df.withColumn("__u", F.pmod(u, F.lit(1 << 40))).orderBy("__u", *keys).limit(limit).drop("__u")
 
 
-def size_hint(df: DataFrame) -> int:
-    """Catalyst's size estimate in bytes, from file sizes; nothing is read.
-
-    Only partition counts and packing widths follow it, never which rows count.
-    """
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(n, 1 << 20), 1 << 50)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -74,8 +74,9 @@ def _invert(share: Column, start: Column, end: Column) -> Column:
 
 def _laid_out(docs: DataFrame, text: str, seed: int, weights, max_epochs: int, schedules, whole: bool) -> DataFrame:
     """doc_id, source, size, source_size, target, __kept (starts of the passes taken), __a, __b and, if whole, __row."""
-    base = pick(docs, "doc_id", text, "source").select("doc_id", "source", n_words(F.col(text)).alias("size"))
-    base = materialize(base.withColumn("__u", F.xxhash64(F.col("doc_id"), F.lit(seed))), "mix-sizes")
+    # the order takes in the text, so that rows without an id, or with one id, are spread, too, and reruns agree
+    place = F.xxhash64("doc_id", F.col(text), F.lit(seed)).alias("__u")
+    base = materialize(pick(docs, "doc_id", text, "source").select("doc_id", "source", n_words(F.col(text)).alias("size"), place), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("__n"))
     src = source_targets(sizes.select("source", "source_size"), weights, max_epochs)
     src = src.join(sizes.select(F.col("source").alias("__s"), "__n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -96,8 +97,7 @@ def _laid_out(docs: DataFrame, text: str, seed: int, weights, max_epochs: int, s
     base_of = per_chunk.select("__rank", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     rows = base
     if whole:
-        rows = carry(docs, "doc_id", text, "source").select("__row", "doc_id", "source", n_words(F.col(text)).alias("size"))
-        rows = rows.withColumn("__u", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+        rows = carry(docs, "doc_id", text, "source").select("__row", "doc_id", "source", n_words(F.col(text)).alias("size"), place)
     inside = Window.partitionBy("__rank", "__chunk").orderBy("__u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = chunk(rows).withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base_of, ["__rank", "__chunk"])
     passes = F.array(*[F.lit(float(e)) for e in range(max_epochs)])
@@ -116,17 +116,23 @@ def mix_positions(docs: DataFrame, text: str = "text", seed: int = 7, weights=WE
     is taken, at most max_epochs of them; taken is their number times size. A
     pass over a document counts if at least half of it lies below the source's
     target, so a source's taken words miss its target by half a document at
-    most. Null texts have size 0 and are never taken; null sources are one
-    source, the last; equal rows are told apart by nothing and share the same
-    treatment; an empty table gives no rows. Reruns agree.
+    most. Null and empty texts have size 0 and are never taken; null sources are one
+    source, the last; nulls in doc_id stay; equal rows are told apart by nothing
+    and lie end to end; texts may be of any length; extra columns don't matter;
+    an empty table gives no rows. Reruns agree.
     """
     laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=False)
     return laid.select("doc_id", "source", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
-    """The mix itself, with all columns of docs: a row for each pass over a document, range-sorted by position."""
+    """The mix itself, with all columns of docs: a row for each pass over a document, range-sorted by position.
+
+    Which rows are taken, and how often, is as in mix_positions: texts without
+    words never, null sources as one source, nulls in doc_id like others. Equal
+    rows each have passes of their own. An empty table gives no rows.
+    """
     laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=True)
-    passes = laid.select("__row", "doc_id", F.posexplode("positions").alias("__epoch", "__position"))
-    passes = passes.orderBy("__position", "doc_id", "__epoch")
+    passes = laid.select("__row", "doc_id", "__u", F.posexplode("positions").alias("__epoch", "__position"))
+    passes = passes.orderBy("__position", "doc_id", "__u", "__epoch")
     return unpack(passes, docs)

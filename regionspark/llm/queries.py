@@ -74,6 +74,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op10_mixing by source."""
+    docs = table(spark, sf_dir, "documents").select("source", mixing.n_words(F.col("text")).alias("size"))
+    sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    return mixing.source_targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "mixing_targets": mixing_targets,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -115,4 +123,13 @@ sh AS (SELECT doc_id, item_id, n, k, s, CAST(sum(least(c, times)) AS BIGINT) AS
 sim AS (SELECT *, k + n - 4 - n_shared AS n_all, n_shared / (k + n - 4 - n_shared) AS similarity FROM sh),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim)
 SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE r = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
+    # the level at which the targets add up to all words, by trying each source as the last one below its bound
+    "mixing_targets": f"""
+WITH s AS (SELECT source, CAST(sum(len({_WORDS.format("text")})) AS BIGINT) AS source_size FROM documents GROUP BY source),
+r AS (SELECT *, CAST(([5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w FROM s),
+try AS (SELECT 3 * source_size / w AS fill FROM r),
+level AS (SELECT fill, (SELECT sum(least(3 * source_size, w * fill)) FROM r) AS held, (SELECT sum(source_size) FROM r) AS total FROM try),
+top AS (SELECT coalesce(max(fill) FILTER (WHERE held <= total), 0) AS full_at FROM level),
+free AS (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (WHERE 3 * source_size / w <= full_at), 0)) / sum(w) FILTER (WHERE 3 * source_size / w > full_at) AS lvl FROM r, top)
+SELECT source, source_size, round(least(3 * source_size, coalesce(lvl, 1e300) * w), 3) AS target FROM r, free""",
 }

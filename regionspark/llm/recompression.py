@@ -20,8 +20,8 @@ is folded into the window's name, so long repeats show up as shared names:
 3. Marks return to their documents, which are parsed again: the marked names
    are found among the document's own windows and their words are removed.
 
-Names are as long as the corpus needs: about 0.01 wrong merges are expected in
-the whole of it, at any size.
+The words are counted first, and names are as long as that number needs: with
+n windows at most 0.01 wrong merges are expected in all of them, at any n.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, shuffle_partitions, size_hint
+from ._common import WORD, pick, tidy
 
 WINDOW = 13
 LEVELS = 2
 #: Bytes of text parsed at a time, and windows collected before they are sent.
 PIECE = 2 << 20
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of text that meet in one group of the last step.
-GROUP = 24 << 20
+GROUP = 16 << 20
 
 _U = np.uint64
 # multipliers of the 64-bit mixing function (fixed values) and of the folds (any odd numbers)
@@ -167,12 +167,12 @@ def window_names(sym: np.ndarray, doc: np.ndarray, window: int = WINDOW, levels:
 class Plan:
     """How many leading bits choose where a name is sent, and how many bytes of it follow."""
 
-    def __init__(self, corpus_bytes: int, window: int, levels: int):
-        n = max(corpus_bytes / 3, 1 << 16)  # windows, roughly: Parquet needs some three bytes a word
+    def __init__(self, n_words: int, n_bytes: int, window: int, levels: int):
+        n = max(n_words, 1 << 16)  # there are no more windows than words
         self.window, self.levels = window, levels
-        self.bucket_bits = min(max(round(math.log2(n / (1 << 14))), 4), 20)
+        self.bucket_bits = min(max(round(math.log2(n / (1 << 14))), 4), 24)
         self.rest = max(1, math.ceil((2 * math.log2(n) - 1 + math.log2(100) - self.bucket_bits) / 8))
-        self.groups = max(1, math.ceil(2 * corpus_bytes / GROUP))
+        self.groups = max(1, math.ceil(n_bytes / GROUP))
 
     @property
     def wide(self) -> bool:
@@ -419,19 +419,21 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, l
     kept_text joins the rest by single spaces. Repeats inside one document, and
     rows with the same doc_id, do not count against each other. A null or empty
     text, or one shorter than the window, keeps all it has; a null doc_id is
-    neither smaller nor larger than any, so its row keeps all. An empty table
-    gives no rows. `levels` may be any number; more than 2 leave a window of 13
+    neither smaller nor larger than any, so its row keeps all. Texts may be of any
+    length; extra columns don't matter. An empty table gives no rows. `levels` may be any number; more than 2 leave a window of 13
     words nothing to parse.
     """
-    spark = docs.sparkSession
-    plan = Plan(size_hint(docs), window, levels)
     rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sent = rows.where("doc_id is not null and text is not null").mapInArrow(_send(plan), "key long, kind byte, payload binary")
+    size = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
+    plan = Plan(size[0] or 0, size[1] or 0, window, levels)
+    sent = rows.where("doc_id is not null and text is not null").mapInArrow(tidy(_send(plan)), "key long, kind byte, payload binary")
     marks = sent.groupBy("key").applyInArrow(_mark(plan), _MARKED)
 
     def place(batches):
         for b in batches:
-            doc = b.column(0).fill_null(0).to_numpy()
+            doc = np.array(b.column(0).fill_null(0))
+            for k in np.flatnonzero(np.asarray(b.column(0).is_null())):
+                doc[k] = _stamp((b.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass"))  # no mark waits for these; anywhere will do
             yield pa.RecordBatch.from_arrays([pa.array(_group_of(doc, plan.groups)), b.column(0), b.column(1)], names=["grp", "doc_id", "text"])
 
     placed = rows.mapInArrow(place, "grp long, doc_id long, text string")

@@ -3,8 +3,9 @@
 A shard holds the documents of one range of doc_id in ascending order:
 ``<shard>.ids`` is their ids end to end, unsigned little-endian integers (16
 bits if the vocabulary fits, else 32); ``<shard>.idx`` is the magic
-``TOKIDX01``, the id width, the number of documents n and the shard's number as
-three int64, then n + 1 int64 offsets in ids and n int64 doc_ids.
+``TOKIDX02``, the id width, the number of documents n, how many of them, the
+last ones, have no doc_id, and the shard's number as four int64, then n + 1
+int64 offsets in ids and n int64 doc_ids.
 The shards' bases are the prefix sums of their id counts.
 
 Executors write shards under names of their own attempt, and only the rows that
@@ -17,6 +18,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,9 +29,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick, scratch, shuffle_partitions, worker_memory
+from ._common import materialize, pick, scratch, shuffle_partitions, tidy, worker_memory
 
-MAGIC = b"TOKIDX01"
+MAGIC = b"TOKIDX02"
 END_ID = 2
 #: Unicode White_Space (fixed value). Byte-level pre-tokenization never joins a character
 #: before one of these to it, so a text may be cut before each run of them.
@@ -39,8 +41,8 @@ _SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr
 #: is never joined to either, so "word," and "word" share a piece.
 _LETTER = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
 _PIECES = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@\\[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Entries of a worker's memory of encoded pieces; it starts anew when full.
-CACHE = 1_500_000
+#: Bytes of a worker's memory of encoded pieces, which starts anew when full; pieces of more characters are not remembered.
+CACHE_BYTES, LONG = 144 << 20, 256
 #: New pieces that are encoded as one text; they can be told apart again by their bytes.
 TOGETHER = 200
 
@@ -65,6 +67,7 @@ class PieceEncoder:
             self.bytes[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, new: list[str]) -> None:
         known, kind = self.known, f"<u{self.width}"
@@ -91,16 +94,23 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
         pieces = [_PIECES.findall(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         new = set(itertools.chain.from_iterable(pieces)).difference(self.known)
         if new:
             self._learn(list(new))
-        look = self.known.__getitem__
-        return [b"".join(map(look, ps)) for ps in pieces]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
+        known = self.known
+        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+            else:
+                # an entry's share of the table takes some 100 bytes
+                self.held += sys.getsizeof(p) + sys.getsizeof(known[p]) + 100
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts of a task's rows, some characters at a time."""
     ids, texts, n = [], [], 0
     for b in batches:
@@ -119,14 +129,17 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer: str, text: str
     """Write docs as shards under out_dir; returns their manifest (shard, ids_path, idx_path, n_docs, n_ids, width, base).
 
     Null texts are empty, an empty document is its end id alone, rows with a
-    null doc_id are left out (they have no place in the order), equal doc_ids
-    follow each other in order of their texts, and an empty table has an empty
-    manifest. The path of the tokenizer's file must exist on every executor.
+    null doc_id come last, equal doc_ids (and null ones) follow each other in an
+    order that their texts fix, and an empty table has an empty manifest. Texts
+    may be of any length; extra columns don't matter. The path of the
+    tokenizer's file must exist on every executor.
     """
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
-    rows = pick(docs, "doc_id", text).select("doc_id", F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    rows = rows.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    # the hash spreads many rows of one id, or without one, over ranges
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
@@ -138,7 +151,7 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer: str, text: str
         stem = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         width = max(enc.width, 2 if end_id < 1 << 16 else 4)
         end = np.array([end_id], f"<u{width}").tobytes()
-        lengths, keys = [], []
+        lengths, keys, missing = [], [], 0
         sink = None
         for ids, texts in _blocks(batches):
             if sink is None:
@@ -147,7 +160,8 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer: str, text: str
             if width != enc.width:
                 encoded = [np.frombuffer(e, f"<u{enc.width}").astype(f"<u{width}").tobytes() for e in encoded]
             lengths.append(np.fromiter((len(e) // width + 1 for e in encoded), np.int64, len(encoded)))
-            keys.append(np.array(ids, np.int64))
+            missing += ids.count(None)
+            keys.append(np.array([0 if i is None else i for i in ids], np.int64))
             sink.write(end.join(encoded) + end)
         if sink is None:
             return
@@ -155,13 +169,13 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer: str, text: str
         length, key = np.concatenate(lengths), np.concatenate(keys)
         offsets = np.concatenate([[0], np.cumsum(length)]).astype("<i8")
         with store.open_output_stream(f"{stem}.idx") as f:
-            f.write(MAGIC + np.array([width, len(key), shard], "<i8").tobytes() + offsets.tobytes() + key.astype("<i8").tobytes())
+            f.write(MAGIC + np.array([width, len(key), missing, shard], "<i8").tobytes() + offsets.tobytes() + key.astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict(
             {"shard": [shard], "ids_path": [f"{stem}.ids"], "idx_path": [f"{stem}.idx"], "n_docs": [len(key)], "n_ids": [int(offsets[-1])], "width": [width]},
             schema=pa.schema([("shard", pa.int64()), ("ids_path", pa.string()), ("idx_path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int64())]),
         )
 
-    manifest = rows.mapInArrow(write, "shard long, ids_path string, idx_path string, n_docs long, n_ids long, width long")
+    manifest = rows.mapInArrow(tidy(write), "shard long, ids_path string, idx_path string, n_docs long, n_ids long, width long")
     # written once: what later jobs read are the files of the attempts that this write saw finish
     manifest = materialize(manifest, "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
@@ -191,8 +205,8 @@ def read_token_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
                 idx = _open(store, row["idx_path"])
                 if idx[:8].tobytes() != MAGIC:
                     raise ValueError(f"{row['idx_path']}: not an index of token ids")
-                width, n, _ = (int(x) for x in idx[8:32].view("<i8"))
-                offsets, keys = idx[32 : 40 + 8 * n].view("<i8"), idx[40 + 8 * n : 40 + 16 * n].view("<i8")
+                width, n, missing, _ = (int(x) for x in idx[8:40].view("<i8"))
+                offsets, keys = idx[40 : 48 + 8 * n].view("<i8"), idx[48 + 8 * n : 48 + 16 * n].view("<i8")
                 ids = _open(store, row["ids_path"]).view(f"<u{width}")
                 if len(ids) != offsets[-1]:
                     raise ValueError(f"{row['ids_path']}: {len(ids)} ids, its index says {offsets[-1]}")
@@ -201,7 +215,7 @@ def read_token_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
                     block = ids[o[0] : o[-1]].astype("<u4")
                     crc = [zlib.crc32(block[a - o[0] : z - o[0]]) for a, z in zip(o[:-1], o[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(keys[at : at + 8192])), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
+                        [pa.array(np.array(keys[at : at + 8192]), mask=np.arange(at, at + len(crc)) >= n - missing), pa.array(o[:-1] + row["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
@@ -210,7 +224,10 @@ def read_token_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
 
 
 def tokenize_to_binary(docs: DataFrame, tokenizer: str, out_dir: str | None = None, **options) -> tuple[DataFrame, DataFrame, str]:
-    """Write and reread: (documents, manifest, folder)."""
+    """Write and reread: (documents, manifest, folder); the documents are as read_token_shards gives them, a row per row of docs.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns are as in write_token_shards.
+    """
     out_dir = out_dir or scratch(docs.sparkSession, "token-ids")
     manifest = write_token_shards(docs, out_dir, tokenizer, **options)
     return read_token_shards(manifest, out_dir), manifest, out_dir

@@ -16,6 +16,7 @@ worker counts a repeated word once.
 from __future__ import annotations
 
 import itertools
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ from ._common import pick, worker_memory
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers; it starts anew when full.
-CACHE = 400_000
+#: Bytes of the words that a worker remembers, which starts anew when full; words of more characters are not remembered.
+CACHE_BYTES, LONG = 64 << 20, 256
+#: Characters whose scores are kept at a time, besides those that the longest piece may still reach back to.
+KEPT = 1 << 16
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -49,13 +52,14 @@ class UnigramCounter:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         names = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
+        self.longest = max((len(p) for p in names), default=1)
         self.known: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def word(self, text: str) -> tuple[int, float]:
         """(ids, score) of one word, U+2581 and all."""
         n = len(text)
-        best = [0.0] * (n + 1)
-        ids = [0] * (n + 1)
+        best, ids, base = [0.0], [0], 0  # of the text up to each character from base on
         unknown, in_bytes = self.unknown, self.bytes
         run = -1  # where the last path that ends in an unknown character ends
         done = -1  # the last character whose paths are settled
@@ -66,20 +70,25 @@ class UnigramCounter:
             while done + 1 < end:  # all pieces that end at character done + 1 have been seen
                 done += 1
                 if not single:
-                    got = best[done] + unknown
+                    got = best[-1] + unknown
                     if top is None or got > top:
                         top = got
-                        count = ids[done] + (len(text[done].encode("utf-8", "surrogatepass")) if in_bytes else run != done)
+                        count = ids[-1] + (len(text[done].encode("utf-8", "surrogatepass")) if in_bytes else run != done)
                         run = done + 1
-                best[done + 1], ids[done + 1] = top, count
+                best.append(top)
+                ids.append(count)
                 top, single = None, False
+                if len(best) > KEPT + self.longest:
+                    # no piece reaches back further
+                    del best[:KEPT], ids[:KEPT]
+                    base += KEPT
             if end < n:
-                start = end + 1 - length
+                start = end + 1 - length - base
                 got = best[start] + score
                 if top is None or got > top:
                     top, count = got, ids[start] + 1
                 single = length == 1
-        return ids[n], best[n]
+        return ids[-1], best[-1]
 
     def count(self, text: str) -> tuple[int, float]:
         """(ids, score) of a whole text; an empty one has none."""
@@ -87,14 +96,18 @@ class UnigramCounter:
             return 0, 0.0
         text = text.replace(" ", SPACE)
         parts = (text if text[0] == SPACE else SPACE + text).split(SPACE)[1:]
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
-        if len(known) > CACHE:
-            self.known = known = {}
         total, score = 0, 0.0
         for w in parts:
             got = known.get(w)
             if got is None:
-                got = known[w] = self.word(SPACE + w)
+                got = self.word(SPACE + w)
+                if len(w) <= LONG:
+                    # the entry and its pair of numbers take some 220 bytes
+                    known[w] = got
+                    self.held += sys.getsizeof(w) + 220
             total += got[0]
             score += got[1]
         return total, score
@@ -104,8 +117,9 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, score (of the best segmentation).
 
     Null and empty texts have 0 tokens and score 0; nulls in doc_id stay; equal
-    rows count alike; an empty table gives no rows. The model file's path must
-    exist on every executor.
+    rows count alike; texts, and words in them, may be of any length; extra
+    columns don't matter; an empty table gives no rows. The model file's path
+    must exist on every executor.
     """
     rows = pick(docs, "doc_id", text).select(F.col("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -334,6 +334,63 @@ def test_revealing_terms(spark):
     assert again == {k: [tuple(t) for t in r.terms] for k, r in got.items()}
 
 
+def test_disclosure_by_brute_force(spark):
+    """n, df, P and bits of every term and entity from all documents, one word rule, eight words whatever lies between."""
+    rng = random.Random(2)
+    vocab = [f"word{k}" for k in range(40)] + ["to", "a\u00a0b", "x" * 700]
+    texts = [None, ""]
+    for i in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(5, 40))]
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w)), rng.choice([f"me@x{i % 3}.org,", "10.1.2.3", "+49 30 1234567", "k9X2b7Qw4Zt8Lm1Pr6Vs"]))
+        if rng.random() < 0.2:
+            w[rng.randrange(len(w))] = "rareterm"
+            w.insert(rng.randrange(len(w)), "10.1.2.9")
+        texts.append("  ".join(w))
+    near, df, ne = Counter(), Counter(), Counter()
+    for t in texts:
+        t = t or ""
+        base = pii.base_spans(t)
+        base += pii.secret_spans(t, lambda s, e: any(x < e and s < y for _, x, y in base))
+        words = [m.span() for m in WORD.finditer(t)]
+        df.update({pii._term(t[a:z]) for a, z in words})
+        ents, pairs = set(), set()
+        for k, s, e in base:
+            own = pii._entities(k, t[s:e])
+            ents.update(own)
+            around = [w for w in words if w[1] <= s][-8:] + [w for w in words if w[0] >= e][:8]
+            for a, z in around:
+                term = pii._term(t[a:z])
+                if len(term) >= 3 and not any(x < z and a < y for _, x, y in base):
+                    pairs.update((term, x) for x in own)
+        near.update(pairs)
+        ne.update(ents)
+    want = {}
+    for (term, e), n in near.items():
+        p = n / df[term]
+        bits = np.log2(p * len(texts) / ne[e])
+        if n >= 3 and p >= 0.5 and bits > 0:
+            want[term, e] = (n, df[term], p)
+    frame = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    got = {(r.term, r.entity): (r.n, r.df, r.p) for r in pii.disclosure(frame).collect()}
+    assert got == want and {("rareterm", "ip~10.1.2."), ("rareterm", "ip*")} <= set(want)
+
+
+def test_terms_far_off_and_without_the_value(spark):
+    far = [(i, "mail joe@ex.com " + "x" * 600 + " zebra") for i in range(6)] + [(10 + i, "a\u00a0b joe@ex.com") for i in range(6)]
+    far += [(100 + i, f"nothing {i}") for i in range(30)]
+    far += [(20, "the zebra stands alone"), (20, "other text of that id, me@org.example"), (None, "zebra again"), (31, 'token = "908038b7daaf91e730d2f64001c52934d43908aa" end')]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    got = [(r.doc_id, r.text, r.spans, r.terms) for r in pii._marked(df, "text", 8, 3, 0.5, 0.9).collect()]
+    said = lambda t, terms: {t[x.start : x.stop] for x in terms}
+    by_text = {t: said(t, terms) for _, t, _, terms in got}
+    assert by_text[far[0][1]] == {"mail", "x" * 600, "zebra"} and by_text[far[6][1]] == {"a\u00a0b"}
+    assert by_text["the zebra stands alone"] == {"zebra"} and by_text["zebra again"] == {"zebra"} and by_text["other text of that id, me@org.example"] == set()
+    assert by_text[far[-1][1]] == {"908038b7daaf91e730d2f64001c52934d43908aa"}
+    clean = sorted((str(r.doc_id), r.text) for r in pii.sanitise(df).collect())
+    assert [t for i, t in clean if i == "20"] == ["other text of that id, <EMAIL>", "the <TERM> stands alone"] and not any("joe@" in t for _, t in clean)
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -341,14 +398,15 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     odd = spark.createDataFrame([(500, "it's <|endoftext|> a  b　c \x85d\n\n word,word Жw-x"), (501, "\n \n"), (-5, "minus")], "doc_id long, text string")
     both = pick(docs, "doc_id", "text").unionByName(odd)
     t = Tokenizer.from_file(path)
-    rows = sorted(((r.doc_id, r.text or "") for r in both.collect() if r.doc_id is not None))
+    rows = sorted(((r.doc_id, r.text or "") for r in both.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert rows[-1][0] is None and rows[-2][0] is not None
     start, want = 0, []
     for i, text in rows:
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     got, manifest, _ = tokenbin.tokenize_to_binary(both, path, f"file://{tmp_path}/out")
-    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     files = manifest.collect()
     assert sum(f.n_ids for f in files) == start and sorted(f.base for f in files)[0] == 0
     assert tokenbin.tokenize_to_binary(_empty(docs), path)[0].count() == 0
@@ -470,6 +528,20 @@ def test_decontamination_of_passages_in_another_order(spark):
     assert {r.stamp for r in decontam.decontaminate(both, item).collect()} == {"b", "d", "e"}
 
 
+def test_texts_without_white_space_are_no_burden(spark):
+    """5 MB in one word, or in words of one letter: operators that look into words hold bounded memory and agree with small texts."""
+    long = "ab" * 2_500_000
+    c = viterbi.UnigramCounter([("<unk>", 0.0), ("ab", -1.0), ("a", -2.0), (viterbi.SPACE, -1.0)])
+    assert c.count(long)[0] == 2_500_001 and not c.known and c.count("\u4e00" * 300_000)[0] == 2
+    e = tokenbin.PieceEncoder(queries.tokenizer_file())
+    text = "é" * 50_000
+    assert np.frombuffer(e.encode([text])[0], "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and not e.known
+    assert pii.base_spans(long) == [] and pii.secret_spans(long, lambda s, z: False) == []
+    rows = [(0, long), (1, "a b " * 1_000_000), (2, "a b " * 20), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in recompression.substring_dedup(df).orderBy("doc_id").collect()] == [(1, 0), (2_000_000, 2_000_000 * 0), (40, 40), (1, 0)]
+
+
 def _targets(sizes, weights=(5, 2, 1), most=3):
     total = sum(sizes.values())
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
@@ -506,6 +578,33 @@ def test_mixing(docs):
     assert mixing.mix_positions(_empty(docs)).count() == 0
 
 
+def test_mixing_spreads_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    df = spark.createDataFrame([(None, f"w {i} " * (i % 9), "a") for i in range(400)], "doc_id long, text string, source string")
+    laid = mixing._laid_out(df, "text", 7, mixing.WEIGHTS, 3, mixing.SCHEDULES, False)
+    assert laid.select("__chunk").distinct().count() > 15
+    a, b = (sorted(map(str, mixing.mix_positions(df).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_mixing_targets_as_sql(spark, duck):
+    from conftest import rows
+
+    got = queries.QUERIES["mixing_targets"](spark, f"{DATA}/sf0.001").toPandas()
+    assert rows(got) == rows(duck.execute(queries.ORACLE_SQL["mixing_targets"]).df())
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Different texts that share a doc_id, or have none, are judged for themselves."""
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, say("a", 40)), (1, say("b", 40)), (1, say("a", 40)), (2, say("B", 40)), (None, say("b", 40)), (None, say("c", 40)), (None, say("c", 40)), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted([("1", say("a", 40)), ("1", say("b", 40)), ("None", say("c", 40)), ("3", "")])
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicate_classes(df).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (None, 1): 1, (None, None): 2, (3, 3): 1, (4, 3): 1})
+
+
 def test_mixing_many_chunks_and_caps(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 16)
     rows = [(i, "w " * (i % 9), "a" if i % 90 == 0 else "b" if i % 2 else f"c{i % 8}") for i in range(900)]
