@@ -9,10 +9,12 @@ probability. All fits use at most MAX_LABELLED labelled rows, chosen by a hash.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, label: str) -> Data
     """doc_id, text, y, part (0-3 fit, 4 calibration) of at most MAX_LABELLED rows that may be learned from."""
     rows = pick(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.max(label).cast("double").alias("y"))
+    # labels without a document use up no places
+    rows = rows.join(pick(docs, "doc_id").select(F.col("doc_id").cast("long").alias("__have")), F.col("__d") == F.col("__have"), "left_semi")
     rows = hash_sample(rows, MAX_LABELLED, "__d").select("__d", "y", F.pmod(F.xxhash64("__d", F.lit(1)), F.lit(5)).cast("int").alias("part"))
     texts = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     # at most MAX_LABELLED rows of 20 bytes are broadcast
@@ -82,31 +86,51 @@ def features(docs: DataFrame, learned: frozenset[str], text: str = "text", *more
     return rows.mapInArrow(run, ", ".join([*(f"{m} {types[m]}" for m in more), "x array<double>"]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic") -> DataFrame:
-    """One row per document: doc_id, held_out, score.
+class Model(NamedTuple):
+    """What a fit gives: the learned list, boosted trees and their isotonic calibration; without both classes only the rate of toxic rows."""
 
-    Held-out rows give no label. Null and empty texts are scored by their zero
-    features, null doc_ids are scored but never learned from, an id labelled
-    both ways counts as toxic, labels without a document are ignored, and an
-    empty table gives no rows. If the labelled rows hold one class only, every
-    text gets that class's rate (0 if there are none).
-    """
+    rate: float
+    learned: frozenset[str] = frozenset()
+    trees: GBTClassificationModel | None = None
+    level: IsotonicRegressionModel | None = None
+
+
+def _raw(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    return trees.transform(df).withColumn("p", vector_to_array("probability")[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic") -> Model:
+    """List and trees from four fifths of the labelled rows, the calibration from the rest."""
     labelled = materialize(_labelled(docs, labels, text, label), "toxic-labelled")
     rate = labelled.agg(F.avg("y"), F.min("y"), F.max("y")).first()
-    rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    out = held_out(F.col("doc_id")).alias("held_out")
     if rate[0] is None or rate[1] == rate[2]:
-        return rows.select("doc_id", out, F.lit(float(rate[0] or 0)).alias("score"))
-    seen = labelled.where("part < 4")
-    learned = learn_lexicon(seen)
+        return Model(float(rate[0] or 0))
+    learned = learn_lexicon(labelled.where("part < 4"))
     train = materialize(features(labelled, learned, "text", "y", "part"), "toxic-train").select("y", "part", array_to_vector("x").alias("features"))
     fit_rows, rest = train.where("part < 4"), train.where("part = 4")
     classes = {r["part"]: r["n"] for r in train.groupBy((F.col("part") == 4).cast("int").alias("part")).agg(F.countDistinct("y").alias("n")).collect()}
     if classes.get(0, 0) < 2 or classes.get(1, 0) < 2:  # too few rows to set some aside
         fit_rows = rest = train
     trees = GBTClassifier(featuresCol="features", labelCol="y", maxIter=20, maxDepth=4, stepSize=0.3, seed=7, maxBins=64).fit(fit_rows.coalesce(4))
-    raw = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1])
-    level = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="score").fit(raw(rest).select("p", "y").coalesce(1))
-    feats = features(rows, learned, "text", "doc_id").select("doc_id", array_to_vector("x").alias("features"))
-    scored = level.transform(raw(feats))
+    level = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="score").fit(_raw(trees, rest).select("p", "y").coalesce(1))
+    return Model(float(rate[0]), learned, trees, level)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score.
+
+    Held-out rows give no label. Null and empty texts are scored by their zero
+    features, texts of any length by all of theirs; null doc_ids are scored but
+    never learned from, an id labelled both ways counts as toxic, labels
+    without a document are ignored, extra columns don't matter, and an empty
+    table gives no rows. If the labelled rows hold one class only, every text
+    gets that class's rate (0 if there are none).
+    """
+    model = fit(docs, labels, text, label)
+    rows = pick(docs, "doc_id", text).select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
+    out = held_out(F.col("doc_id")).alias("held_out")
+    if model.trees is None:
+        return rows.select("doc_id", out, F.lit(model.rate).alias("score"))
+    feats = features(rows, model.learned, "text", "doc_id").select("doc_id", array_to_vector("x").alias("features"))
+    scored = model.level.transform(_raw(model.trees, feats))
     return scored.select("doc_id", out, F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)).alias("score"))

@@ -671,6 +671,57 @@ def test_classifiers_without_labels_and_with_odd_rows(spark, docs):
     assert toxicity.score_toxicity(_empty(docs), none).count() == 0 and quality.score_quality(_empty(docs), odd).count() == 0
 
 
+def test_risk_and_gradient_by_finite_differences():
+    """The non-negative risk by its definition, and its gradient; where the negative part is below 0 only that part leads the step, upwards."""
+    rng = np.random.default_rng(3)
+    xp, xu = rng.normal(0.5, 1, (13, 4)), rng.normal(0, 1, (29, 4))
+    loss = lambda z: np.log1p(np.exp(-z))
+    signs = set()
+    for prior in (None, 0.3, 0.97):
+        for k in range(6):
+            w = [rng.normal(0, 1 + k, (4, 5)), rng.normal(size=5), rng.normal(0, 1 + k, 5), rng.normal(size=1)]
+
+            def parts(w):
+                f = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0]
+                share = 1.0 if prior is None else prior
+                return share * loss(f(xp)).mean(), loss(-f(xu)).mean() - (0.0 if prior is None else prior * loss(-f(xp)).mean())
+
+            positive, negative, grads = quality.risk_gradient(w, xp, xu, prior)
+            assert np.allclose((positive, negative), parts(w))
+            signs.add(negative >= 0)
+            risk = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+            for i, g in enumerate(grads):
+                for at in np.ndindex(g.shape):
+                    up, down = [x.copy() for x in w], [x.copy() for x in w]
+                    up[i][at] += 1e-5
+                    down[i][at] -= 1e-5
+                    assert abs((risk(up) - risk(down)) / 2e-5 - g[at]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores recomputed from each text's features: trees summed one by one, then interpolation between isotonic steps found by pooling."""
+    d = f"{DATA}/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels)
+    look = toxicity.ToxicLexicon(model.learned)
+    margin = lambda x: sum(w * t.predict(Vectors.dense(x)) for w, t in zip(model.trees.treeWeights, model.trees.trees))
+    chance = lambda t: 1 / (1 + np.exp(-2 * margin(look.features(t or ""))))
+    from pyspark.ml.linalg import Vectors
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = sorted((chance(r.text), r.y) for r in toxicity._labelled(docs, labels, "text", "toxic").where("part = 4").collect())
+    pools = []
+    for x, y in held:
+        pools.append([y, 1, x, x])
+        while len(pools) > 1 and (pools[-2][0] >= pools[-1][0] or pools[-2][3] == pools[-1][2]):
+            y, n, _, z = pools.pop()
+            pools[-1] = [(pools[-1][0] * pools[-1][1] + y * n) / (pools[-1][1] + n), pools[-1][1] + n, pools[-1][2], z]
+    at, value = [x for p in pools for x in p[2:]], [p[0] for p in pools for _ in range(2)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got.keys() == texts.keys() and all(abs(got[i] - np.interp(chance(t), at, value)) < 1e-6 for i, t in texts.items())
+
+
 def test_held_out_labels_change_nothing(spark):
     """Flipping the labels of held-out rows leaves every score as it is."""
     d = f"{DATA}/sf0.001"
