@@ -147,13 +147,18 @@ def worker_memory(key: str, make):
 
 
 def tidy(run):
-    """The function of a mapInArrow, which at its end gives back the memory that Arrow keeps in a worker that lives on."""
+    """The function of a mapInArrow, which at its end gives back the memory that its allocators keep in a worker that lives on."""
 
     def whole(batches):
+        import ctypes
+
         import pyarrow as pa
 
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     return whole
 

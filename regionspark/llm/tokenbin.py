@@ -42,7 +42,7 @@ _SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr
 _LETTER = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
 _PIECES = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[{_SPACE}!-/:-@\\[-`{{-~]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Bytes of a worker's memory of encoded pieces, which starts anew when full; pieces of more characters are not remembered.
-CACHE_BYTES, LONG = 144 << 20, 256
+CACHE_BYTES, LONG = 64 << 20, 256
 #: New pieces that are encoded as one text; they can be told apart again by their bytes.
 TOGETHER = 200
 
@@ -110,7 +110,7 @@ class PieceEncoder:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts of a task's rows, some characters at a time."""
     ids, texts, n = [], [], 0
     for b in batches:
