@@ -31,6 +31,21 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return tuple(box)
 
 
+def format_bbox(*sides: Column) -> Column:
+    """'x1,y1,x2,y2' of 32-bit numbers in the fewest digits that read back as the same, whole ones without a point."""
+    return F.array_join(F.array(*[F.regexp_replace((s.cast("float") + F.lit(0.0).cast("float")).cast("string"), "\\.0(?=$|E)", "") for s in sides]), ",")
+
+
+#: Most different ids in a batch.
+MAX_BATCH_IDS = 200
+
+
+def batch_problem(ids: Column, limit: int = MAX_BATCH_IDS) -> Column:
+    """Null, or what is wrong with a batch's ids: none, an empty one, or more than `limit` different ones."""
+    n = F.size(F.array_distinct(ids))
+    return F.when(ids.isNull() | (n == 0), "empty_batch").when(F.exists(ids, lambda i: i.isNull() | (i == "")), "invalid_id").when(n > limit, "batch_too_large")
+
+
 def validate_lod(lod: str | None) -> str:
     if lod is None:
         raise RequestError("missing_lod", "lod is required")

@@ -1,4 +1,4 @@
-"""The ledger of recorded changes: a closed vocabulary, canonical totals, derived flags."""
+"""The ledger of recorded changes: a closed vocabulary, canonical totals, derived flags, its stored form."""
 
 from __future__ import annotations
 
@@ -102,3 +102,63 @@ def client_flags_wrong(stated: DataFrame, events: DataFrame, *by: str) -> DataFr
         F.struct(F.lit("pickingUnsafe").alias("flag"), F.col("picking_unsafe").alias("stated"), F.col("p").alias("derived")),
     )
     return both.select(*by, F.inline(each)).where(~F.col("stated").eqNullSafe(F.col("derived")))
+
+
+def serialised(events: DataFrame, *by: str) -> DataFrame:
+    """Per `by`, block: the ledger of its events as JSON, in canonical order; the flag `lossy` follows from them."""
+    e = described(canonical(events, *by))
+    one = F.struct("stage_rank", "kind", F.struct("stage", "kind", "count", "area", "details").alias("event"))
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("area")).otherwise(0.0))
+    whole = e.groupBy(*by).agg(
+        F.array_sort(F.collect_list(one)).alias("e"), F.collect_set("stage").alias("seen"), side("removed").alias("removed"), side("added").alias("added"), F.bool_or(F.col("category") == "loss").alias("lossy")
+    )
+    stages = F.array(*[F.lit(s) for s in STAGES])
+    block = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"),
+        stages.alias("stages"),
+        F.filter(stages, lambda s: F.array_contains("seen", s)).alias("stagesRecorded"),
+        F.col("e.event").alias("events"),
+        F.col("removed").alias("removedArea"),
+        F.col("added").alias("addedArea"),
+        F.col("lossy").alias("lossy"),
+    )
+    return whole.select(*by, F.to_json(block).alias("block"))
+
+
+def parsed(blocks: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ledgers (by, block) -> (events: by, seq, stage, kind, count, area, details; problems: by, seq, rule).
+
+    Fails closed: a block without the schema's version or lists gives no events
+    and one problem (seq is null); so does an event without its keys, of an
+    unknown stage or kind, or with a wrong count, area or list of details.
+    """
+    v = F.try_parse_json("block")
+    is_list = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("ARRAY"), F.lit(False))
+    rule = (
+        F.when(F.col("block").isNull(), "no_block")
+        .when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not_an_object")
+        .when(F.coalesce(F.try_variant_get(v, "$.schemaVersion", "int"), F.lit(-1)) != SCHEMA_VERSION, "schema_version")
+        .when(~is_list("$.events"), "no_events")
+        .when(~is_list("$.stagesRecorded"), "no_stages_recorded")
+    )
+    read = blocks.withColumn("rule", rule).withColumn("v", v)
+    broken = read.where("rule is not null").select(*by, F.lit(None).cast("int").alias("seq"), "rule")
+    one = read.where("rule is null").select(*by, F.posexplode(F.try_variant_get("v", "$.events", "array<variant>")).alias("seq", "e"))
+    get = lambda key, kind: F.try_variant_get("e", f"$.{key}", kind)
+    details = get("details", "variant")
+    shape = (
+        F.when(F.col("e").isNull() | ~F.schema_of_variant("e").startswith("OBJECT"), "not_an_object")
+        .when(get("stage", "string").isNull() | get("kind", "string").isNull() | get("count", "long").isNull(), "missing_key")
+        .when(details.isNotNull() & ~F.schema_of_variant(details).startswith("ARRAY"), "details")
+    )
+    area = F.when(get("area", "variant").isNull(), 0.0).otherwise(get("area", "double"))
+    typed = one.select(*by, "seq", shape.alias("shape"), get("stage", "string").alias("stage"), get("kind", "string").alias("kind"), get("count", "long").alias("count"), area.alias("area"), F.coalesce(get("details", "array<string>"), F.array().cast("array<string>")).alias("details"))
+    events = typed.where("shape is null").drop("shape")
+    wrong = invalid_events(events).select(*by, "seq", "rule")
+    problems = broken.unionByName(typed.where("shape is not null").select(*by, "seq", F.col("shape").alias("rule"))).unionByName(wrong)
+    return events.join(wrong.select(*by, "seq"), [*by, "seq"], "left_anti"), problems
+
+
+def upstream_only(events: DataFrame) -> DataFrame:
+    """What a loaded dataset may say about itself: events of the stage upstream; any other is an error of its producer."""
+    return events.where(F.when(F.col("stage") == STAGES[0], True).otherwise(F.raise_error(F.concat(F.lit("a dataset may record upstream events only, found "), F.coalesce("stage", F.lit("null")))).cast("boolean")))

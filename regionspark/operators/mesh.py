@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,62 +44,210 @@ def _bridge(outer: list[int], hole: list[int], xy: np.ndarray) -> list[int]:
     raise ValueError("a hole sees no outer vertex")
 
 
+class _Reflex:
+    """Corners of a polygon that are not convex, by grid cell: the only ones that can lie in an ear."""
+
+    def __init__(self, x: list[float], y: list[float], members: list[int]):
+        self.x, self.y = x, y
+        self.x0, self.y0 = min(x), min(y)
+        self.n = max(1, math.isqrt(len(members) // 2))
+        self.wx = (max(x) - self.x0) / self.n or 1.0
+        self.wy = (max(y) - self.y0) / self.n or 1.0
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        for k in members:
+            self.cells.setdefault(self._cell(x[k], y[k]), set()).add(k)
+
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return min(int((x - self.x0) / self.wx), self.n - 1), min(int((y - self.y0) / self.wy), self.n - 1)
+
+    def discard(self, k: int) -> None:
+        self.cells.get(self._cell(self.x[k], self.y[k]), set()).discard(k)
+
+    def any_inside(self, i: int, j: int, m: int) -> bool:
+        """Whether one lies in the counter-clockwise triangle, or on its border, and is none of its corners."""
+        x, y = self.x, self.y
+        ax, ay, bx, by, cx, cy = x[i], y[i], x[j], y[j], x[m], y[m]
+        (u0, v0), (u1, v1) = self._cell(min(ax, bx, cx), min(ay, by, cy)), self._cell(max(ax, bx, cx), max(ay, by, cy))
+        for u in range(u0, u1 + 1):
+            for v in range(v0, v1 + 1):
+                for k in self.cells.get((u, v), ()):
+                    px, py = x[k], y[k]
+                    if (bx - ax) * (py - ay) - (by - ay) * (px - ax) < 0 or (cx - bx) * (py - by) - (cy - by) * (px - bx) < 0 or (ax - cx) * (py - cy) - (ay - cy) * (px - cx) < 0:
+                        continue
+                    if not (px == ax and py == ay or px == bx and py == by or px == cx and py == cy):
+                        return True
+        return False
+
+
 def triangulate_part(rings: list[np.ndarray]) -> np.ndarray:
-    """Triangles (k, 3) over the vertices of all rings in order; ring 0 counter-clockwise, holes clockwise."""
+    """Triangles (k, 3) over the vertices of all rings in order; ring 0 counter-clockwise, holes clockwise.
+
+    Ears are cut one by one; a corner is looked at again only when a neighbour
+    has gone, and only corners that are not convex, found by grid cell, are
+    tested against it. A shape that has corners left but no ear crosses itself:
+    ValueError.
+    """
     xy = np.concatenate(rings)
     starts = np.cumsum([0, *map(len, rings)])
     poly = list(range(len(rings[0])))
     holes = [list(range(starts[i], starts[i + 1])) for i in range(1, len(rings))]
     for h in sorted(holes, key=lambda r: -xy[r, 0].max()):
         poly = _bridge(poly, h, xy)
-    out, k, idle = [], 0, 0
-    while len(poly) > 3:
-        n = len(poly)
-        i, j, m = poly[k % n - 1], poly[k % n], poly[(k + 1) % n]
-        a, b, c = xy[i], xy[j], xy[m]
-        area = _cross(a, b, c)
-        ear = area > 0
-        if ear:
-            rest = np.array([v for v in poly if v not in (i, j, m)])
-            if len(rest):
-                p = xy[rest]
-                inside = (_cross(a, b, p) >= 0) & (_cross(b, c, p) >= 0) & (_cross(c, a, p) >= 0)
-                same = (p == a).all(axis=1) | (p == b).all(axis=1) | (p == c).all(axis=1)
-                ear = not (inside & ~same).any()
-        if ear or area == 0 and idle > n or idle > 2 * n:
-            if area != 0:
-                out.append((i, j, m))
-            poly.pop(k % n)
-            k, idle = max(k % n - 1, 0), 0
-        else:
-            k, idle = k + 1, idle + 1
-    if _cross(xy[poly[0]], xy[poly[1]], xy[poly[2]]) != 0:
-        out.append(tuple(poly))
+    n = len(poly)
+    x, y = xy[poly, 0].tolist(), xy[poly, 1].tolist()
+    after, before = [*range(1, n), 0], [n - 1, *range(n - 1)]
+
+    def turn(k: int) -> float:
+        i, m = before[k], after[k]
+        return (x[k] - x[i]) * (y[m] - y[i]) - (y[k] - y[i]) * (x[m] - x[i])
+
+    reflex = _Reflex(x, y, [k for k in range(n) if turn(k) <= 0])
+    out, k, left, idle = [], 0, n, 0
+    while left > 3:
+        i, m, area = before[k], after[k], turn(k)
+        if area > 0 and not reflex.any_inside(i, k, m):
+            out.append((poly[i], poly[k], poly[m]))
+        elif not (area == 0 and idle > left):  # a flat corner goes only if nothing else does
+            if idle > 2 * left:
+                raise ValueError("the shape crosses itself")
+            k, idle = m, idle + 1
+            continue
+        reflex.discard(k)
+        after[i], before[m] = m, i
+        left, idle = left - 1, 0
+        for c in (i, m):
+            if turn(c) > 0:
+                reflex.discard(c)
+        k = i
+    if turn(k) != 0:
+        if turn(k) < 0:
+            raise ValueError("the shape crosses itself")
+        out.append((poly[before[k]], poly[k], poly[after[k]]))
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def triangulate(parts: DataFrame) -> DataFrame:
-    """territory, part, rings (prepared: array of rings of points) -> a row per triangle with its corners and indices in the part.
-
-    Rows are parts, so a territory with many parts is spread over tasks.
-    Triangles of no more than MIN_AREA are left out.
+def _prepared(points: np.ndarray, counter_clockwise: bool) -> np.ndarray | None:
+    """Open, in storage precision, without repeats, wound as asked; None if fewer than 3 vertices or no area is left."""
+    p = points.astype(np.float32).astype(np.float64)
+    if len(points) > 1 and (points[0] == points[-1]).all():
+        p = p[:-1]
+    if len(p):
+        p = p[(p != np.roll(p, -1, axis=0)).any(axis=1)]
+    if len(p) < 3:
+        return None
+    area = _ring_area(p)
+    if area == 0:
+        return None
+    return p if (area > 0) == counter_clockwise else p[::-1]
+
+
+def _ring_area(p: np.ndarray) -> float:
+    n = np.roll(p, -1, axis=0)
+    return float((p[:, 0] * n[:, 1] - n[:, 0] * p[:, 1]).sum()) / 2 if len(p) else 0.0
+
+
+def _built(rings: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[tuple[str, int, float]]]:
+    """(prepared rings, triangles, losses as kind, count, area) of one part."""
+    outer = _prepared(rings[0], True) if rings else None
+    if outer is None:
+        return [], np.zeros((0, 3), np.int64), [("skipped_part", 1, abs(_ring_area(rings[0])) if rings else 0.0)]
+    kept, losses = [outer], []
+    for r in rings[1:]:
+        hole = _prepared(r, False)
+        if hole is None:
+            losses.append(("skipped_ring", 1, abs(_ring_area(r))))
+        else:
+            kept.append(hole)
+    try:
+        t = triangulate_part(kept)
+    except ValueError:
+        return [], np.zeros((0, 3), np.int64), [("skipped_part", 1, abs(_ring_area(outer)))]
+    p = np.concatenate(kept)[t]
+    area = np.abs(_cross(p[:, 0], p[:, 1], p[:, 2])) / 2
+    flat = area <= MIN_AREA
+    if flat.any():
+        losses.append(("degenerate_triangle", int(flat.sum()), float(area[flat].sum())))
+    return kept, t[~flat], losses
+
+
+_POINT = "struct<x:double,y:double>"
+BUILT = f"territory string, part int, rings array<array<{_POINT}>>, triangles array<int>, losses array<struct<kind:string,count:bigint,area:double>>"
+
+
+def build(parts: DataFrame) -> DataFrame:
+    """territory, part, rings (array of rings of points, the exterior first) -> prepared rings, triangles and typed losses, a row per part.
+
+    triangles are indices into the part's prepared vertices, three by three. A
+    part whose exterior has no area left, or that crosses itself, becomes a
+    loss skipped_part and has no triangles; a hole without area a skipped_ring;
+    triangles of no more than MIN_AREA are counted as degenerate_triangle. Null
+    and empty rings are skipped parts or rings, too. Rows are parts, so a
+    territory with many parts is spread over tasks.
     """
+    ring_type = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    loss_type = pa.list_(pa.struct([("kind", pa.string()), ("count", pa.int64()), ("area", pa.float64())]))
 
     def run(batches):
         for b in batches:
-            for name, part, rings in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                shapes = [np.array([(p["x"], p["y"]) for p in r]) for r in rings if r]
-                if not shapes:
-                    continue
-                t = triangulate_part(shapes)
-                p = np.concatenate(shapes)[t]
-                keep = np.abs(_cross(p[:, 0], p[:, 1], p[:, 2])) / 2 > MIN_AREA
-                t, p = t[keep], p[keep].reshape(-1, 6)
-                cols = [pa.array([name] * len(t), pa.string()), pa.array([part] * len(t), pa.int32()), pa.array(np.arange(len(t)), pa.int64()), *[pa.array(np.ascontiguousarray(t[:, i])) for i in range(3)]]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(p[:, i])) for i in range(6)], names=["territory", "part", "tri", "a", "b", "c", "ax", "ay", "bx", "by", "cx", "cy"])
-
-    rows = parts.select(F.col("territory").cast("string"), F.col("part").cast("int"), "rings")
-    return rows.mapInArrow(run, "territory string, part int, tri long, a long, b long, c long, ax double, ay double, bx double, by double, cx double, cy double")
+            col = b.column(2)
+            flat = col.values.values
+            xy = np.stack([flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)], axis=1).astype(float) if len(flat) else np.zeros((0, 2))
+            ends, inner = col.offsets.to_pylist(), col.values.offsets.to_pylist()
+            shapes, triangles, losses = [], [], []
+            for k in range(b.num_rows):
+                rings = [xy[inner[r] : inner[r + 1]] for r in range(ends[k], ends[k + 1])]
+                kept, t, lost = _built(rings)
+                shapes.append(kept)
+                triangles.append(t.astype(np.int32).ravel())
+                losses.append([{"kind": x, "count": n, "area": a} for x, n, a in lost])
+            points = np.concatenate([r for s in shapes for r in s]) if any(shapes) else np.zeros((0, 2))
+            pts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, i])) for i in range(2)], ["x", "y"])
+            rings_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) for s in shapes for r in s)]), pa.int32()), pts)
+            parts_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, shapes)]), pa.int32()), rings_of)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), parts_of.cast(ring_type), pa.array(triangles, pa.list_(pa.int32())), pa.array(losses, loss_type)], names=["territory", "part", "rings", "triangles", "losses"])
+
+    none = F.array().cast(f"array<{_POINT}>")
+    rings = F.coalesce(F.transform("rings", lambda r: F.filter(F.coalesce(r, none), lambda p: p.isNotNull())), F.array().cast(f"array<array<{_POINT}>>"))
+    return parts.select(F.col("territory").cast("string"), F.col("part").cast("int"), rings.alias("rings")).mapInArrow(run, BUILT)
+
+
+def triangles(built: DataFrame) -> DataFrame:
+    """A row per triangle of build()'s parts: its number, corners' indices in the part, and corners."""
+    v = F.flatten("rings")
+    t = built.select("territory", "part", v.alias("v"), "triangles", F.explode(F.when(F.size("triangles") > 0, F.sequence(F.lit(0), F.size("triangles") - 1, F.lit(3)))).alias("i"))
+    at = [F.get("triangles", F.col("i") + k) for k in range(3)]
+    t = t.select("territory", "part", F.floor(F.col("i") / 3).alias("tri"), *[i.cast("long").alias(n) for i, n in zip(at, "abc")], *[F.get("v", i).alias(f"p{n}") for i, n in zip(at, "abc")])
+    return t.select("territory", "part", "tri", "a", "b", "c", *[F.col(f"p{n}.{z}").alias(f"{n}{z}") for n in "abc" for z in "xy"])
+
+
+def triangulate(parts: DataFrame) -> DataFrame:
+    """territory, part, rings -> a row per triangle, as triangles(build(parts))."""
+    return triangles(build(parts))
+
+
+def triangulation_events(built: DataFrame) -> DataFrame:
+    """territory, stage, kind, count, area, details: what build() lost, by territory and kind; nothing where nothing was."""
+    lost = built.select("territory", F.inline("losses"))
+    none = F.array().cast("array<string>").alias("details")
+    return lost.groupBy("territory", "kind").agg(F.sum("count").alias("count"), F.sum("area").alias("area")).select("territory", F.lit("triangulation").alias("stage"), "kind", "count", "area", none)
+
+
+def empty_parts(built: DataFrame) -> DataFrame:
+    """territory, part of parts that have vertices but no triangle."""
+    return built.where((F.size("rings") > 0) & (F.size("triangles") == 0)).select("territory", "part")
+
+
+def part_owners(built: DataFrame) -> DataFrame:
+    """territory, tri, part, vertex: the part in whose range of the territory's vertices each triangle's first corner lies.
+
+    A territory's mesh has its parts' vertices end to end; the owner is found
+    in the running ends of these ranges.
+    """
+    whole = built.groupBy("territory").agg(F.array_sort(F.collect_list(F.struct("part", F.size(F.flatten("rings")).alias("n"), "triangles"))).alias("p"))
+    ends = F.transform("p", lambda x, i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda acc, y: acc + y["n"]))
+    whole = whole.select("territory", F.col("p.part").alias("parts"), ends.alias("ends"), F.transform("p", lambda x, i: F.transform(F.filter(x["triangles"], lambda t, k: k % 3 == 0), lambda t: t + F.when(i > 0, F.get(F.transform("p", lambda z, j: F.aggregate(F.slice("p", 1, j + 1), F.lit(0), lambda acc, y: acc + y["n"])), i - 1)).otherwise(0))).alias("first"))
+    flat = whole.select("territory", "parts", "ends", F.posexplode(F.flatten("first")).alias("tri", "vertex"))
+    return flat.select("territory", "tri", F.get("parts", F.size(F.filter("ends", lambda e: e <= F.col("vertex")))).alias("part"), "vertex")
 
 
 def clip_area(t: np.ndarray, u: np.ndarray) -> float:

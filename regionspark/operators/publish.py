@@ -11,10 +11,6 @@ LEASE_SECONDS = 300
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 
 
-def _big_endian(n: Column, width: int) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
-
-
 def revision_ids(files: DataFrame, *by: str) -> DataFrame:
     """Per `by`, the id of a snapshot of files (lod, path, content): a hash over levels in order and paths sorted.
 
@@ -22,13 +18,12 @@ def revision_ids(files: DataFrame, *by: str) -> DataFrame:
     snapshot is some 100 bytes a file. path starts with its level.
     """
     one = F.concat(
-        _big_endian(F.octet_length("path"), 4), F.col("path").cast("binary"), _big_endian(F.octet_length("content"), 8), F.unhex(F.sha2(F.col("content").cast("binary"), 256))
+        F.lpad(F.hex(F.octet_length("path").cast("long")), 8, "0"), F.hex(F.col("path").cast("binary")), F.lpad(F.hex(F.octet_length("content").cast("long")), 16, "0"), F.sha2(F.col("content").cast("binary"), 256)
     )
     rank = F.array_position(F.array(*[F.lit(x) for x in LODS]), F.col("lod"))
     rows = files.where(F.col("lod").isin(*LODS)).select(*by, F.struct(rank.alias("r"), F.col("path").alias("p"), one.alias("b")).alias("s"))
     rows = rows.groupBy(*by).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    whole = F.aggregate("s", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["b"]))
-    return rows.select(*by, F.sha2(whole, 256).alias("revision_id"), F.size("s").alias("n_files"))
+    return rows.select(*by, F.sha2(F.unhex(F.array_join(F.col("s.b"), "")), 256).alias("revision_id"), F.size("s").alias("n_files"))
 
 
 def cache_key(dataset: Column, lod: Column, encoding: Column, ids: Column) -> Column:
@@ -97,16 +92,26 @@ def file_stem(text: Column) -> Column:
 
 
 def unique_names(ids: DataFrame, *by: str) -> DataFrame:
-    """`by`, id, name: stems that differ in case alone get -2, -3 ... in order of id.
+    """`by`, id, name (and other columns): in order of id each takes its stem, or stem-2, -3 ... if that is taken, whatever its case.
 
-    A numbered name that meets another id's own stem is numbered again, up to
-    three times, which settles all but contrived lists; check with duplicate_names.
+    Names can only meet if they are alike but for the numbers at their ends, so
+    each such family is settled by itself, in order of id.
     """
-    out = ids.withColumn("name", file_stem(F.col("id")))
-    for _ in range(3):
-        n = F.row_number().over(Window.partitionBy(*by, F.lower("name")).orderBy("id"))
-        out = out.withColumn("n", n).withColumn("name", F.when(F.col("n") > 1, F.concat("name", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("name"))).drop("n")
-    return out
+    stemmed = ids.withColumn("name", file_stem(F.col("id"))).withColumn("family", F.regexp_replace(F.lower("name"), "(-[0-9]+)+$", ""))
+    schema = stemmed.drop("family").schema
+
+    def settle(group):
+        group = group.sort_values("id", kind="stable")
+        taken, names = set(), []
+        for stem in group["name"]:
+            name, n = stem, 2
+            while name.lower() in taken:
+                name, n = f"{stem}-{n}", n + 1
+            taken.add(name.lower())
+            names.append(name)
+        return group.assign(name=names).drop(columns="family")
+
+    return stemmed.groupBy(*by, "family").applyInPandas(settle, schema)
 
 
 def resolve(requests: DataFrame, datasets: DataFrame, pointers: DataFrame, revisions: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,17 @@ def ground_box(rays: DataFrame, *by: str) -> DataFrame:
     t = -F.col("oz") / F.col("dz")
     hit = rays.where((F.col("dz") != 0) & (t >= 0) & (F.abs(t) < float("inf"))).select(*by, (F.col("ox") + t * F.col("dx")).alias("x"), (F.col("oy") + t * F.col("dy")).alias("y"))
     return hit.groupBy(*by).agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
+def canonical_json(document: dict) -> str:
+    """A report or manifest as it is stored: keys sorted, two spaces, UTF-8 as it is, a newline at the end."""
+    return json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n"
+
+
+def simplification_block(levels: DataFrame, *by: str) -> DataFrame:
+    """`by`, block: JSON of a level's simplification (lod, tolerance, source_area, output_area, removed_area, added_area, dropped_part_area, source_parts, parts, source_holes, holes, topology_changes)."""
+    ratio = F.when(F.col("source_area") > 0, F.col("output_area") / F.col("source_area")).otherwise(1.0)
+    budget = F.struct(F.col("source_area").alias("source"), F.col("output_area").alias("output"), F.col("removed_area").alias("removed"), F.col("added_area").alias("added"), F.col("dropped_part_area").alias("droppedParts"))
+    counts = F.struct(F.col("source_parts").alias("sourceParts"), F.col("parts").alias("parts"), F.col("source_holes").alias("sourceHoles"), F.col("holes").alias("holes"))
+    block = F.struct(F.col("lod"), F.col("tolerance"), budget.alias("areaBudget"), ratio.alias("retainedAreaRatio"), counts.alias("counts"), F.col("topology_changes").alias("topologyChanges"))
+    return levels.select(*by, F.to_json(block).alias("block"))

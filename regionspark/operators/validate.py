@@ -122,14 +122,14 @@ def counting(levels: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def declared_flags(levels: DataFrame, *by: str) -> DataFrame:
-    """levels (by, lod, declared_lossy, lossy, picking_unsafe): a stated flag differs from the derived one, or a lossy level calls itself safe."""
+def declared_flags(levels: DataFrame, *by: str, allow_lossy_high: bool = False) -> DataFrame:
+    """levels (by, lod, declared_lossy, lossy, picking_unsafe): a stated flag differs from the derived one, a lossy level calls itself safe, or the high level is lossy without leave."""
     keys = list(by)
     return _all(
         [
             _rule(levels, keys, "declared_lossy", F.col("declared_lossy").isNotNull() & (F.col("declared_lossy") != F.col("lossy")), F.col("lod")),
             _rule(levels, keys, "lossy_but_safe", F.col("lossy") & ~F.col("picking_unsafe"), F.col("lod")),
-            _rule(levels, keys, "lossy_high", (F.col("lod") == "high") & F.col("lossy"), F.col("lod")),
+            _rule(levels, keys, "lossy_high", (F.col("lod") == "high") & F.col("lossy") & F.lit(not allow_lossy_high), F.col("lod")),
         ]
     )
 

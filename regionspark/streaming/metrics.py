@@ -20,17 +20,22 @@ def _rank(values: list[float], fraction: float) -> float:
     return sorted(values)[min(len(values) - 1, int(fraction * len(values)))]
 
 
-def latest_latency(requests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """After each batch, a row per route that got samples: n, p50, p95, p99 over its `window` newest; the state is those samples."""
+def latest_latency(requests: DataFrame, window: int = WINDOW, idle_ms: int | None = None) -> DataFrame:
+    """After each batch, a row per route that got samples: n, p50, p95, p99 over its `window` newest; the state is those samples, and if idle_ms is given only until no request came for so long."""
 
     def update(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(zip(*state.get)) if state.exists else []
         for f in frames:
             kept += list(zip(f["ts"].astype("int64").tolist(), f["request_id"].tolist(), f["ms"].tolist()))
         kept = sorted(kept)[-window:]
         ts, ids, ms = (list(x) for x in zip(*kept))
         state.update((ts, ids, ms))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], len(ms), *(_rank(ms, q) for q in (0.5, 0.95, 0.99)))], columns=["route", "n", "p50", "p95", "p99"])
 
     rows = requests.select("route", "ts", F.col("request_id").cast("long"), F.col("ms").cast("double"))
-    return rows.groupBy("route").applyInPandasWithState(update, "route string, n int, p50 double, p95 double, p99 double", "ts array<long>, ids array<long>, ms array<double>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("route").applyInPandasWithState(update, "route string, n int, p50 double, p95 double, p99 double", "ts array<long>, ids array<long>, ms array<double>", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -84,11 +84,14 @@ def replay(ticks: DataFrame, margin: float = MARGIN, thresholds=THRESHOLDS) -> D
     return ordered.mapInArrow(run, _OUT)
 
 
-def stream(ticks: DataFrame, margin: float = MARGIN, thresholds=THRESHOLDS) -> DataFrame:
-    """The same over a stream of ticks: state per session, kept between batches; ticks at or before the last seq are late and dropped."""
+def stream(ticks: DataFrame, margin: float = MARGIN, thresholds=THRESHOLDS, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream of ticks: state per session, kept between batches, and if idle_ms is given only until no tick came for so long; ticks at or before the last seq are late and dropped."""
     check_thresholds(thresholds)
 
     def update(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         seq, kept = (-1, None) if not state.exists else (state.get[0], (state.get[1], tuple(state.get[2:])))
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
@@ -100,9 +103,11 @@ def stream(ticks: DataFrame, margin: float = MARGIN, thresholds=THRESHOLDS) -> D
             out.append((key[0], seq, LEVELS[kept[0]], asked, *kept[1]))
         if kept is not None:
             state.update((seq, kept[0], *kept[1]))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=_NAMES)
 
-    return ticks.groupBy("session").applyInPandasWithState(update, _OUT, "seq long, level int, a double, b double, c double, d double", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy("session").applyInPandasWithState(update, _OUT, "seq long, level int, a double, b double, c double, d double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def changes(before: Column, after: Column, level_changed: Column) -> list[Column]:
@@ -116,3 +121,14 @@ def newest_generation(updates: DataFrame) -> DataFrame:
     """Of each session's writes only those of its highest generation count."""
     last = updates.groupBy("session").agg(F.max("generation").alias("generation"))
     return updates.join(last, ["session", "generation"], "left_semi")
+
+
+def rolled_back(requests: DataFrame, failures: DataFrame) -> DataFrame:
+    """session, generation, box, failed of each session's newest request: its box is cleared if that very request failed, so that the next tick asks again.
+
+    requests: session, generation, box; failures: session, generation. A failure of an older request changes nothing.
+    """
+    newest = requests.groupBy("session").agg(F.max_by(F.struct("generation", "box"), "generation").alias("r")).select("session", "r.*")
+    seen = failures.select("session", "generation", F.lit(True).alias("f")).distinct()
+    both = newest.join(seen, ["session", "generation"], "left").withColumn("failed", F.coalesce("f", F.lit(False)))
+    return both.select("session", "generation", F.when(~F.col("failed"), F.col("box")).alias("box"), "failed")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from regionspark.functions import projection as P
 from regionspark.functions import requests as Q
 from regionspark.functions import rings as R
-from regionspark.operators import account, grid, mesh, paging, publish
+from regionspark.operators import account, grid, ledger, mesh, paging, publish, reports
 from regionspark.sources import documents, meshes
 from regionspark.streaming import viewport
 
@@ -274,3 +274,81 @@ def test_hole_correspondence(spark):
     assert events([box(0, 0, 2)], [box(0, 0, 2)]) == {}
     assert events([box(0, 0, 2), box(3, 0, 2)], [(0.0, 0.0, 5.0, 2.0)]) == {"hole_merge": (1, 0.0)}
     assert events([(0.0, 0.0, 8.0, 2.0)], [box(0, 0, 2), box(3, 0, 2), box(6, 0, 2)]) == {"hole_split": (2, 0.0)}
+
+
+def _plain_ears(p):
+    """Ear clipping by the book, for comparison."""
+    poly, out = list(range(len(p))), []
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    while len(poly) > 2:
+        for k in range(len(poly)):
+            i, j, m = poly[k - 1], poly[k], poly[(k + 1) % len(poly)]
+            if turn(p[i], p[j], p[m]) > 0 and not any(turn(p[i], p[j], p[v]) >= 0 and turn(p[j], p[m], p[v]) >= 0 and turn(p[m], p[i], p[v]) >= 0 for v in poly if v not in (i, j, m)):
+                out.append((i, j, m))
+                del poly[k]
+                break
+        else:
+            raise AssertionError("no ear")
+    return out
+
+
+def test_ears_of_large_and_crossing_shapes():
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 7, 40, 90):
+        p = _polygon(rng, n)
+        tri, plain = mesh.triangulate_part([p]), _plain_ears(p.tolist())
+        area = lambda t: sum(abs(_area(p[list(x)])) for x in t)
+        assert len(tri) == len(plain) == n - 2 and abs(area(tri) - area(plain)) < 1e-9
+    big = _polygon(rng, 3000)
+    tri = mesh.triangulate_part([big])
+    assert len(tri) == 2998 and abs(sum(abs(_area(big[t])) for t in tri) - _area(big)) < 1e-6
+    for bow in ([[0, 0], [4, 4], [4, 0], [0, 4]], [[0, 0], [4, 4], [4, 0], [0, 2]], [[0, 2], [4, 0], [4, 4], [0, 0]]):
+        with pytest.raises(ValueError):
+            mesh.triangulate_part([np.array(bow, float)])
+
+
+def test_triangulation_reports_what_it_loses(spark):
+    point = lambda p: {"x": float(p[0]), "y": float(p[1])}
+    square, flat = [(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(0, 0), (1, 1), (2, 2)]
+    rows = [("a", 0, [square]), ("a", 1, [flat]), ("b", 0, [square, flat]), ("c", 0, None), ("d", 0, []), ("e", 0, [[(0, 0), (4, 4), (4, 0), (0, 2)]]), ("f", 0, [None]), ("f", 1, [square[::-1], [(1, 1), (2, 1), (2, 2), (1, 2)]])]
+    df = spark.createDataFrame([(n, k, r and [x and [point(p) for p in x] for x in r]) for n, k, r in rows], "territory string, part int, rings array<array<struct<x:double,y:double>>>")
+    built = mesh.build(df).cache()
+    got = {(r.territory, r.kind): (r["count"], r.area) for r in mesh.triangulation_events(built).collect()}
+    assert got == {("a", "skipped_part"): (1, 0.0), ("b", "skipped_ring"): (1, 0.0), ("c", "skipped_part"): (1, 0.0), ("d", "skipped_part"): (1, 0.0), ("e", "skipped_part"): (1, 4.0), ("f", "skipped_part"): (1, 0.0)}
+    assert mesh.empty_parts(built).count() == 0
+    n = {(r.territory, r.part): len(r.triangles) // 3 for r in built.collect()}
+    assert n[("a", 0)] == n[("b", 0)] == 2 and n[("f", 1)] == 8 and n[("e", 0)] == 0
+    owners = {(r.territory, r.part) for r in mesh.part_owners(built).collect()}
+    assert owners == {("a", 0), ("b", 0), ("f", 1)}
+
+
+def test_names_never_clash(spark):
+    ids = ["a", "A", "a-2", "A-2", "a-2-2", "a-3", "A-3", "b", "a-2-3", "aux", "AUX", "a/b", "a?b"]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    got = {r.id: r.name for r in publish.unique_names(df).collect()}
+    taken, want = set(), {}
+    for i in sorted(ids):
+        stem = df.where(F.col("id") == i).select(publish.file_stem(F.col("id"))).first()[0]
+        name, n = stem, 2
+        while name.lower() in taken:
+            name, n = f"{stem}-{n}", n + 1
+        taken.add(name.lower())
+        want[i] = name
+    assert got == want and len({n.lower() for n in got.values()}) == len(ids)
+
+
+def test_texts_of_requests_and_reports(spark):
+    one = spark.range(1)
+    assert one.select(Q.format_bbox(*[F.lit(x) for x in (0.1, -2.0, -0.0, 1e10)])).first()[0] == "0.1,-2,0,1E10"
+    assert reports.canonical_json({"b": 1, "a": {"é": [1.5]}}) == '{\n  "a": {\n    "é": [\n      1.5\n    ]\n  },\n  "b": 1\n}\n'
+    rows = [("x", "high", 0.1, 10.0, 9.0, 2.0, 1.0, 0.5, 3, 2, 1, 1, ["part_merge"])]
+    names = "id lod tolerance source_area output_area removed_area added_area dropped_part_area source_parts parts source_holes holes topology_changes".split()
+    block = json.loads(reports.simplification_block(spark.createDataFrame(rows, names), "id").first().block)
+    assert block["retainedAreaRatio"] == 0.9 and block["areaBudget"] == {"source": 10.0, "output": 9.0, "removed": 2.0, "added": 1.0, "droppedParts": 0.5} and block["topologyChanges"] == ["part_merge"]
+
+
+def test_only_upstream_events_are_taken(spark):
+    e = spark.createDataFrame([("upstream", 1)], "stage string, count int")
+    assert ledger.upstream_only(e).count() == 1
+    with pytest.raises(Exception, match="upstream events only"):
+        ledger.upstream_only(e.unionByName(spark.createDataFrame([("triangulation", 1)], e.schema))).collect()
