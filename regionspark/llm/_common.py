@@ -90,6 +90,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    release_memory()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,11 +111,16 @@ def _width(value: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def bounded(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Marked for broadcast if its rows prove to take at most `limit` bytes; else as it is, for a shuffle join."""
+def fits(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether its rows prove to take at most `limit` bytes; not many more than that are looked at."""
     size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8)).cast("long")
     total = df.select(size.alias("size")).limit(limit // 16 + 1).agg(F.sum("size")).first()[0]
-    return F.broadcast(df) if (total or 0) <= limit else df
+    return (total or 0) <= limit
+
+
+def bounded(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it fits; else as it is, for a shuffle join."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
@@ -146,19 +152,24 @@ def worker_memory(key: str, make):
     return kept[key]
 
 
+def release_memory() -> None:
+    """Give back what this process's allocators keep for later."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
     """The function of a mapInArrow, which at its end gives back the memory that its allocators keep in a worker that lives on."""
 
     def whole(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        release_memory()
 
     return whole
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, carry, materialize, pick, unpack, words
+from ._common import MAX_BROADCAST_BYTES, bounded, carry, fits, materialize, pick, unpack, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -82,24 +82,29 @@ def _repeats(rows: DataFrame, benchmark: DataFrame, item_text: str, shingle: int
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "decon-items")
     held = materialize(items.select("item", "n", F.explode("ih").alias("h")).groupBy("item", "n", "h").agg(F.count(F.lit(1)).alias("times")), "decon-seeds")
 
+    # rows of a few numbers each: their counts bound their bytes
+    few = lambda df, rows: F.broadcast(df) if 64 * rows <= MAX_BROADCAST_BYTES else df
+    n_items, n_held = items.count(), held.count()
+
     # 1. where windows may lie, first by items' sizes and then by item
     hashed = rows.select("doc_id", "stamp", _split(F.lower("text")).alias("w"))
     # positions are generated and hashed inside one stage of generated code; the array of words is not copied
     hashed = hashed.select("doc_id", "stamp", "w", F.explode(F.when(F.size("w") >= shingle, F.sequence(F.lit(0), F.size("w") - shingle))).alias("p"))
     hashed = hashed.select("doc_id", "stamp", F.size("w").alias("nd"), "p", F.xxhash64(*[F.get("w", F.col("p") + k) for k in range(shingle)]).alias("h"))
-    found = hashed.join(bounded(held.select("n", "h").distinct()), "h").groupBy("doc_id", "stamp", "n", "nd").agg(F.sort_array(F.collect_set(F.struct("p", "h"))).alias("hits"))
+    found = hashed.join(few(held.select("n", "h").distinct(), n_held), "h").groupBy("doc_id", "stamp", "n", "nd").agg(F.sort_array(F.collect_set(F.struct("p", "h"))).alias("hits"))
     n, nd = F.col("n"), F.col("nd")
     least, k, end = _least(n, nd, shingle, similarity), F.least(n, nd) - shingle + 1, F.greatest(nd - n, F.lit(0))
     sized = lambda df: df.withColumn("least", least).where(F.size("at") >= F.col("least")).withColumn("runs", _spans(F.col("at"), F.col("least"), k, end)).where(F.size("runs") > 0)
     found = materialize(sized(found.withColumn("at", F.col("hits.p"))).select("doc_id", "stamp", "n", "nd", "hits"), "decon-hits")
     hits = found.select("doc_id", "stamp", "n", "nd", F.explode("hits").alias("x")).select("doc_id", "stamp", "n", "nd", "x.p", "x.h")
-    near = hits.join(bounded(held.select("item", "n", "h")), ["n", "h"]).groupBy("doc_id", "stamp", "item", "n", "nd").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    near = hits.join(few(held.select("item", "n", "h"), n_held), ["n", "h"]).groupBy("doc_id", "stamp", "item", "n", "nd").agg(F.sort_array(F.collect_set("p")).alias("at"))
     starts = sized(near).select("doc_id", "stamp", "item", "n", F.explode("runs").alias("x")).select("doc_id", "stamp", "item", "n", F.explode(F.sequence("x.a", "x.z")).alias("start"))
     windows = materialize(starts, "decon-windows")
 
     # 2. cut them from the documents that have any, and fingerprint both sides
     holders = windows.groupBy(F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")).agg(F.collect_list(F.struct("item", "n", "start")).alias("at"))
-    own = rows.join(bounded(holders), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s")))
+    holders = F.broadcast(holders) if fits(windows) else holders
+    own = rows.join(holders, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s")))
     own = own.dropDuplicates(["doc_id", "stamp"]).select("doc_id", "stamp", _split(F.lower("text")).alias("w"), F.explode("at").alias("at"))
     # the slice is a column of its own, else it would be cut anew for every word
     own = own.select("doc_id", "stamp", "at.*", F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"))
@@ -110,12 +115,12 @@ def _repeats(rows: DataFrame, benchmark: DataFrame, item_text: str, shingle: int
 
     # 3. windows within the radius of their item, by blocks
     right = _blocks(item_fp, radius).withColumnRenamed("fp", "item_fp")
-    near = _blocks(window_fp, radius).join(bounded(right), ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = _blocks(window_fp, radius).join(few(right, n_items * (radius + 1)), ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     near = near.select("window").distinct()
 
     # 4. the exact similarity: a shared shingle counts as often as both have it
     again = cut.join(near, "window").select("window", "item", F.explode("wh").alias("h")).groupBy("window", "item", "h").agg(F.count(F.lit(1)).alias("c"))
-    shared = again.join(bounded(held.select("item", "h", "times")), ["item", "h"]).groupBy("window").agg(F.sum(F.least("c", "times")).alias("n_shared"))
+    shared = again.join(few(held.select("item", "h", "times"), n_held), ["item", "h"]).groupBy("window").agg(F.sum(F.least("c", "times")).alias("n_shared"))
     sizes = bounded(items.select("item", "item_id", F.size("ih").alias("m")))
     full = cut.select("window", "doc_id", "stamp", "item", "n", "start", F.size("wh").alias("k")).join(shared, "window").join(sizes, "item")
     full = full.withColumn("n_all", F.col("k") + F.col("m") - F.col("n_shared")).withColumn("similarity", F.col("n_shared") / F.col("n_all"))

@@ -319,10 +319,10 @@ def _common_shingles(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingle_hashes(t.as_py(), width, seed)).view(np.int64))], names=["h"])
 
     seen = some.mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    found = seen.orderBy(F.desc("c"), "h").limit(COMMON).collect()
-    h = np.array([r.h for r in found], np.int64).view(np.uint64)
+    found = seen.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r.c for r in found], np.int64)[order] * share
+    return h[order], found.column("c").to_numpy()[order] * share
 
 
 def _times(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
