@@ -46,7 +46,7 @@ MAX_BROADCAST = MAX_BROADCAST_BYTES
 FLUSH = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}+" % SECRET_LENGTH)
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % SECRET_LENGTH)
 _CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # The contract's patterns; possessive and anchored forms find the same spans in linear time.
@@ -241,6 +241,8 @@ def _mark(told, context: int, removal: float):
     act = lambda p: "remove" if p >= removal else "generalise"
 
     def run(batches):
+        if told is not None:
+            anywhere = {w: p for (w, kind), p in told.value.items() if not kind}
         for b in batches:
             spans, terms = [], []
             own = b.column(2).to_pylist() if told is None else None
@@ -250,11 +252,15 @@ def _mark(told, context: int, removal: float):
                 base, secrets = _all_spans(text)
                 best = {}
                 if known:
-                    taken = _Taken((s, e) for _, s, e in base + secrets)
-                    for m in _WORD.finditer(text):
-                        p = known.get((_term(m.group()), ""))
-                        if p is not None and not taken(*m.span()):
-                            best[m.span()] = p
+                    if told is None:
+                        anywhere = {w: p for (w, kind), p in known.items() if not kind}
+                    # most texts hold none of these terms, so their distinct words are looked at first
+                    if anywhere and any(_term(w) in anywhere for w in set(_WORD.findall(text))):
+                        taken = _Taken((s, e) for _, s, e in base + secrets)
+                        for m in _WORD.finditer(text):
+                            p = anywhere.get(_term(m.group()))
+                            if p is not None and not taken(*m.span()):
+                                best[m.span()] = p
                     for (kind, _, _), term, a, z in _near(text, base + secrets, context):
                         p = known.get((term, kind))
                         if p is not None:
