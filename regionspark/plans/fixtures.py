@@ -28,9 +28,9 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
         v, k = F.col(key), F.col(nation_key)
         lon, lat = corner(k)
         x = 0.5 * ((v * 7) % 8).cast("double")
-        # 8,192 places a nation, so that few regions share one at any scale of the tables
-        y = (((v - v % 8) / 8) % 1024).cast("double") / 1024
-        return df.select(_id(prefix, v).alias("id"), _id("n:", k).alias("parent_id"), F.lit(2).alias("level"), (lon + x).alias("lon0"), (lat + y).alias("lat0"), F.lit(0.5).alias("w"), F.lit(1 / 1024).alias("h"))
+        # 1,024 places a nation, so that few regions share one at the scales that there are; ends have nine decimals at most
+        y = (((v - v % 8) / 8) % 128).cast("double") / 128
+        return df.select(_id(prefix, v).alias("id"), _id("n:", k).alias("parent_id"), F.lit(2).alias("level"), (lon + x).alias("lon0"), (lat + y).alias("lat0"), F.lit(0.5).alias("w"), F.lit(1 / 128).alias("h"))
 
     return nation.unionByName(leaf(c, "c:", "c_custkey", "c_nationkey")).unionByName(leaf(s, "s:", "s_suppkey", "s_nationkey"))
 
@@ -42,11 +42,11 @@ terr AS (
   UNION ALL
   SELECT 'c:' || lpad(CAST(c_custkey AS VARCHAR), 6, '0'), 'n:' || lpad(CAST(c_nationkey AS VARCHAR), 6, '0'), 2,
          26 + 4 * CAST(c_nationkey % 5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST((c_custkey * 7) % 8 AS DOUBLE),
-         36 + CAST(c_nationkey // 5 AS DOUBLE) + CAST((c_custkey // 8) % 1024 AS DOUBLE) / 1024, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / 1024 FROM customer
+         36 + CAST(c_nationkey // 5 AS DOUBLE) + CAST((c_custkey // 8) % 128 AS DOUBLE) / 128, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / 128 FROM customer
   UNION ALL
   SELECT 's:' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), 'n:' || lpad(CAST(s_nationkey AS VARCHAR), 6, '0'), 2,
          26 + 4 * CAST(s_nationkey % 5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST((s_suppkey * 7) % 8 AS DOUBLE),
-         36 + CAST(s_nationkey // 5 AS DOUBLE) + CAST((s_suppkey // 8) % 1024 AS DOUBLE) / 1024, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / 1024 FROM supplier),
+         36 + CAST(s_nationkey // 5 AS DOUBLE) + CAST((s_suppkey // 8) % 128 AS DOUBLE) / 128, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / 128 FROM supplier),
 org AS (SELECT (min(lon0) + max(lon0 + w)) / 2 AS olon, (min(lat0) + max(lat0 + h)) / 2 AS olat FROM terr),
 merc AS (SELECT t.*, olon, olat, cos(radians(olat)) AS sc, 6378137.0::DOUBLE * radians(olon) AS ox, 6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(olat) / 2)) AS oy FROM terr t CROSS JOIN org),
 boxes AS (SELECT id, parent_id, level,

@@ -739,10 +739,10 @@ def largest_drops(spark, d):
     return reports.dropped_details(o)
 
 
-@query(f"WITH {fx.TERRITORIES_SQL}, k AS (SELECT CAST(substr(id, 3, 6) AS INTEGER) AS key, w * h / 16 AS hole, w * h / 16 AS part FROM terr) SELECT count(*) AS features, count(*) FILTER (key % 5 = 0 AND part <= CAST(0.01 AS DOUBLE)) AS dropped_parts, count(*) FILTER (key % 3 = 0 AND hole <= CAST(0.01 AS DOUBLE)) AS dropped_holes FROM k")
+@query(f"WITH {fx.TERRITORIES_SQL}, k AS (SELECT CAST(substr(id, 3, 6) AS INTEGER) AS key, w * h / 16 AS hole, w * h / 16 AS part FROM terr) SELECT count(*) AS features, count(*) FILTER (key % 5 = 0 AND part <= CAST(0.001 AS DOUBLE)) AS dropped_parts, count(*) FILTER (key % 3 = 0 AND hole <= CAST(0.001 AS DOUBLE)) AS dropped_holes FROM k")
 def normalisation(spark, d):
-    """Parts and holes of no more than a hundredth of a square degree."""
-    return reports.normalisation_totals(reports.normalise(fx.geometries(spark, d), 0.01))
+    """Parts and holes of no more than a thousandth of a square degree."""
+    return reports.normalisation_totals(reports.normalise(fx.geometries(spark, d), 0.001))
 
 
 @query("SELECT p_partkey AS id, p_partkey * 97 % 90000 AS vertex_count FROM part WHERE p_partkey * 97 % 90000 <= 65535 AND CAST(p_partkey * 97 % 90000 AS DOUBLE) / 65535 >= CAST(0.8 AS DOUBLE)")
