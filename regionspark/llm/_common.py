@@ -82,6 +82,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver JVM's garbage once its heap has grown past a quarter of its limit.
+
+    Many short jobs leave plans, broadcasts and shuffles behind; the heap shrinks
+    again, and Spark's cleaner drops dead broadcasts and shuffle files at the
+    executors only after a collection.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 4 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -91,6 +104,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     release_memory()
+    _collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
