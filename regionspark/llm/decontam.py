@@ -116,7 +116,8 @@ def _repeats(rows: DataFrame, benchmark: DataFrame, item_text: str, shingle: int
     # 3. windows within the radius of their item, by blocks
     right = _blocks(item_fp, radius).withColumnRenamed("fp", "item_fp")
     near = _blocks(window_fp, radius).join(few(right, n_items * (radius + 1)), ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("window").distinct()
+    # written here, so that the driver plans and compiles fewer stages at once
+    near = materialize(near.select("window").distinct(), "decon-near")
 
     # 4. the exact similarity: a shared shingle counts as often as both have it
     again = cut.join(near, "window").select("window", "item", F.explode("wh").alias("h")).groupBy("window", "item", "h").agg(F.count(F.lit(1)).alias("c"))
