@@ -345,56 +345,90 @@ def _parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle and part -> pairs of unlike classes that can be similar, if this is the first shingle they share.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by their first two columns -> columns of whole groups, about a batch at a time; lists of longs become rows of a matrix."""
+    kept = None
+    for b in batches:
+        cols = [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols)]
+        if not len(cols[0]):
+            continue
+        whole = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
+        if whole:
+            yield [c[:whole] for c in cols]
+        kept = [c[whole:] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _bounds(h: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group starts, and its size."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(h)))
+
+
+def _may_match(i, j, side, cls, n, at, similarity: float) -> np.ndarray:
+    """Pairs of unlike classes that can be similar, if this is the first shingle they share.
 
     The shingles from this one on must be enough in either set; sizes that are too unlike fail that too.
     """
-    kept = None
+    left = np.minimum(n[i] - at[i], n[j] - at[j])
+    return (cls[i] != cls[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (left * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
 
-    def pairs(h, part, side, rep, cls, n, at):
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(h)))
-        mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
-        out = []
 
-        def hold(i, j):
-            left = np.minimum(n[i] - at[i], n[j] - at[j])
-            ok = (cls[i] != cls[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (left * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
-            if ok.any():
-                a, b = np.broadcast_arrays(rep[i], rep[j])
-                out.append(np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0))
+def _pairs(rep: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Pairs of reps, the lesser first, each once."""
+    if not out:
+        return np.zeros((0, 2), np.int64)
+    a, b = (rep[np.concatenate(x)] for x in zip(*out))
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
 
+#: What the documents of one shingle give: the pairs of a small group, or the rows of a crowd.
+MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and part -> pairs that can be similar from small groups, and the rows of crowds of unlike classes as they are."""
+
+    def made(count, /, **cols):
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(count, f.type) for f in MET], schema=MET)
+
+    for h, part, side, rep, cls, n, at in _groups(batches):
+        start, size = _bounds(h, part)
+        mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
+        out = []
         end = np.repeat(start + size, size)
         rows = np.flatnonzero(np.repeat(mixed & (size <= 16), size))
         for d in range(1, 16):
             rows = rows[rows + d < end[rows]]
             if not len(rows):
                 break
-            hold(rows, rows + d)
-        for s, m in zip(start[mixed & (size > 16)], size[mixed & (size > 16)]):
-            # each that is not of the largest class against all
-            names, where, many = np.unique(cls[s : s + m], return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(where != np.argmax(many)):
-                hold(np.full(m, s + i), np.arange(s, s + m))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+            ok = _may_match(rows, rows + d, side, cls, n, at, similarity)
+            out.append((rows[ok], rows[ok] + d))
+        both = _pairs(rep, out)
+        yield made(len(both), u=both[:, 0], v=both[:, 1])
+        k = np.flatnonzero(np.repeat(mixed & (size > 16), size))
+        yield made(len(k), h=h[k], part=part[k], side=side[k], rep=rep[k], cls=cls[k], n=n[k], at=at[k])
 
-    for b in batches:
-        cols = [c.to_numpy() for c in b.columns]
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols)]
-        if not len(cols[0]):
-            continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        whole = int(np.argmax(last))
-        if whole:
-            yield pairs(*(c[:whole] for c in cols))
-        kept = [c[whole:] for c in cols]
-    if kept is not None and len(kept[0]):
-        yield pairs(*kept)
+
+def _meet_crowds(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of crowds with their parities, sorted by shingle and part -> pairs of unlike classes that sizes, places and parities allow."""
+    for h, part, side, rep, cls, n, at, parity in _groups(batches):
+        out = []
+        for s, m in zip(*_bounds(h, part)):
+            # each that is not of the largest class against all
+            _, where, many = np.unique(cls[s : s + m], return_inverse=True, return_counts=True)
+            for i in s + np.flatnonzero(where != np.argmax(many)):
+                j = s + np.flatnonzero(_may_match(i, np.arange(s, s + m), side, cls, n, at, similarity))
+                apart = np.bitwise_count((parity[j] ^ parity[i]).view(np.uint64)).sum(axis=1)
+                j = j[apart * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6]
+                out.append((np.full(len(j), i), j))
+        both = _pairs(rep, out)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 
 def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -402,7 +436,9 @@ def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity:
 
     All that are similar are there, and some more; they differ in `apart` shingles at least.
 
-    A common shingle's documents are compared by pairs of blocks.
+    A common shingle's documents are compared by pairs of blocks. Few shingles
+    are held by a crowd of unlike classes; only there parities go along with the
+    rows, so that no more pairs than they allow leave a task.
     """
     spark = reps.sparkSession
 
@@ -431,7 +467,10 @@ def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity:
     placed = made.join(bounded(named), (F.col("same") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("rep", "cls", "n", "head")
     placed = placed.mapInArrow(tidy(spread), "h long, part int, side int, rep long, cls long, n int, at int")
     grouped = placed.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
-    pairs = grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long").distinct()
+    met = materialize(grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long, h long, part int, side int, rep long, cls long, n int, at int"), "near-met")
+    crowds = met.where("h is not null").drop("u", "v").join(reps.select(F.col("same").alias("rep"), "parity"), "rep").select("h", "part", "side", "rep", "cls", "n", "at", "parity")
+    crowds = crowds.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
+    pairs = met.where("u is not null").select("u", "v").unionByName(crowds.mapInArrow(tidy(lambda it: _meet_crowds(it, similarity)), "u long, v long")).distinct()
     a = reps.select(F.col("same").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
     b = reps.select(F.col("same").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)

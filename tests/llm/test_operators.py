@@ -1,12 +1,14 @@
 """Corpus operators against brute-force versions on small fixtures with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -289,6 +291,39 @@ def test_every_lone_pair_is_found(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(df).collect()} == label
 
 
+def test_crowds_of_a_shingle_lose_no_similar_pair():
+    """Sets around one another, each a class of its own: all similar pairs leave the tasks, and none that parities rule out."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    sets = []
+    for _ in range(60):
+        gone = rng.choice(60, rng.integers(2, 12), replace=False)
+        sets.append(np.unique(np.concatenate([np.delete(base, gone), rng.integers(0, 1 << 63, len(gone), dtype=np.uint64)])))
+    sets += [rng.integers(0, 1 << 63, 60, dtype=np.uint64) for _ in range(20)]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    parity = {i: simhash._parity(x) for i, x in enumerate(sets)}
+    assert any((p < 0).any() for p in parity.values())
+    rows = [(h, 0, 2, i, i, len(x), k) for i, x in enumerate(sets) for k, h in enumerate(simhash._head(x, 0.8, none).view(np.int64).tolist())]
+    names = ["h", "part", "side", "rep", "cls", "n", "at"]
+    sorted_rows = pa.table({c: list(x) for c, x in zip(names, zip(*sorted(rows)))})
+    met = pa.Table.from_batches(list(simhash._meet(sorted_rows.to_batches(max_chunksize=37), 0.8))).to_pylist()
+    pairs = {(r["u"], r["v"]) for r in met if r["u"] is not None}
+    crowds = [r for r in met if r["u"] is None]
+    assert crowds
+    batches = pa.table({c: [r[c] for r in crowds] for c in names} | {"parity": pa.array([parity[r["rep"]] for r in crowds], pa.list_(pa.int64()))}).to_batches(max_chunksize=29)
+    far = lambda u, v: sum(bin(int(x) & (1 << 64) - 1).count("1") for x in parity[u] ^ parity[v])
+    for b in simhash._meet_crowds(batches, 0.8):
+        for r in b.to_pylist():
+            assert far(r["u"], r["v"]) * 1.8 <= (len(sets[r["u"]]) + len(sets[r["v"]])) * 0.2 + 1e-6
+            pairs.add((r["u"], r["v"]))
+    similar = set()
+    for u, v in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[u], sets[v]))
+        if both >= 0.8 * (len(sets[u]) + len(sets[v]) - both):
+            similar.add((u, v))
+    assert len(similar) > 20 and similar <= pairs
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
