@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, pii, quality, recompression, simhash, tokenbin, toxicity, viterbi
-from ._common import table
+from . import ann, chat, decontam, mixing, periodic, pii, quality, recompression, simhash, tokenbin, toxicity, trie, viterbi
+from ._common import pick, table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +74,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.plant_runs(table(spark, sf_dir, "documents")))
+    listed = F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: A conversation whose texts look like markers and escapes.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(HARD_TEXT))
+    return chat.read_back(chat.format_conversations(turns.union(hard)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuild(trie.encode_turns(table(spark, sf_dir, "conversations"))))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets of op10_mixing by source."""
     docs = table(spark, sf_dir, "documents").select("source", mixing.n_words(F.col("text")).alias("size"))
@@ -92,9 +119,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_format": op12_chat_format,
+    "op13_prefix_trie": op13_prefix_trie,
     "mixing_targets": mixing_targets,
 }
 
+#: CRC-32 of the decimal conv_id: over its characters, then eight steps a character.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))),
+lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS UBIGINT) FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS UBIGINT))"""
+
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 #: The others need hashes, regular expression offsets, tokenizers or fits that SQL has not; tests compare them with brute force.
@@ -123,6 +157,30 @@ sh AS (SELECT doc_id, item_id, n, k, s, CAST(sum(least(c, times)) AS BIGINT) AS
 sim AS (SELECT *, k + n - 4 - n_shared AS n_all, n_shared / (k + n - 4 - n_shared) AS similarity FROM sh),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim)
 SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE r = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
+    "op12_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS shown, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS named FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(named) + 1 + length(shown) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id, list(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST, role) AS ks,
+  list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST, role) AS ls FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT *, CAST({_CRC32} % 6 AS INTEGER) AS h FROM t),
+rb AS (SELECT c.conv_id, list_concat(coalesce(b.ks[1:h], []), c.ks[h + 1:]) AS ks, list_concat(coalesce(b.ls[1:h], []), c.ls[h + 1:]) AS ls FROM c LEFT JOIN t AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+pre AS (SELECT conv_id, ks, ls, unnest(range(0, len(ks) + 1)) AS d FROM rb),
+node AS (SELECT array_to_string(ks[1:d], ',') AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(ks) AS ks, coalesce(any_value(ls[d]), 0) AS chars,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(ks) = d), '')) AS ends_sha256 FROM pre GROUP BY 1, 2),
+child AS (SELECT array_to_string(ks[1:d - 1], ',') AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+leafy AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+up AS (SELECT array_to_string(ks[1:e], ',') AS k, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM leafy) GROUP BY 1)
+SELECT leafy.conv_id, leafy.d AS depth, p.conv_id AS parent_conv_id, leafy.n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, leafy.ends_sha256
+FROM leafy JOIN up USING (k) LEFT JOIN node AS p ON leafy.d > 0 AND p.k = array_to_string(leafy.ks[1:leafy.d - 1], ',')""",
     # the level at which the targets add up to all words, by trying each source as the last one below its bound
     "mixing_targets": f"""
 WITH s AS (SELECT source, CAST(sum(len({_WORDS.format("text")})) AS BIGINT) AS source_size FROM documents GROUP BY source),
