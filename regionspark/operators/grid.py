@@ -7,11 +7,10 @@ distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
     c = lambda name: F.floor(F.col(name) / cell)
     out = df.select(*[F.col(n).alias(f"{prefix}{n}") for n in df.columns], c("min_x").alias("x0"), c("max_x").alias("x1"), c("min_y").alias("y0"), c("max_y").alias("y1"))
@@ -39,3 +38,67 @@ def point_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     b = _cells(boxes, cell, "b_")
     inside = F.col("p_x").between(F.col("b_min_x"), F.col("b_max_x")) & F.col("p_y").between(F.col("b_min_y"), F.col("b_max_y"))
     return p.join(b, ["cx", "cy"]).where(inside).drop("cx", "cy")
+
+
+def _level(size: Column) -> Column:
+    """The exponent of the least power of two that is no smaller than size; points count as 2 ** -20."""
+    return F.when(size > 0, F.ceil(F.log2(size))).otherwise(F.lit(-20)).cast("int")
+
+
+def _levels(*sides: DataFrame) -> list[int]:
+    """The levels that boxes have: exponents of doubles, so a short list whatever the number of rows."""
+    found: set[int] = set()
+    for df in sides:
+        found |= {r[0] for r in df.select("level").distinct().collect()}
+    return sorted(found)
+
+
+def _spread(df: DataFrame, prefix: str, by: tuple[str, ...], levels: list[int], own: bool) -> DataFrame:
+    """Rows in the cells of their own level, or in those of all coarser levels that there are; up to four cells a level."""
+    out = df.select(*[F.col(n).alias(n if n in by else f"{prefix}{n}") for n in df.columns])
+    low = F.col(f"{prefix}level")
+    at = F.array(low) if own else F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v > low)
+    out = out.withColumn("level", F.explode(at)).withColumn("__w", F.pow(F.lit(2.0), F.col("level")))
+    cell = lambda c: F.floor(F.col(f"{prefix}{c}") / F.col("__w"))
+    out = out.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+    return out.drop("__w")
+
+
+def level_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows with equal `by` columns whose closed boxes meet: columns of `by`, l_* and r_*.
+
+    Each box lies in the cells of a grid as coarse as itself, four at most, so
+    one huge box among small ones costs four rows, not all cells below it. A
+    pair meets on the coarser of its two grids, in the cell of its reference
+    point: the coarser box is there by itself and the finer one as a guest.
+    Guests of one cell never meet each other.
+    """
+    sized = lambda df: df.withColumn("level", _level(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))))
+    a, b = sized(left), sized(right)
+    levels = _levels(a, b)
+    keys = [*by, "level", "cx", "cy"]
+    own_a, own_b = _spread(a, "l_", by, levels, True), _spread(b, "r_", by, levels, True)
+    pairs = own_a.join(own_b, keys)
+    if len(levels) > 1:
+        pairs = pairs.unionByName(own_a.join(_spread(b, "r_", by, levels, False), keys)).unionByName(_spread(a, "l_", by, levels, False).join(own_b, keys))
+    w = F.pow(F.lit(2.0), F.col("level"))
+    meet = (F.col("l_min_x") <= F.col("r_max_x")) & (F.col("l_max_x") >= F.col("r_min_x")) & (F.col("l_min_y") <= F.col("r_max_y")) & (F.col("l_max_y") >= F.col("r_min_y"))
+    here = (F.floor(F.greatest("l_min_x", "r_min_x") / w) == F.col("cx")) & (F.floor(F.greatest("l_min_y", "r_min_y") / w) == F.col("cy"))
+    return pairs.where(meet & here).drop("level", "cx", "cy", "l_level", "r_level")
+
+
+def stab_join(probes: DataFrame, walls: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Probes (at, ...) with the walls (low, high, ...; low < high) of equal `by` columns for which low <= at < high: p_* and w_*.
+
+    One-dimensional, with levels as in level_join: a wall lies in two cells at
+    most, and a probe looks into one cell of each level.
+    """
+    walls = walls.withColumn("level", _level(F.col("high") - F.col("low")))
+    levels = _levels(walls)
+    if not levels:
+        levels = [0]
+    w = F.pow(F.lit(2.0), F.col("level"))
+    ws = walls.select(*[F.col(n).alias(n if n in by or n == "level" else f"w_{n}") for n in walls.columns])
+    ws = ws.withColumn("cell", F.explode(F.sequence(F.floor(F.col("w_low") / w), F.floor(F.col("w_high") / w))))
+    ps = probes.select(*[F.col(n).alias(n if n in by else f"p_{n}") for n in probes.columns]).withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("cell", F.floor(F.col("p_at") / w))
+    return ps.join(ws, [*by, "level", "cell"]).where((F.col("w_low") <= F.col("p_at")) & (F.col("p_at") < F.col("w_high"))).drop("level", "cell")

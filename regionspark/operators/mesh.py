@@ -19,31 +19,98 @@ def _cross(o, a, b):
     return (a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0])
 
 
+def _faces(poly: list[int], k: int, xy: np.ndarray, p: np.ndarray) -> bool:
+    """Whether p lies in the interior angle of the corner k of a counter-clockwise polygon."""
+    q, before, after = xy[poly[k]], xy[poly[k - 1]], xy[poly[(k + 1) % len(poly)]]
+    left, right = _cross(q, after, p) >= 0, _cross(before, q, p) >= 0
+    return bool(left and right if _cross(before, q, after) >= 0 else left or right)
+
+
 def _bridge(outer: list[int], hole: list[int], xy: np.ndarray) -> list[int]:
-    """outer with hole cut in from the hole's rightmost vertex to an outer vertex that it sees."""
+    """outer with hole cut in from the hole's rightmost vertex m to an outer vertex that it sees on its right.
+
+    Holes come by decreasing x, so whatever is not cut in yet lies on the left
+    of m. A ray from m to the right meets an edge of outer; its end of greater
+    x is visible unless a corner lies in the triangle between. Of such corners
+    the one nearest in angle is.
+    """
     h = max(range(len(hole)), key=lambda k: (xy[hole[k], 0], xy[hole[k], 1]))
-    p = xy[hole[h]]
-    a, b = xy[outer], xy[np.roll(outer, -1)]
-    ring = xy[np.array(hole)]
-    order = np.argsort(((a - p) ** 2).sum(axis=1), kind="stable")
-    for k in order.tolist():
-        q = a[k]
-        s, t = np.concatenate([a, ring]), np.concatenate([b, np.roll(ring, -1, axis=0)])
-        d1, d2 = _cross(p, q, s), _cross(p, q, t)
-        d3, d4 = _cross(s, t, p), _cross(s, t, q)
-        along = (s - p) @ (q - p)
-        touched = (d1 == 0) & (along > 0) & (along < float((q - p) @ (q - p)))
-        if ((d1 * d2 < 0) & (d3 * d4 < 0)).any() or touched.any():
-            continue
-        # the cut must start into the polygon at q
-        before, after = xy[outer[k - 1]], xy[outer[(k + 1) % len(outer)]]
-        convex = _cross(before, q, after) >= 0
-        left, right = _cross(q, after, p) >= 0, _cross(before, q, p) >= 0
-        if (left and right) if convex else (left or right):
+    m = xy[hole[h]]
+    a = xy[outer]
+    b = np.roll(a, -1, axis=0)
+    up = np.flatnonzero((a[:, 1] <= m[1]) & (b[:, 1] >= m[1]) & (a[:, 1] < b[:, 1]))
+    x = a[up, 0] + (m[1] - a[up, 1]) * (b[up, 0] - a[up, 0]) / (b[up, 1] - a[up, 1])
+    right = x >= m[0]
+    if not right.any():
+        raise ValueError("a hole lies outside")
+    up, x = up[right], x[right]
+    e = int(up[x == x.min()][np.argmax(np.maximum(a[up[x == x.min()], 0], b[up[x == x.min()], 0]))])
+    hit = np.array([x.min(), m[1]])
+    tip = a[e] if a[e, 0] > b[e, 0] else b[e]
+    # corners in the triangle m, hit, tip, the tip among them
+    u, v, w = (m, hit, tip) if _cross(m, hit, tip) >= 0 else (m, tip, hit)
+    inside = (_cross(u, v, a) >= 0) & (_cross(v, w, a) >= 0) & (_cross(w, u, a) >= 0) & (a[:, 0] >= m[0]) | (a == tip).all(axis=1)
+    at = np.flatnonzero(inside)
+    d = a[at] - m
+    far = (d * d).sum(axis=1)
+    slope = np.abs(d[:, 1]) / np.where(d[:, 0] > 0, d[:, 0], np.where(far == 0, 1.0, 1e-300))
+    for k in at[np.lexsort((far, slope))].tolist():
+        if _faces(outer, k, xy, m):
             return outer[: k + 1] + hole[h:] + hole[: h + 1] + outer[k:]
     raise ValueError("a hole sees no outer vertex")
 
 
+def _in_cycle(before, after, p, q) -> bool:
+    """Whether, going around, exactly one of the directions p and q lies between before and after."""
+    turn = lambda v: math.atan2(v[1], v[0])
+    a = turn(before)
+    to = lambda v: (turn(v) - a) % (2 * math.pi)
+    return (to(p) < to(after)) != (to(q) < to(after))
+
+
+def _cross_each_other(rings: list[np.ndarray]) -> bool:
+    """Whether edges of a part's rings cross, overlap, or pass through each other in a vertex; touching is no crossing.
+
+    All pairs of edges are held together in blocks: of small parts at once, of
+    long ones sorted by x, so that an edge meets those only that begin before it ends.
+    """
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    p = np.concatenate([np.roll(r, 1, axis=0) for r in rings])  # what comes before a
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    a, b, p, low, high = a[order], b[order], p[order], low[order], high[order]
+    ends = np.searchsorted(low[:, 0], high[:, 0], "right")
+    n, i = len(a), 0
+    while i < n:
+        # a block of edges against all that begin before the last of them ends
+        size = max(1, min(n - i, (1 << 20) // max(1, int(ends[i : i + 64].max()) - i)))
+        rows = np.arange(i, min(i + size, n))
+        cols = np.arange(i, int(ends[rows].max()))
+        near = (low[rows, None, 1] <= high[None, cols, 1]) & (high[rows, None, 1] >= low[None, cols, 1]) & (low[None, cols, 0] <= high[rows, None, 0]) & (rows[:, None] < cols[None, :])
+        s, t = np.nonzero(near)
+        s, t = rows[s], cols[t]
+        d1, d2, d3, d4 = _cross(a[s], b[s], a[t]), _cross(a[s], b[s], b[t]), _cross(a[t], b[t], a[s]), _cross(a[t], b[t], b[s])
+        if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
+            return True
+        line = (d1 == 0) & (d2 == 0)
+        if line.any():
+            d = b[s[line]] - a[s[line]]
+            along = [((x[t[line]] - a[s[line]]) * d).sum(axis=1) for x in (a, b)]
+            if (np.minimum(np.maximum(*along), (d * d).sum(axis=1)) > np.maximum(np.minimum(*along), 0)).any():
+                return True
+        for e, v, side in ((s, t, d1), (t, s, d3)):  # the vertex a[v] inside the edge e: do its neighbours lie on both sides?
+            inner = (side == 0) & ~(a[v] == a[e]).all(axis=1) & ~(a[v] == b[e]).all(axis=1)
+            for f, k in zip(e[inner].tolist(), v[inner].tolist()):
+                if _cross(a[f], b[f], p[k]) * _cross(a[f], b[f], b[k]) < 0:
+                    return True
+        for f, k in zip(*(x[(a[s] == a[t]).all(axis=1)].tolist() for x in (s, t))):  # two corners in one point
+            if _in_cycle(p[f] - a[f], b[f] - a[f], p[k] - a[k], b[k] - a[k]):
+                return True
+        i += size
+    return False
+
+
 class _Reflex:
     """Corners of a polygon that are not convex, by grid cell: the only ones that can lie in an ear."""
 
@@ -79,17 +146,32 @@ class _Reflex:
         return False
 
 
+def _convex(xy: np.ndarray) -> bool:
+    """Whether a ring turns left at every corner and goes around once."""
+    after = np.roll(xy, -1, axis=0)
+    if not (_cross(np.roll(xy, 1, axis=0), xy, after) > 0).all():
+        return False
+    goes = np.sign(after[:, 0] - xy[:, 0])
+    goes = goes[goes != 0]
+    return int((goes != np.roll(goes, 1)).sum()) == 2
+
+
 def triangulate_part(rings: list[np.ndarray]) -> np.ndarray:
     """Triangles (k, 3) over the vertices of all rings in order; ring 0 counter-clockwise, holes clockwise.
 
-    Ears are cut one by one; a corner is looked at again only when a neighbour
-    has gone, and only corners that are not convex, found by grid cell, are
-    tested against it. A shape that has corners left but no ear crosses itself:
-    ValueError.
+    A convex ring is a fan. Else ears are cut one by one; a corner is looked at
+    again only when a neighbour has gone, and only corners that are not convex,
+    found by grid cell, are tested against it. A shape whose edges cross or
+    overlap, or that has corners left but no ear, is a ValueError.
     """
     xy = np.concatenate(rings)
     starts = np.cumsum([0, *map(len, rings)])
     poly = list(range(len(rings[0])))
+    if len(rings) == 1 and _convex(xy):
+        k = np.arange(1, len(xy) - 1)
+        return np.stack([np.zeros_like(k), k, k + 1], axis=1)
+    if _cross_each_other(rings):
+        raise ValueError("the shape crosses itself")
     holes = [list(range(starts[i], starts[i + 1])) for i in range(1, len(rings))]
     for h in sorted(holes, key=lambda r: -xy[r, 0].max()):
         poly = _bridge(poly, h, xy)
@@ -250,6 +332,21 @@ def part_owners(built: DataFrame) -> DataFrame:
     return flat.select("territory", "tri", F.get("parts", F.size(F.filter("ends", lambda e: e <= F.col("vertex")))).alias("part"), "vertex")
 
 
+def owning_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """points' columns, territory, part, tri: of each part that holds a point (min_x = max_x, min_y = max_y) the least triangle that touches it.
+
+    Triangles tile their part, so a point lies in one of them, or on a border
+    of several; the rule gives it one owner. Boxes meet on grids of their own size.
+    """
+    from ..functions.rings import in_triangle
+    from .grid import level_join
+
+    xs, ys = ("ax", "bx", "cx"), ("ay", "by", "cy")
+    boxed = triangles.withColumns({"min_x": F.least(*xs), "max_x": F.greatest(*xs), "min_y": F.least(*ys), "max_y": F.greatest(*ys)})
+    hit = level_join(points, boxed).where(in_triangle(F.col("l_min_x"), F.col("l_min_y"), *[F.col(f"r_{c}{z}") for c in "abc" for z in "xy"]))
+    return hit.groupBy(*[F.col(f"l_{c}").alias(c) for c in points.columns], F.col("r_territory").alias("territory"), F.col("r_part").alias("part")).agg(F.min("r_tri").alias("tri"))
+
+
 def clip_area(t: np.ndarray, u: np.ndarray) -> float:
     """The area that two triangles (3, 2) share: one is cut by the half planes of the other."""
     if _cross(u[0], u[1], u[2]) < 0:

@@ -869,3 +869,6 @@ def viewport_rollback(spark, d):
 def newest_writes(spark, d):
     e = fx.table(spark, d, "events").select(F.col("user_id").alias("session"), (F.col("event_id") % 5).alias("generation"), "event_id")
     return viewport.newest_generation(e).select("session", "generation", "event_id")
+
+
+from . import geometry as _geometry  # noqa: E402, F401  its queries register themselves

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rings import GEOMETRY, POINT, interior_area, polygon_area
+from ..operators.overlay import ring_faults, surfaces
 
 #: Properties that may name or identify a feature, in order (fixed values).
 ID_KEYS = ("shapeID", "id", "ID", "shapeISO", "ISO", "iso")
@@ -142,12 +143,65 @@ def self_crossing(territories: DataFrame) -> DataFrame:
     return rings.mapInArrow(run, "dataset string, id string, part int, ring int")
 
 
+def _rings(territories: DataFrame) -> DataFrame:
+    """territory (dataset and id), part, ring, points."""
+    parts = territories.select(F.struct("dataset", "id").alias("territory"), F.posexplode("geometry").alias("part", "p"))
+    return parts.select("territory", "part", F.posexplode("p").alias("ring", "points"))
+
+
+def faults(territories: DataFrame) -> DataFrame:
+    """dataset, id, part, ring, fault of rings that cross themselves or each other or lie where they may not (overlay.ring_faults)."""
+    return ring_faults(_rings(territories)).select("territory.dataset", "territory.id", "part", "ring", "fault")
+
+
 def require_valid(territories: DataFrame) -> DataFrame:
-    """The territories, or an error that names the first bad ones: duplicates, unusable or self-crossing geometries."""
-    bad = [f"{r.dataset}/{r.id}: {r.problem}" for r in geometry_problems(territories).limit(10).collect()]
-    bad += [f"{r.dataset}/{r.id}: duplicate id" for r in duplicate_ids(territories).limit(10).collect()]
-    if not bad:
-        bad = [f"{r.dataset}/{r.id}: crosses itself" for r in self_crossing(territories).limit(10).collect()]
+    """The territories, or an error that names the first bad ones: duplicates, unusable geometries, faults of rings."""
+    _require_usable(territories)
+    said = {"self_crossing": "crosses itself", "rings_cross": "rings cross", "hole_outside": "a hole lies outside", "nested_holes": "a hole lies in another", "parts_overlap": "parts overlap"}
+    bad = [f"{r.dataset}/{r.id}: {said[r.fault]} ({r.fault})" for r in faults(territories).orderBy("dataset", "id", "fault").limit(10).collect()]
     if bad:
         raise DatasetError("; ".join(bad))
     return territories
+
+
+def _require_usable(territories: DataFrame) -> None:
+    """No policy loads these: geometries that are missing, empty, not finite or short, and ids that are there twice."""
+    bad = [f"{r.dataset}/{r.id}: {r.problem}" for r in geometry_problems(territories).where("problem <> 'no_area'").limit(10).collect()]
+    bad += [f"{r.dataset}/{r.id}: duplicate id" for r in duplicate_ids(territories).limit(10).collect()]
+    if bad:
+        raise DatasetError("; ".join(bad))
+
+
+def repair(territories: DataFrame) -> DataFrame:
+    """The territories with a column `repaired`; those with faulty rings get the even-odd surface of their rings.
+
+    Their parts are numbered by decreasing area and hold closed rings; spikes,
+    lines and points are gone. Sound territories keep their geometry as it is.
+    A territory without a surface, faulty or flat, is an error when its row is read.
+    """
+    territory = F.struct("dataset", "id")
+    bad = faults(territories).select(territory.alias("grp")).distinct()
+    rings = _rings(territories).withColumnRenamed("territory", "grp").join(bad, "grp", "left_semi")
+    closed = F.transform("rings", lambda r: F.concat(r, F.slice(r, 1, 1)))
+    parts = surfaces(rings.select("grp", "points")).select("grp", F.struct((-F.col("area")).alias("a"), closed.alias("part")).alias("p"))
+    made = parts.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]).alias("made"))
+    found = territories.join(bad.join(made, "grp", "left").select("grp.dataset", "grp.id", F.lit(True).alias("repaired"), "made"), ["dataset", "id"], "left")
+    g = F.when(F.col("repaired"), F.col("made")).otherwise(F.col("geometry"))
+    area = F.aggregate(F.transform(g, polygon_area), F.lit(0.0), lambda a, b: a + b)
+    lost = F.raise_error(F.concat(F.lit("no usable surface: "), F.col("dataset"), F.lit("/"), F.col("id"))).cast(GEOMETRY)
+    out = found.withColumn("geometry", F.when(area > 0, g).otherwise(lost)).withColumn("repaired", F.coalesce("repaired", F.lit(False)))
+    return out.select(*territories.columns, "repaired")
+
+
+def load_dataset(spark: SparkSession, path: str, on_invalid: str = "reject") -> DataFrame:
+    """The territories of all documents under path, and whether each was repaired.
+
+    on_invalid "reject": any fault is an error; "repair": faulty geometries are rebuilt, which changes their shape.
+    """
+    if on_invalid not in ("reject", "repair"):
+        raise ValueError(f"on_invalid is 'reject' or 'repair', not {on_invalid!r}")
+    found = load(spark, path)
+    if on_invalid == "reject":
+        return require_valid(found).withColumn("repaired", F.lit(False))
+    _require_usable(found)
+    return repair(found)

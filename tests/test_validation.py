@@ -116,3 +116,40 @@ def test_snapshot_prunes_and_lists(spark, tmp_path):
     busy = spark.createDataFrame([("a", 1, 0, 0), ("b", 1, 1, 1), ("c", 0, 0, 1)], "territory string, merges int, splits int, created int")
     assert [r.territory for r in reports.busiest_regions(busy).collect()] == ["b", "a", "c"]
     assert spark.range(1).select(reports.mismatched_segments(F.lit(3), F.lit(5))).first()[0] == 0
+
+
+def _document(tmp_path, shapes):
+    import json
+
+    features = [{"type": "Feature", "properties": {"id": k}, "geometry": {"type": "MultiPolygon", "coordinates": [[[*map(list, r), list(r[0])] for r in part] for part in parts]}} for k, parts in shapes.items()]
+    (tmp_path / "d.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    return str(tmp_path)
+
+
+def test_repair_policy(spark, tmp_path):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    shapes = {
+        "sound": [[square, [(1, 1), (1, 2), (2, 2)]]],
+        "tie": [[[(0, 0), (4, 4), (4, 0), (0, 4)]]],
+        "spike": [[[(0, 0), (4, 0), (4, 4), (4, 9), (4, 4), (0, 4)]]],
+        "outside": [[square, [(9, 9), (10, 9), (10, 10), (9, 10)]]],
+    }
+    path = _document(tmp_path, shapes)
+    got = {r["id"]: r for r in documents.load_dataset(spark, path, "repair").collect()}
+    assert {k: r["repaired"] for k, r in got.items()} == {"sound": False, "tie": True, "spike": True, "outside": True}
+    assert {k: len(r["geometry"]) for k, r in got.items()} == {"sound": 1, "tie": 2, "spike": 1, "outside": 2}
+    assert [(p["x"], p["y"]) for p in got["sound"]["geometry"][0][0]] == [*square, square[0]]
+    assert all(ring[0] == ring[-1] for r in got.values() for part in r["geometry"] for ring in part)
+    assert {(p["x"], p["y"]) for p in got["spike"]["geometry"][0][0]} == set(square)
+    again = documents.load_dataset(spark, path, "repair").drop("repaired")
+    assert documents.require_valid(again).count() == 4
+    with pytest.raises(ValueError, match="on_invalid"):
+        documents.load_dataset(spark, path, "ignore")
+
+
+def test_what_no_policy_can_load(spark, tmp_path):
+    path = _document(tmp_path, {"line": [[[(0, 0), (3, 3), (6, 6)]]], "ok": [[[(0, 0), (1, 0), (1, 1)]]]})
+    with pytest.raises(Exception, match="no usable surface: d/line"):
+        documents.load_dataset(spark, path, "repair").collect()
+    with pytest.raises(documents.DatasetError, match="line: crosses itself"):
+        documents.load_dataset(spark, path)
