@@ -48,8 +48,12 @@ def part_accounts(source: DataFrame, output: DataFrame, overlaps: DataFrame) ->
     return s, o.withColumn("covered", F.coalesce("covered", F.lit(0.0))).withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def account_events(source: DataFrame, output: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """territory, kind, count, area: every difference between source and output parts without holes."""
+def account_events(source: DataFrame, output: DataFrame, overlaps: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+    """territory, kind, count, area: every difference between source and output parts.
+
+    filled (territory, j, filled): ground of dropped holes that output parts
+    cover now; it is accounted for with the holes, not as movement.
+    """
     s, o = part_accounts(source, output, overlaps)
     left = F.greatest(F.col("sa") - F.col("covered"), F.lit(0.0))
     lost = F.col("gone") | (F.col("degree") == 0)
@@ -58,6 +62,8 @@ def account_events(source: DataFrame, output: DataFrame, overlaps: DataFrame) ->
     times = F.when(F.col("degree") > 1, F.col("degree") - 1).otherwise(1)
     a = s.groupBy("territory", kind.alias("kind")).agg(F.sum(F.when(F.col("lost"), 1).otherwise(times)).alias("n"), F.sum("res").alias("area"))
     shrunk = s.where(~F.col("lost") & (F.col("sa") > 0) & (F.col("covered") < SEVERE * F.col("sa"))).groupBy("territory").agg(F.count(F.lit(1)).alias("n"))
+    if filled is not None:
+        o = o.join(filled, ["territory", "j"], "left").withColumn("covered", F.col("covered") + F.coalesce("filled", F.lit(0.0))).drop("filled")
     o = o.withColumn("res", F.greatest(F.col("oa") - F.col("covered"), F.lit(0.0)))
     kind = F.when(F.col("degree") == 0, "part_created").when(F.col("degree") > 1, "part_merge").otherwise("boundary_advance")
     b = o.groupBy("territory", kind.alias("kind")).agg(F.sum(times).alias("n"), F.sum("res").alias("area"))

@@ -383,17 +383,36 @@ def triangle_overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFra
     boxed = lambda df: df.select("territory", "part", *corners, F.least(*xs).alias("min_x"), F.greatest(*xs).alias("max_x"), F.least(*ys).alias("min_y"), F.greatest(*ys).alias("max_y"))
     pairs = box_join(boxed(left), boxed(right), cell)
 
-    def run(batches):
-        for b in batches:
-            t = np.stack([b.column(f"l_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
-            u = np.stack([b.column(f"r_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
-            area = np.array([clip_area(x, y) for x, y in zip(t, u)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("l_territory", "l_part", "r_territory", "r_part")), pa.array(area)], names=["l_territory", "l_part", "r_territory", "r_part", "area"])
-
-    areas = pairs.select("l_territory", "l_part", "r_territory", "r_part", *[f"{s}_{c}" for s in "lr" for c in corners]).mapInArrow(run, "l_territory string, l_part int, r_territory string, r_part int, area double")
+    areas = pairs.select("l_territory", "l_part", "r_territory", "r_part", *[f"{s}_{c}" for s in "lr" for c in corners]).mapInArrow(_clipped, "l_territory string, l_part int, r_territory string, r_part int, area double")
     return areas.groupBy("l_territory", "l_part", "r_territory", "r_part").agg(F.sum("area").alias("area")).where("area > 0")
 
 
+def _clipped(batches):
+    corners = ["ax", "ay", "bx", "by", "cx", "cy"]
+    for b in batches:
+        t = np.stack([b.column(f"l_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
+        u = np.stack([b.column(f"r_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
+        area = np.array([clip_area(x, y) for x, y in zip(t, u)])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(area, pa.float64())], names=["l_territory", "l_part", "r_territory", "r_part", "area"])
+
+
+def territory_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """territory, l_part, r_part, area > 0: what parts of the same territory share over two sets of triangles.
+
+    Triangles meet by territory on grids of their own size, so neither a
+    territory of many parts nor one huge part compares all with all.
+    """
+    from .grid import level_join
+
+    corners = ["ax", "ay", "bx", "by", "cx", "cy"]
+    xs, ys = ("ax", "bx", "cx"), ("ay", "by", "cy")
+    boxed = lambda df: df.select("territory", "part", *corners, F.least(*xs).alias("min_x"), F.greatest(*xs).alias("max_x"), F.least(*ys).alias("min_y"), F.greatest(*ys).alias("max_y"))
+    pairs = level_join(boxed(left), boxed(right), ("territory",))
+    pairs = pairs.select(F.col("territory").alias("l_territory"), "l_part", F.col("territory").alias("r_territory"), "r_part", *[f"{s}_{c}" for s in "lr" for c in corners])
+    areas = pairs.mapInArrow(_clipped, "l_territory string, l_part int, r_territory string, r_part int, area double")
+    return areas.groupBy(F.col("l_territory").alias("territory"), "l_part", "r_part").agg(F.sum("area").alias("area")).where("area > 0")
+
+
 def _thin(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker on an open line: which points stay."""
     keep = np.zeros(len(points), bool)
@@ -438,14 +457,14 @@ def simplify_ring(points: np.ndarray, fixed: np.ndarray, tolerance: float) -> np
     return np.concatenate([_arc(ring[s : e + 1], tolerance)[:-1] for s, e in zip(cuts, cuts[1:])])
 
 
-def simplify(rings: DataFrame, tolerance: float) -> DataFrame:
-    """rings (territory, part, ring, points: open) thinned so that shared borders stay shared.
+def thin_levels(rings: DataFrame, tolerances: dict[str, float]) -> DataFrame:
+    """lod, territory, part, ring, points: rings (territory, part, ring, points: open) thinned to each tolerance so that shared borders stay shared.
 
     A vertex where the union of all borders does not simply pass through (other
     than two neighbours) is fixed. Between fixed vertices, rings that share a
     border hold the same points, and each thins them in the same direction: the
-    results are identical without ever meeting. The one join is by vertex.
-    Rings left with fewer than three vertices are dropped.
+    results are identical without ever meeting. The one join is by vertex, for
+    all levels together. Rings may be left with fewer than three vertices.
     """
     e = E.ring_edges(rings)
     ends = e.select(F.col("ax").alias("x"), F.col("ay").alias("y"), "edge").unionByName(e.select(F.col("bx").alias("x"), F.col("by").alias("y"), "edge")).distinct()
@@ -456,11 +475,19 @@ def simplify(rings: DataFrame, tolerance: float) -> DataFrame:
     def run(batches):
         kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
         for b in batches:
-            out = []
-            for v in b.column(3).to_pylist():
-                got = simplify_ring(np.array([(p["x"], p["y"]) for p in v]), np.array([p["fixed"] for p in v]), tolerance)
-                out.append([{"x": x, "y": y} for x, y in got.tolist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kind)], names=["territory", "part", "ring", "points"])
+            cols = [[] for _ in range(5)]
+            for t, p, r, v in zip(*(c.to_pylist() for c in b.columns)):
+                points, held = np.array([(q["x"], q["y"]) for q in v]), np.array([q["fixed"] for q in v])
+                for lod, tolerance in tolerances.items():
+                    got = simplify_ring(points, held, tolerance)
+                    for c, x in zip(cols, (lod, t, p, r, [{"x": x, "y": y} for x, y in got.tolist()])):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), kind))], names=["lod", "territory", "part", "ring", "points"])
 
     rows = marked.select(F.col("territory").cast("string"), F.col("part").cast("int"), F.col("ring").cast("int"), "v")
-    return rows.mapInArrow(run, "territory string, part int, ring int, points array<struct<x:double,y:double>>").where(F.size("points") >= 3)
+    return rows.mapInArrow(run, "lod string, territory string, part int, ring int, points array<struct<x:double,y:double>>")
+
+
+def simplify(rings: DataFrame, tolerance: float) -> DataFrame:
+    """One level of thin_levels, without rings that are left with fewer than three vertices (levels.simplify_levels accounts for those)."""
+    return thin_levels(rings, {"": tolerance}).drop("lod").where(F.size("points") >= 3)

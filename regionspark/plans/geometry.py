@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..operators import edges, mesh, overlay, reports
+from ..operators import account, edges, levels, mesh, overlay, reports
 from ..sources import documents
 from . import fixtures as fx
 from .queries import _parts_of, query
@@ -173,3 +173,58 @@ def many_holes_triangulation(spark, d):
     area = F.abs(R.triangle_cross(*[F.col(v) for v in ("ax", "ay", "bx", "by", "cx", "cy")])) / 2
     return t.groupBy("territory").agg(F.count(F.lit(1)).cast("int").alias("triangles"), F.round(F.sum(area)).cast("long").alias("area"))
 
+
+
+#: Tolerances of the level queries, in units of their shapes.
+_TOLERANCES = {"high": 0.05, "medium": 0.5, "low": 2.5}
+
+
+def _islands(spark, d):
+    """Rings of a square with a flat bump, a hole of side 1 or 5 or none, and a small island beside it or none, for each customer."""
+    c = F.col("c_custkey")
+    x, y = (c % 100 * 60).cast("double"), (F.floor(c / 100) * 60).cast("double")
+    outer = _ring((x, y), (x + 10, y - 0.25), (x + 20, y), (x + 20, y + 20), (x, y + 20))
+    hole = lambda s: F.reverse(_square(x + 8, y + 8, s))
+    row = lambda part, ring, points: F.struct(F.lit(part).alias("part"), F.lit(ring).alias("ring"), points.alias("points"))
+    rows = F.array(row(0, 0, outer), F.when(c % 3 == 0, row(0, 1, hole(1))).when(c % 3 == 1, row(0, 1, hole(5))), F.when(c % 2 == 0, row(1, 0, _square(x + 30, y, 0.5))))
+    return fx.table(spark, d, "customer").select(c.cast("string").alias("territory"), F.explode(F.array_compact(rows)).alias("r")).select("territory", "r.*")
+
+
+_LEVELS_OF = "c AS (SELECT c_custkey AS k, lod, n FROM customer CROSS JOIN (VALUES ('high', 0), ('medium', 1), ('low', 2)) t(lod, n))"
+
+
+@query(
+    f"""WITH {_LEVELS_OF}, e AS (SELECT lod, 'boundary_retreat' AS kind, 2.5 AS area FROM c WHERE n > 0 UNION ALL SELECT lod, 'dropped_part', 0.25 FROM c WHERE n > 0 AND k % 2 = 0 UNION ALL SELECT lod, 'dropped_hole', 1 FROM c WHERE n = 2 AND k % 3 = 0)
+ SELECT lod, kind, count(*) AS count, CAST(sum(area * 4) AS BIGINT) AS quarters FROM e GROUP BY ALL"""
+)
+def level_events(spark, d):
+    """What three levels lose: a bump, a small island, a small hole; areas in quarters."""
+    e = levels.simplify_levels(_islands(spark, d), _TOLERANCES).events
+    return e.groupBy("lod", "kind").agg(F.sum("count").alias("count"), F.round(F.sum("area") * 4).cast("long").alias("quarters"))
+
+
+@query(
+    f"""WITH {_LEVELS_OF} SELECT lod, count(*) AS territories, CAST(sum(1 + CAST(k % 2 = 0 AS INTEGER)) AS BIGINT) AS source_parts, CAST(sum(1 + CAST(k % 2 = 0 AND n = 0 AS INTEGER)) AS BIGINT) AS parts, count(*) FILTER (k % 3 < 2) AS source_holes,
+ count(*) FILTER (k % 3 = 1 OR k % 3 = 0 AND n < 2) AS holes, CAST(sum(4 * (402.5 + CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0 END - CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 25 ELSE 0 END)) AS BIGINT) AS source_quarters,
+ CAST(sum(4 * (400 + CASE WHEN n = 0 THEN 2.5 ELSE 0 END + CASE WHEN n = 0 AND k % 2 = 0 THEN 0.25 ELSE 0 END - CASE WHEN k % 3 = 0 AND n < 2 THEN 1 WHEN k % 3 = 1 THEN 25 ELSE 0 END)) AS BIGINT) AS output_quarters, CAST(0 AS BIGINT) AS broken FROM c GROUP BY lod"""
+)
+def level_accounts(spark, d):
+    """Parts, holes and areas before and after, by level, and how many identities are broken."""
+    a = levels.simplify_levels(_islands(spark, d), _TOLERANCES).accounts
+    broken = account.budget_violations(a.withColumn("territory", F.concat_ws("/", "lod", "territory"))).groupBy(F.substring_index("territory", "/", 1).alias("lod")).agg(F.count(F.lit(1)).alias("broken"))
+    quarters = lambda c: F.round(F.sum(c) * 4).cast("long")
+    t = a.groupBy("lod").agg(
+        F.count(F.lit(1)).alias("territories"), *[F.sum(c).alias(c) for c in ("source_parts", "parts", "source_holes", "holes")], quarters("source_area").alias("source_quarters"), quarters("output_area").alias("output_quarters")
+    )
+    return t.join(broken, "lod", "left").withColumn("broken", F.coalesce("broken", F.lit(0)).cast("long"))
+
+
+@query("WITH c AS (SELECT c_custkey AS k, (c_custkey % 16 + 1) / CAST(4 AS DOUBLE) AS s FROM customer) SELECT CAST(k AS VARCHAR) AS territory, lod FROM c CROSS JOIN (VALUES ('high', 0.05), ('medium', 0.5), ('low', 2.5)) t(lod, tol) WHERE s / sqrt(2) <= tol")
+def vanished_territories(spark, d):
+    """Squares of several sizes that a level leaves nothing of."""
+    c = F.col("c_custkey")
+    points = _square((c % 100 * 60).cast("double"), (F.floor(c / 100) * 60).cast("double"), (c % 16 + 1).cast("double") / 4)
+    r = fx.table(spark, d, "customer").select(c.cast("string").alias("territory"), F.lit(0).alias("part"), F.lit(0).alias("ring"), points.alias("points"))
+    left = levels.thinned(r, _TOLERANCES).select("lod", "territory").distinct()
+    every = r.select("territory").distinct().withColumn("lod", F.explode(F.array(*[F.lit(x) for x in _TOLERANCES])))
+    return every.join(left, ["lod", "territory"], "left_anti").select("territory", "lod")
