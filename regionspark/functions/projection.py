@@ -16,6 +16,17 @@ def check_latitude(lat: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("latitude out of range: "), F.coalesce(lat.cast("string"), F.lit("null")))).cast("double")).otherwise(lat)
 
 
+def check_longitude(lon: Column) -> Column:
+    """lon, or an error if it is not finite or beyond half a turn."""
+    bad = lon.isNull() | F.isnan(lon) | (F.abs(lon) > 180)
+    return F.when(bad, F.raise_error(F.concat(F.lit("longitude out of range: "), F.coalesce(lon.cast("string"), F.lit("null")))).cast("double")).otherwise(lon)
+
+
+def origin(lon: Column, lat: Column) -> Column:
+    """struct(lon, lat) of a projection's origin, or an error: it must lie on the map."""
+    return F.struct(check_longitude(lon).alias("lon"), check_latitude(lat).alias("lat"))
+
+
 def mercator_x(lon: Column) -> Column:
     return F.lit(RADIUS) * F.radians(lon)
 
@@ -52,6 +63,12 @@ def unproject_y(y: Column, origin_lat: Column) -> Column:
     return inverse_y(y / local_scale(origin_lat) + mercator_y(origin_lat))
 
 
+def unproject_geometry(parts: Column, origin_lon: Column, origin_lat: Column) -> Column:
+    """parts in local metres back in degrees."""
+    point = lambda p: F.struct(unproject_x(p["x"], origin_lon, origin_lat).alias("x"), unproject_y(p["y"], origin_lat).alias("y"))
+    return F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, point)))
+
+
 def project_geometry(parts: Column, origin_lon: Column, origin_lat: Column) -> Column:
     """parts: array of rings of struct(x, y) in degrees, projected without changing its structure."""
     point = lambda p: F.struct(project_x(p["x"], origin_lon, origin_lat).alias("x"), project_y(p["y"], origin_lat).alias("y"))

@@ -125,6 +125,12 @@ def colour(text: Column, seed: int = 0) -> list[Column]:
     return [(h % 10007).alias("hue_step"), (F.floor(h / 10007) % 4001).alias("saturation_step"), (F.floor(h / (10007 * 4001)) % 4001).alias("value_step")]
 
 
+def shown_colour(override: Column, text: Column, seed: int = 0) -> list[Column]:
+    """An id's colour: an override (struct of hue_step, saturation_step, value_step) as a whole, else its default."""
+    names = ("hue_step", "saturation_step", "value_step")
+    return [F.when(override.isNotNull(), override[n]).otherwise(c).alias(n) for n, c in zip(names, colour(text, seed))]
+
+
 def nearest_rank(values: Column, fraction: float) -> Column:
     """Of values in order, the one at min(n - 1, int(fraction * n)); null of none."""
     n = F.size(values)

@@ -322,14 +322,21 @@ def empty_parts(built: DataFrame) -> DataFrame:
 def part_owners(built: DataFrame) -> DataFrame:
     """territory, tri, part, vertex: the part in whose range of the territory's vertices each triangle's first corner lies.
 
-    A territory's mesh has its parts' vertices end to end; the owner is found
-    in the running ends of these ranges.
+    A territory's mesh has its parts' vertices end to end. Where ranges start
+    comes from running sums; each vertex number then takes the last start at or
+    before it, in one pass over starts and vertices in order.
     """
-    whole = built.groupBy("territory").agg(F.array_sort(F.collect_list(F.struct("part", F.size(F.flatten("rings")).alias("n"), "triangles"))).alias("p"))
-    ends = F.transform("p", lambda x, i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda acc, y: acc + y["n"]))
-    whole = whole.select("territory", F.col("p.part").alias("parts"), ends.alias("ends"), F.transform("p", lambda x, i: F.transform(F.filter(x["triangles"], lambda t, k: k % 3 == 0), lambda t: t + F.when(i > 0, F.get(F.transform("p", lambda z, j: F.aggregate(F.slice("p", 1, j + 1), F.lit(0), lambda acc, y: acc + y["n"])), i - 1)).otherwise(0))).alias("first"))
-    flat = whole.select("territory", "parts", "ends", F.posexplode(F.flatten("first")).alias("tri", "vertex"))
-    return flat.select("territory", "tri", F.get("parts", F.size(F.filter("ends", lambda e: e <= F.col("vertex")))).alias("part"), "vertex")
+    from pyspark.sql import Window
+
+    per = built.select("territory", "part", F.size(F.flatten("rings")).alias("n"), "triangles", F.floor(F.size("triangles") / 3).alias("t"))
+    before = Window.partitionBy("territory").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("first", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    corner = F.filter("triangles", lambda v, k: k % 3 == 0)
+    vertices = sums.select("territory", "base", "first", F.posexplode(corner).alias("k", "v")).select("territory", (F.col("base") + F.col("v")).alias("vertex"), (F.col("first") + F.col("k")).alias("tri"), F.lit(None).cast("int").alias("starts"))
+    starts = sums.where("n > 0").select("territory", F.col("base").alias("vertex"), F.lit(None).cast("long").alias("tri"), F.col("part").alias("starts"))
+    so_far = Window.partitionBy("territory").orderBy("vertex", F.col("tri").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = vertices.unionByName(starts).withColumn("part", F.last("starts", ignorenulls=True).over(so_far))
+    return both.where("tri IS NOT NULL").select("territory", "tri", "part", "vertex")
 
 
 def owning_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:

@@ -58,28 +58,41 @@ def _boxed(s: DataFrame, margin: int = 1) -> DataFrame:
     return s.withColumns({"min_x": low("ax", "bx"), "max_x": high("ax", "bx"), "min_y": low("ay", "by"), "max_y": high("ay", "by")})
 
 
-def _cross(ax, ay, bx, by, cx, cy) -> Column:
-    d = lambda a, b: (b - a).cast("double")
-    return d(ax, bx) * d(ay, cy) - d(ay, by) * d(ax, cx)
+# The predicates below are SQL text: they are long, and a text is one call to the JVM.
 
 
-def _on(p: tuple[Column, Column], a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+def _d(a: str, b: str) -> str:
+    return f"CAST({b} - {a} AS DOUBLE)"
+
+
+def _cross(a: tuple, b: tuple, c: tuple) -> str:
+    """Twice the signed area of the triangle a, b, c."""
+    return f"({_d(a[0], b[0])} * {_d(a[1], c[1])} - {_d(a[1], b[1])} * {_d(a[0], c[0])})"
+
+
+def _along(a: tuple, b: tuple, p: tuple) -> str:
+    """How far p lies along a-b, times the length of a-b."""
+    return f"({_d(a[0], b[0])} * {_d(a[0], p[0])} + {_d(a[1], b[1])} * {_d(a[1], p[1])})"
+
+
+def _at(p: tuple, q: tuple) -> str:
+    return f"({p[0]} = {q[0]} AND {p[1]} = {q[1]})"
+
+
+def _on(p: tuple, a: tuple, b: tuple) -> str:
     """Whether p lies on the segment a-b, ends not included."""
-    d = lambda u, v: (v - u).cast("double")
-    along = d(a[0], b[0]) * d(a[0], p[0]) + d(a[1], b[1]) * d(a[1], p[1])
-    long = d(a[0], b[0]) * d(a[0], b[0]) + d(a[1], b[1]) * d(a[1], b[1])
-    off = F.abs(_cross(*a, *b, *p))
-    return (off <= NEAR * F.sqrt(long)) & (along > 0) & (along < long) & ~((p[0] == a[0]) & (p[1] == a[1])) & ~((p[0] == b[0]) & (p[1] == b[1]))
+    along, long = _along(a, b, p), _along(a, b, b)
+    return f"(abs({_cross(a, b, p)}) <= {NEAR} * sqrt({long}) AND {along} > 0 AND {along} < {long} AND NOT {_at(p, a)} AND NOT {_at(p, b)})"
 
 
-def _ends(side: str) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
-    return (F.col(f"{side}_ax"), F.col(f"{side}_ay")), (F.col(f"{side}_bx"), F.col(f"{side}_by"))
+def _ends(side: str) -> tuple[tuple, tuple]:
+    return (f"{side}_ax", f"{side}_ay"), (f"{side}_bx", f"{side}_by")
 
 
-def _properly(pairs: DataFrame) -> Column:
+def _properly() -> str:
     """Whether two segments cross in a point inside both."""
     (a, b), (c, d) = _ends("l"), _ends("r")
-    return (F.signum(_cross(*a, *b, *c)) * F.signum(_cross(*a, *b, *d)) < 0) & (F.signum(_cross(*c, *d, *a)) * F.signum(_cross(*c, *d, *b)) < 0)
+    return f"(signum({_cross(a, b, c)}) * signum({_cross(a, b, d)}) < 0 AND signum({_cross(c, d, a)}) * signum({_cross(c, d, b)}) < 0)"
 
 
 def _cut_points(s: DataFrame) -> DataFrame:
@@ -87,19 +100,16 @@ def _cut_points(s: DataFrame) -> DataFrame:
     boxed = _boxed(s.select("sid", "grp", *_ENDS))
     pairs = level_join(boxed, boxed, ("grp",)).where("l_sid < r_sid")
     (a, b), (c, d) = _ends("l"), _ends("r")
-    d3, d4 = _cross(*c, *d, *a), _cross(*c, *d, *b)
-    t = d3 / (d3 - d4)
-    exact = [a[i] + t * (b[i] - a[i]) for i in range(2)]
-    p = [F.round(e).cast("long") for e in exact]
-    shifted = (F.abs(exact[0] - p[0]) > 1e-6) | (F.abs(exact[1] - p[1]) > 1e-6)
-    cut = lambda when, side, at, moved: F.when(when, F.struct(F.col(f"{side}_sid").alias("sid"), at[0].alias("x"), at[1].alias("y"), moved.alias("moved")))
-    inner = lambda e: ~((p[0] == e[0][0]) & (p[1] == e[0][1])) & ~((p[0] == e[1][0]) & (p[1] == e[1][1]))
-    off = lambda v, e: _cross(*e[0], *e[1], *v) != 0
-    proper = _properly(pairs)
-    found = [cut(proper & inner(_ends(side)), side, p, shifted) for side in "lr"]
-    found += [cut(_on(v, a, b), "l", v, off(v, (a, b))) for v in (c, d)]
-    found += [cut(_on(v, c, d), "r", v, off(v, (c, d))) for v in (a, b)]
-    return pairs.select(F.explode(F.array_compact(F.array(*found))).alias("c")).select("c.*")
+    t = f"({_cross(c, d, a)} / nullif({_cross(c, d, a)} - {_cross(c, d, b)}, 0))"
+    pairs = pairs.withColumn("proper", F.expr(_properly()))
+    pairs = pairs.withColumns({f"e{z}": F.expr(f"CASE WHEN proper THEN {a[i]} + {t} * ({b[i]} - {a[i]}) END") for i, z in enumerate("xy")})
+    pairs = pairs.withColumns({f"p{z}": F.expr(f"CAST(round(e{z}) AS BIGINT)") for z in "xy"})
+    p = ("px", "py")
+    cut = lambda when, side, at, moved: f"CASE WHEN {when} THEN named_struct('sid', {side}_sid, 'x', {at[0]}, 'y', {at[1]}, 'moved', {moved}) END"
+    found = [cut(f"proper AND NOT {_at(p, _ends(side)[0])} AND NOT {_at(p, _ends(side)[1])}", side, p, "abs(ex - px) > 1e-6 OR abs(ey - py) > 1e-6") for side in "lr"]
+    found += [cut(_on(v, a, b), "l", v, f"{_cross(a, b, v)} <> 0") for v in (c, d)]
+    found += [cut(_on(v, c, d), "r", v, f"{_cross(c, d, v)} <> 0") for v in (a, b)]
+    return pairs.select(F.expr(f"explode(array_compact(array({', '.join(found)})))").alias("c")).select("c.*")
 
 
 def node(s: DataFrame) -> DataFrame:
@@ -453,20 +463,15 @@ def ring_faults(rings: DataFrame, quantum: float = QUANTUM) -> DataFrame:
     boxed = _boxed(s, 0)
     pairs = level_join(boxed, boxed, ("grp",)).where("(l_part, l_ring, l_seq) < (r_part, r_ring, r_seq)")
     (a, b), (c, d) = _ends("l"), _ends("r")
-    same_ring = (F.col("l_part") == F.col("r_part")) & (F.col("l_ring") == F.col("r_ring"))
-    step_on = F.col("r_seq") - F.col("l_seq")
-    follows, closes = step_on == 1, step_on == F.col("l_size") - 1
-    at = lambda p, q: (p[0] == q[0]) & (p[1] == q[1])
-    line = (_cross(*a, *b, *c) == 0) & (_cross(*a, *b, *d) == 0)
-    span = lambda p, q: (q - p).cast("double")
-    along = lambda p, q: span(p[0], q[0]) * span(a[0], b[0]) + span(p[1], q[1]) * span(a[1], b[1])
-    lo, hi = F.least(along(a, c), along(a, d)), F.greatest(along(a, c), along(a, d))
-    overlap = line & (F.least(hi, along(a, b)) > F.greatest(lo, F.lit(0.0)))
-    on = _on(c, a, b) | _on(d, a, b) | _on(a, c, d) | _on(b, c, d)
-    meet = at(a, c) | at(a, d) | at(b, c) | at(b, d)
-    proper = _properly(pairs)
-    touch = on | F.when(follows & closes, F.lit(False)).when(follows, at(a, c) | at(a, d) | at(b, d)).when(closes, at(a, c) | at(b, c) | at(b, d)).otherwise(meet)
-    fault = F.when(same_ring & (proper | overlap | touch), "self_crossing").when(~same_ring & (proper | overlap), "rings_cross")
+    same_ring, follows, closes = "(l_part = r_part AND l_ring = r_ring)", "(r_seq - l_seq = 1)", "(r_seq - l_seq = l_size - 1)"
+    overlap = f"({_cross(a, b, c)} = 0 AND {_cross(a, b, d)} = 0 AND least(greatest({_along(a, b, c)}, {_along(a, b, d)}), {_along(a, b, b)}) > greatest(least({_along(a, b, c)}, {_along(a, b, d)}), 0))"
+    on = f"({_on(c, a, b)} OR {_on(d, a, b)} OR {_on(a, c, d)} OR {_on(b, c, d)})"
+    ends = {"ac": _at(a, c), "ad": _at(a, d), "bc": _at(b, c), "bd": _at(b, d)}
+    of = lambda *names: " OR ".join(ends[n] for n in names)
+    # edges that follow each other share one end; whatever else they share is a touch
+    meet = f"CASE WHEN {follows} AND {closes} THEN false WHEN {follows} THEN {of('ac', 'ad', 'bd')} WHEN {closes} THEN {of('ac', 'bc', 'bd')} ELSE {of(*ends)} END"
+    crossed_or_over = f"({_properly()} OR {overlap})"
+    fault = F.expr(f"CASE WHEN {same_ring} AND ({crossed_or_over} OR {on} OR {meet}) THEN 'self_crossing' WHEN NOT {same_ring} AND {crossed_or_over} THEN 'rings_cross' END")
     crossing = stored(pairs.select(F.col("grp").alias("territory"), F.col("r_part").alias("part"), F.col("r_ring").alias("ring"), fault.alias("fault"), F.col("l_part").alias("o_part"), F.col("l_ring").alias("o_ring")).where("fault IS NOT NULL").distinct(), "crossing-rings")
     crossed = crossing.select("territory", "part", "ring").unionByName(crossing.select("territory", F.col("o_part").alias("part"), F.col("o_ring").alias("ring"))).distinct()
     sound = stored(rings.join(crossed, ["territory", "part", "ring"], "left_anti").select("territory", F.struct("part", "ring").alias("id"), "points"), "sound-rings")

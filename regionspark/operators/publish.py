@@ -76,17 +76,30 @@ def prunable(revisions: DataFrame, leases: DataFrame, now: float, keep: int = KE
     return old.join(live, "revision_id", "left_anti").select("dataset", "revision_id", "published_at")
 
 
-def evict(entries: DataFrame, budget: int) -> DataFrame:
-    """Cache entries (cache, name, bytes, mtime) to delete: the oldest first, until a cache's total is within budget."""
-    whole = Window.partitionBy("cache")
-    before = Window.partitionBy("cache").orderBy("mtime", "name").rowsBetween(Window.unboundedPreceding, -1)
-    e = entries.withColumn("total", F.sum("bytes").over(whole)).withColumn("gone", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    return e.where(F.col("total") - F.col("gone") > budget).select("cache", "name", "bytes")
+def evict(entries: DataFrame, budget: int, accesses: DataFrame | None = None) -> DataFrame:
+    """Cache entries (cache, name, bytes, mtime) to delete: the least recently used first, until a cache's total is within budget.
+
+    accesses (cache, name, at): each counts as a touch at its time, so an entry's
+    recency is the latest of its mtime and its accesses. One large cache is
+    spread over all tasks by ranges of recency.
+    """
+    from .ordering import running_sum
+
+    e = entries.select("cache", "name", "bytes", F.col("mtime").alias("used"))
+    if accesses is not None:
+        last = accesses.groupBy("cache", "name").agg(F.max("at").alias("last"))
+        e = e.join(last, ["cache", "name"], "left").select("cache", "name", "bytes", F.greatest("used", "last").alias("used"))
+    gone = running_sum(e, ("cache",), ("used", "name"), "bytes")
+    return gone.where(F.col("total") - F.col("before") > budget).select("cache", "name", "bytes")
+
+
+#: Characters that stay in a file name (fixed values).
+_UNSAFE = "[^A-Za-z0-9._-]"
 
 
 def file_stem(text: Column) -> Column:
     """A name that every file system takes."""
-    clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]", "_"), "[. ]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(text, _UNSAFE, "_"), "[. ]+$", "")
     clean = F.when(clean == "", "_").otherwise(clean)
     return F.when(F.lower(F.substring_index(clean, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
 
@@ -94,24 +107,39 @@ def file_stem(text: Column) -> Column:
 def unique_names(ids: DataFrame, *by: str) -> DataFrame:
     """`by`, id, name (and other columns): in order of id each takes its stem, or stem-2, -3 ... if that is taken, whatever its case.
 
-    Names can only meet if they are alike but for the numbers at their ends, so
-    each such family is settled by itself, in order of id.
+    Names can only meet if they are alike but for the numbers at their ends. In
+    such a family without equal stems each keeps its own; one whose stems are
+    all equal is numbered by running counts, however large it is; only families
+    that mix equal stems with numbered ones are settled name by name.
     """
-    stemmed = ids.withColumn("name", file_stem(F.col("id"))).withColumn("family", F.regexp_replace(F.lower("name"), "(-[0-9]+)+$", ""))
-    schema = stemmed.drop("family").schema
+    from .ordering import running_sum
+
+    columns = [*ids.columns, "name"]
+    stemmed = ids.withColumn("name", file_stem(F.col("id"))).withColumn("__stem", F.lower("name"))
+    stemmed = stemmed.withColumn("__family", F.regexp_replace("__stem", "(-[0-9]+)+$", ""))
+    stems = stemmed.groupBy(*by, "__family", "__stem").agg(F.count(F.lit(1)).alias("n"))
+    family = stems.groupBy(*by, "__family").agg(F.sum("n").alias("__rows"), F.count(F.lit(1)).alias("__stems"), F.first("__stem").alias("__one"))
+    family = family.withColumn("__kind", F.when(F.col("__rows") == F.col("__stems"), "plain").when((F.col("__stems") == 1) & (F.col("__one") == F.col("__family")), "equal").otherwise("mixed"))
+    known = stemmed.join(family.select(*by, "__family", "__kind"), [*by, "__family"])
+    plain = known.where("__kind = 'plain'").select(*columns)
+    equal = running_sum(known.where("__kind = 'equal'").withColumn("__1", F.lit(1)), (*by, "__stem"), ("id",), "__1", "__before", "__total")
+    equal = equal.withColumn("name", F.when(F.col("__before") > 0, F.concat_ws("-", "name", (F.col("__before") + 1).cast("string"))).otherwise(F.col("name"))).select(*columns)
+    mixed = known.where("__kind = 'mixed'").select(*columns, "__family")
 
     def settle(group):
         group = group.sort_values("id", kind="stable")
-        taken, names = set(), []
+        taken, following, names = set(), {}, []
         for stem in group["name"]:
-            name, n = stem, 2
+            low, name = stem.lower(), stem
+            n = following.get(low, 2)
             while name.lower() in taken:
                 name, n = f"{stem}-{n}", n + 1
+            following[low] = n  # all numbers below it are taken for good
             taken.add(name.lower())
             names.append(name)
-        return group.assign(name=names).drop(columns="family")
+        return group.assign(name=names).drop(columns="__family")
 
-    return stemmed.groupBy(*by, "family").applyInPandas(settle, schema)
+    return plain.unionByName(equal).unionByName(mixed.groupBy(*by, "__family").applyInPandas(settle, mixed.drop("__family").schema))
 
 
 def resolve(requests: DataFrame, datasets: DataFrame, pointers: DataFrame, revisions: DataFrame, tombstones: DataFrame) -> DataFrame:

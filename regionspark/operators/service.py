@@ -80,6 +80,12 @@ def error_codes(spark) -> DataFrame:
     return spark.createDataFrame(ERRORS, "code string, status int")
 
 
+def as_errors(failures: DataFrame) -> DataFrame:
+    """failures (code, ...) with the status of each code; a code that is not known is an internal error, 500, and is not shown."""
+    known = failures.join(F.broadcast(error_codes(failures.sparkSession)), "code", "left")
+    return known.withColumn("code", F.when(F.col("status").isNull(), "internal_error").otherwise(F.col("code"))).withColumn("status", F.coalesce("status", F.lit(500)))
+
+
 def missing_from_cache(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """What a read-through cache still has to fetch."""
     return wanted.join(cached, ["dataset", "revision_id", "lod", "id"], "left_anti")

@@ -565,16 +565,20 @@ def triangulation(spark, d):
     return t.groupBy("territory", "part").agg(F.count(F.lit(1)).alias("triangles"), F.floor(F.sum(area) * 10_000 + 0.5).cast("long").alias("area_e4"))
 
 
-@query(f"WITH {fx.TERRITORIES_SQL}, {fx.RINGS_SQL}, a AS (SELECT territory, sum(4 * k) AS v, sum(3 * (4 * k + 2 * (k - 1) - 2)) AS i FROM (SELECT territory, part, count(*) AS k FROM rects GROUP BY territory, part) GROUP BY territory) SELECT territory, CAST(v AS BIGINT) AS vertices, CAST(i AS BIGINT) AS indices, CAST(32 + 8 * v + 2 * i AS BIGINT) AS payload_bytes FROM a")
-def mesh_payloads(spark, d):
-    """Binary meshes of all regions: vertices and indices as their header says, and their length."""
+def _meshes(spark, d):
+    """territory, payload of all regions."""
     built = mesh.build(_parts_of(fx.rings(spark, d)))
     both = built.groupBy("territory").agg(F.array_sort(F.collect_list(F.struct("part", F.flatten("rings").alias("v"), "triangles"))).alias("s"))
     # each part's indices go up by the vertices of the parts before it
     ends = F.transform("s", lambda x, i: F.aggregate(F.slice("s", 1, i), F.lit(0), lambda acc, y: acc + F.size(y["v"])))
     shifted = F.flatten(F.zip_with("s", ends, lambda x, e: F.transform(x["triangles"], lambda i: (i + e).cast("long"))))
-    whole = both.select("territory", F.flatten("s.v").alias("vertices"), shifted.alias("indices"))
-    p = meshes.encode_meshes(whole)
+    return meshes.encode_meshes(both.select("territory", F.flatten("s.v").alias("vertices"), shifted.alias("indices")))
+
+
+@query(f"WITH {fx.TERRITORIES_SQL}, {fx.RINGS_SQL}, a AS (SELECT territory, sum(4 * k) AS v, sum(3 * (4 * k + 2 * (k - 1) - 2)) AS i FROM (SELECT territory, part, count(*) AS k FROM rects GROUP BY territory, part) GROUP BY territory) SELECT territory, CAST(v AS BIGINT) AS vertices, CAST(i AS BIGINT) AS indices, CAST(32 + 8 * v + 2 * i AS BIGINT) AS payload_bytes FROM a")
+def mesh_payloads(spark, d):
+    """Binary meshes of all regions: vertices and indices as their header says, and their length."""
+    p = _meshes(spark, d)
     little = lambda at: sum((F.conv(F.hex(F.substring("payload", at + k, 1)), 16, 10).cast("long") * (256**k) for k in range(4)), F.lit(0).cast("long"))
     return p.select("territory", little(9).alias("vertices"), little(13).alias("indices"), F.octet_length("payload").cast("long").alias("payload_bytes"))
 
@@ -801,14 +805,15 @@ def triangulation_losses(spark, d):
 
 
 @query(
-    f"""WITH {_EVENTS_SQL} SELECT territory, seq % 97 AS lot, stage, kind, CAST(sum(n) AS BIGINT) AS count, CAST(sum(area) AS BIGINT) AS area, md5(string_agg(detail, ',' ORDER BY seq, detail)) AS details_md5
- FROM ev JOIN (SELECT * FROM (VALUES ('skipped_part'), ('skipped_ring'), ('degenerate_triangle'), ('part_merge'), ('part_split'), ('artifact_hole_removed'), ('hole_merge'), ('hole_split'), ('boundary_retreat'), ('boundary_advance')) t(kind)) USING (kind) WHERE n > 0 OR area > 0 GROUP BY ALL"""
+    f"""WITH {_EVENTS_SQL}, d AS (SELECT *, CASE WHEN kind IN ({", ".join(f"'{k[0]}'" for k in ledger.KINDS if k[3])}) THEN [detail FOR i IN range(0, n)] ELSE [detail] END AS ds FROM ev WHERE n > 0 OR area > 0)
+ SELECT territory, seq % 97 AS lot, stage, kind, CAST(sum(n) AS BIGINT) AS count, CAST(sum(area) AS BIGINT) AS area, md5(array_to_string(flatten(list(ds ORDER BY seq, detail)), ',')) AS details_md5 FROM d GROUP BY ALL"""
 )
 def ledger_round_trip(spark, d):
-    """Stored ledgers of lots of events, parsed again; kinds that need a detail for each of their count are refused here and not among the rows."""
-    e = fx.ledger_events(spark, d).withColumn("lot", F.col("seq") % 97)
+    """Stored ledgers of lots of events of all kinds, parsed again; kinds that need a detail for each of their count have them."""
     needs = [k[0] for k in ledger.KINDS if k[3]]
-    events, _ = ledger.parsed(ledger.serialised(e.where(~F.col("kind").isin(*needs)), "territory", "lot"), "territory", "lot")
+    each = F.when(F.col("kind").isin(*needs), F.flatten(F.array_repeat("details", F.col("count").cast("int")))).otherwise(F.col("details"))
+    e = fx.ledger_events(spark, d).withColumn("lot", F.col("seq") % 97).withColumn("details", each)
+    events, _ = ledger.parsed(ledger.serialised(e, "territory", "lot"), "territory", "lot")
     return events.select("territory", "lot", "stage", "kind", "count", F.col("area").cast("long").alias("area"), F.md5(F.array_join("details", ",").cast("binary")).alias("details_md5"))
 
 
@@ -871,4 +876,5 @@ def newest_writes(spark, d):
     return viewport.newest_generation(e).select("session", "generation", "event_id")
 
 
-from . import geometry as _geometry  # noqa: E402, F401  its queries register themselves
+from . import geometry as _geometry  # noqa: E402, F401  these register their queries
+from . import service_queries as _service  # noqa: E402, F401
