@@ -159,7 +159,7 @@ def _near(text: str, spans: list[tuple[str, int, int]], context: int):
         first, last = bisect.bisect_right(ends, span[1]), bisect.bisect_left(starts, span[2])
         for a, z in words[max(0, first - context) : first] + words[last : last + context]:
             term = _term(text[a:z])
-            if len(term) >= 3 and not taken(a, z):
+            if term and not taken(a, z):
                 yield span, term, a, z
 
 
@@ -267,7 +267,7 @@ def _mark(told, context: int, removal: float):
                             best[a, z] = max(p, best.get((a, z), 0.0))
                 found = [(TERM, a, z, act(p)) for (a, z), p in best.items()] + [(SECRET, a, z, "remove") for _, a, z in secrets]
                 spans.append([{"kind": k, "start": s, "stop": e} for k, s, e in base])
-                terms.append([{"kind": k, "start": s, "stop": e, "action": x} for k, s, e, x in sorted(found, key=lambda f: f[1:])])
+                terms.append([{"kind": k, "start": s, "stop": e, "action": x} for k, s, e, x in sorted(found)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kinds), pa.array(terms, acts)], names=["doc_id", "text", "spans", "terms"])
 
     return run
@@ -312,8 +312,8 @@ def find_personal_data(
 
     spans are the base spans (kind, start, stop; code points, stop exclusive),
     by kind as in KINDS, then start; terms the added ones (kind: 'term' or
-    'secret'; start, stop, action: 'remove' or 'generalise'), by start. Added
-    spans touch no base span. Null and empty texts have none; texts may be of any
+    'secret'; start, stop, action: 'remove' or 'generalise'), by kind, then start.
+    Added spans touch no base span. Terms may have any length. Null and empty texts have none; texts may be of any
     length. Copies count as documents, equal rows are treated alike, a null
     doc_id stays. Extra columns don't matter. An empty table gives no rows.
     """

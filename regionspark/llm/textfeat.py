@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -22,6 +23,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir d
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown clowns imbecile fool jerk bastard hate ugly vermin filth degenerate".split()
 )
+#: Bytes of the words that a worker remembers, which starts anew when full; longer words than 256 characters are not remembered.
+MEMORY_BYTES = 48 << 20
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&~_-+=/\\"
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _UPPER = bytes(range(65, 91))
@@ -98,6 +101,7 @@ class ToxicLexicon:
     def __init__(self, learned: frozenset[str]):
         self.learned = learned
         self.memory: dict[str, int] = {}
+        self.held = 0
 
     def kind(self, token: str) -> int:
         """Bits: 1 insult, 2 learned, 4 second person, 8 an insult behind other letters."""
@@ -106,9 +110,12 @@ class ToxicLexicon:
             w = bare(token)
             plain = w.translate(_LEET).replace(".", "").replace("-", "").replace("*", "").replace("_", "")
             got = (w in INSULTS) | 2 * any(k in self.learned for k in lexicon_keys(w)) | 4 * (w in SECOND_PERSON) | 8 * (plain != w and plain in INSULTS)
-            if len(self.memory) > 300_000:
-                self.memory = {}
-            self.memory[token] = got
+            if self.held > MEMORY_BYTES:
+                self.memory, self.held = {}, 0
+            if len(token) <= 256:
+                # the entry takes some 120 bytes besides its text
+                self.memory[token] = got
+                self.held += sys.getsizeof(token) + 120
         return got
 
     def features(self, text: str) -> list[float]:

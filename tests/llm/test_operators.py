@@ -93,7 +93,7 @@ def test_windows_have_equal_names_if_and_only_if_equal_words():
 
 
 def test_wide_names(docs):
-    plan = recompression.Plan(1 << 50, 13, 2)
+    plan = recompression.Plan(1 << 50, 1 << 52, 13, 2)
     assert plan.wide
     _, _, name, low = plan.names([b"a b c d e f g h i j k l m n"])
     blob = recompression._pack(np.array([5, 9]), name, low, plan)
