@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-_MARKERS = "_committed"
+#: Where the markers lie, beside the tables.
+_MARKERS = "committed-generations"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -36,8 +37,14 @@ def commit(spark: SparkSession, root: str, generation: int, tables: dict[str, Da
         return False
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/generation={generation:020d}")
+    # written aside and renamed: a marker is there whole or not at all
     fs, at = _file_system(spark, marker)
-    fs.create(at, False).close()
+    aside = at.suffix(".tmp")
+    out = fs.create(aside, True)
+    out.write(1)
+    out.close()
+    if not fs.rename(aside, at):
+        raise OSError(f"generation {generation} could not be marked")
     return True
 
 
@@ -60,7 +67,7 @@ def committed(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     with_generation = spark.createDataFrame([], schema).withColumn("generation", F.lit(None).cast("string"))
     if not _exists(spark, f"{root}/{_MARKERS}") or not _exists(spark, f"{root}/{name}"):
         return with_generation
-    marks = spark.read.format("binaryFile").load(f"{root}/{_MARKERS}").select(F.regexp_extract("path", "([0-9]+)$", 1).alias("generation"))
+    marks = spark.read.format("binaryFile").load(f"{root}/{_MARKERS}").select(F.regexp_extract("path", "([0-9]+)$", 1).alias("generation")).where("generation <> ''")
     rows = spark.read.option("basePath", f"{root}/{name}").schema(with_generation.schema).parquet(f"{root}/{name}")
     # one short name a generation
     return rows.join(marks, "generation", "left_semi").select(*with_generation.columns)
