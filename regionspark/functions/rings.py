@@ -91,8 +91,6 @@ def triangle_cross(ax, ay, bx, by, cx, cy) -> Column:
 
 
 def in_triangle(px, py, ax, ay, bx, by, cx, cy) -> Column:
-    """Inside or on an edge, for either winding."""
-    d1, d2, d3 = triangle_cross(px, py, ax, ay, bx, by), triangle_cross(px, py, bx, by, cx, cy), triangle_cross(px, py, cx, cy, ax, ay)
-    some_negative = (d1 < 0) | (d2 < 0) | (d3 < 0)
-    some_positive = (d1 > 0) | (d2 > 0) | (d3 > 0)
-    return ~(some_negative & some_positive)
+    """Inside or on an edge, for either winding: the point sees all three sides turn one way, or none."""
+    turns = [triangle_cross(px, py, *side) for side in ((ax, ay, bx, by), (bx, by, cx, cy), (cx, cy, ax, ay))]
+    return (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)

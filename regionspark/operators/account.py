@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .._store import stored
+from .grid import box_join, cell_size
+
 #: A part corresponds if an overlap has this share of the smaller of both; less cover than this share means it is gone.
 CORRESPONDENCE = 0.1
 SEVERE = 0.5
@@ -15,15 +18,15 @@ MAX_PART_AREA, MAX_TOTAL_AREA = 10_000.0, 50_000.0
 def box_overlaps(source: DataFrame, output: DataFrame) -> DataFrame:
     """territory, i, j, area > 0 of rectangular parts (territory, part, x0, y0, x1, y1) that overlap.
 
-    Parts meet on their territory, which bounds the pairs by its parts; general
-    polygons get their overlaps from triangles instead.
+    Parts meet by territory and grid cell, so a territory of many parts does not
+    compare all with all; general polygons get their overlaps from triangles
+    instead.
     """
-    s = source.select("territory", F.col("part").alias("i"), *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
-    o = output.select("territory", F.col("part").alias("j"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
-    w = F.least("s_x1", "o_x1") - F.greatest("s_x0", "o_x0")
-    h = F.least("s_y1", "o_y1") - F.greatest("s_y0", "o_y0")
-    near = s.join(o, "territory").where((w > 0) & (h > 0))
-    return near.select("territory", "i", "j", (w * h).alias("area"))
+    box = lambda df: df.select("territory", "part", F.col("x0").alias("min_x"), F.col("y0").alias("min_y"), F.col("x1").alias("max_x"), F.col("y1").alias("max_y"))
+    near = box_join(box(source), box(output), 2 * cell_size(box(source)), ("territory",))
+    w = F.least("l_max_x", "r_max_x") - F.greatest("l_min_x", "r_min_x")
+    h = F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
+    return near.where((w > 0) & (h > 0)).select("territory", F.col("l_part").alias("i"), F.col("r_part").alias("j"), (w * h).alias("area"))
 
 
 def part_accounts(source: DataFrame, output: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +35,8 @@ def part_accounts(source: DataFrame, output: DataFrame, overlaps: DataFrame) ->
     source, output: territory, part, area. Edges of gone parts are cut before
     degrees are counted.
     """
+    # three aggregations and a join read them
+    overlaps = stored(overlaps, "overlaps")
     src = source.select("territory", F.col("part").alias("i"), F.col("area").alias("sa"))
     out = output.select("territory", F.col("part").alias("j"), F.col("area").alias("oa"))
     by_i = overlaps.groupBy("territory", "i").agg(F.sum("area").alias("covered"))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, cell: float, prefix: str, by: tuple[str, ...] = ()) -> DataFrame:
     c = lambda name: F.floor(F.col(name) / cell)
-    out = df.select(*[F.col(n).alias(f"{prefix}{n}") for n in df.columns], c("min_x").alias("x0"), c("max_x").alias("x1"), c("min_y").alias("y0"), c("max_y").alias("y1"))
+    out = df.select(*[F.col(n).alias(n if n in by else f"{prefix}{n}") for n in df.columns], c("min_x").alias("x0"), c("max_x").alias("x1"), c("min_y").alias("y0"), c("max_y").alias("y1"))
     out = out.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
     return out.drop("x0", "x1", "y0", "y1")
 
@@ -24,12 +24,12 @@ def cell_size(boxes: DataFrame) -> float:
     return float(side) if side else 1.0
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs whose closed boxes meet: columns l_* and r_*. Equal to the theta join on min/max."""
-    a, b = _cells(left, cell, "l_"), _cells(right, cell, "r_")
+def box_join(left: DataFrame, right: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with equal `by` columns whose closed boxes meet: columns of `by`, l_* and r_*. Equal to the theta join on min/max."""
+    a, b = _cells(left, cell, "l_", by), _cells(right, cell, "r_", by)
     meet = (F.col("l_min_x") <= F.col("r_max_x")) & (F.col("l_max_x") >= F.col("r_min_x")) & (F.col("l_min_y") <= F.col("r_max_y")) & (F.col("l_max_y") >= F.col("r_min_y"))
     here = (F.floor(F.greatest("l_min_x", "r_min_x") / cell) == F.col("cx")) & (F.floor(F.greatest("l_min_y", "r_min_y") / cell) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).where(meet & here).drop("cx", "cy")
+    return a.join(b, [*by, "cx", "cy"]).where(meet & here).drop("cx", "cy")
 
 
 def point_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:

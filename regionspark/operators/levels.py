@@ -115,7 +115,8 @@ def simplify_levels(rings: DataFrame, tolerances: dict[str, float] = TOLERANCES,
     output, holes, dropped = resolve_holes(stored(made.select(whole, "part", "ring", "points"), "level-output"), source)
     output = stored(output, "level-rings")
     src, out = stored(_parts(source), "source-parts"), stored(_parts(output), "output-parts")
-    shared = stored(surface_overlaps(src.drop("area"), out.drop("area")), "part-overlaps")
+    shared = surface_overlaps(src.drop("area"), out.drop("area"))
+    shared = stored(shared, "part-overlaps")
     dropped = stored(dropped, "dropped-holes")
     fill = stored(surface_overlaps(dropped.select("territory", F.col("hole").alias("part"), F.array("points").alias("rings")), out.drop("area")), "hole-fill")
     moved = account.account_events(src.select("territory", "part", "area"), out.select("territory", "part", "area"), shared, fill.groupBy("territory", "j").agg(F.sum("area").alias("filled")))

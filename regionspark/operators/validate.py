@@ -14,7 +14,7 @@ LOW_VERTEX_BUDGET = 0.25
 MAX_DROPPED_PART_AREA, MAX_TOTAL_DROPPED_AREA = 10_000.0, 50_000.0
 MAX_NORMALIZATION_DROPS = 20
 RETAINED_TOLERANCE = 1e-9
-#: Fields that a report and the build's manifest both state.
+#: Fields that a report and the build's manifest both state (fixed values).
 COMPARED = ("territoryCount", "vertices", "triangles", "bytes", "partCount", "holeCount", "lossy", "topologyChanged", "pickingUnsafe")
 
 
