@@ -180,7 +180,8 @@ def nearest(
     own id; rows that share an id count as one, at the least of their
     distances. Ties go to the smaller vec_id. Rows without an id, and vectors
     that are null, zero or hold a null or non-finite component, take no part;
-    vectors of different lengths never meet. An empty table gives no rows.
+    vectors of different lengths never meet. Extra columns, whatever their
+    names, don't matter; an empty table gives no rows.
     """
     index = materialize(build_index(vectors, id_col, vector, tables, seed), "ann-index")
     placed = index.select("vec_id", "dim", "vec", F.posexplode("codes").alias("tbl", "bucket"))

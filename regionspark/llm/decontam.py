@@ -166,7 +166,9 @@ def decontaminate(
 
     A row goes by its own text, so rows without a doc_id, and others with the
     same doc_id, are judged for themselves. Null and empty texts stay. Items
-    without an id are ignored. With an empty benchmark all rows stay.
+    without an id are ignored. With an empty benchmark all rows stay. Texts may
+    be of any length; extra columns, whatever their names, don't matter; an
+    empty table stays empty.
     """
     rows = _stamped(pick(docs, "doc_id", text), text)
     bad = _repeats(rows, benchmark, item_text, shingle, similarity, radius).select(F.col("doc_id").alias("__bad"), F.col("stamp").alias("__stamp")).distinct()

@@ -130,7 +130,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, weights=
 
     Which rows are taken, and how often, is as in mix_positions: texts without
     words never, null sources as one source, nulls in doc_id like others. Equal
-    rows each have passes of their own. An empty table gives no rows.
+    rows each have passes of their own. Texts may be of any length; extra
+    columns, whatever their names, don't matter; an empty table gives no rows.
     """
     laid = _laid_out(docs, text, seed, weights, max_epochs, schedules, whole=True)
     passes = laid.select("__row", "doc_id", "__u", F.posexplode("positions").alias("__epoch", "__position"))

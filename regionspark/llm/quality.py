@@ -200,8 +200,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
     """The documents that score `threshold` at least, with all their columns and as often as they are there.
 
     Rows score as in score_quality, each by its own text in the pass that keeps
-    it, so nulls and repeats in doc_id don't matter. Without a trusted positive
-    all rows stay.
+    it, so nulls and repeats in doc_id don't matter; null and empty texts are
+    scored, too. Without a trusted positive all rows stay. Texts may be of any
+    length; extra columns, whatever their names, don't matter; an empty table
+    stays empty.
     """
     net, _ = fit(docs, labels, text)
 

@@ -582,7 +582,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = SHING
     Different texts with one doc_id are judged for themselves, and if one class
     holds several of its least doc_id that with the least hash of its text
     stays; of rows with the same text and doc_id one stays. Rows without a
-    doc_id take part, after all others.
+    doc_id take part, after all others. Texts without words, null ones too, are
+    one class; texts may be of any length; extra columns, whatever their names,
+    don't matter; an empty table stays empty.
     """
     nodes = materialize(_near_nodes(docs, text, width, similarity, bits, seed), "near-nodes")
     stays = nodes.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp")).alias("at"))
