@@ -125,8 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mixing_targets": mixing_targets,
 }
 
-#: CRC-32 of the decimal conv_id: over its characters, then eight steps a character.
-_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))),
+#: CRC-32 of a decimal id: over its characters, then eight steps a character.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))),
 lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS UBIGINT) FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS UBIGINT))"""
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -157,6 +157,25 @@ sh AS (SELECT doc_id, item_id, n, k, s, CAST(sum(least(c, times)) AS BIGINT) AS
 sim AS (SELECT *, k + n - 4 - n_shared AS n_all, n_shared / (k + n - 4 - n_shared) AS similarity FROM sh),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM sim)
 SELECT doc_id, item_id, n_shared, n_all, similarity, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words FROM best WHERE r = 1 AND similarity >= CAST(0.8 AS DOUBLE)""",
+    # periods of which three neighbouring grid points match, then all their places, in stretches
+    "op11_periodic_runs": f"""
+WITH t AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS ws, CAST({_CRC32.format('doc_id')} AS BIGINT) AS h FROM documents),
+m AS (SELECT *, CAST(len(ws) AS BIGINT) AS n, h // 10 AS g FROM t),
+k AS (SELECT *, h % 10 = 0 AND n > 0 AS chosen, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM m),
+w AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN chosen AND i >= a THEN ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE ws[i + 1] END AS x
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM k)),
+per AS (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS p FROM k),
+probe AS (SELECT per.doc_id, p, j FROM (SELECT *, unnest(range(0, (n - 1) // p)) AS j FROM per) AS per JOIN w AS a ON a.doc_id = per.doc_id AND a.i = per.j * p JOIN w AS b ON b.doc_id = per.doc_id AND b.i = (per.j + 1) * p WHERE a.x = b.x),
+hit AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, p, j - lag(j, 2) OVER (PARTITION BY doc_id, p ORDER BY j) AS d FROM probe) WHERE d = 2),
+same AS (SELECT a.doc_id, p, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, p ORDER BY a.i) AS island FROM hit JOIN w AS a ON a.doc_id = hit.doc_id JOIN w AS b ON b.doc_id = a.doc_id AND b.i = a.i + p WHERE a.x = b.x),
+long AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM same GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+run AS MATERIALIZED (SELECT doc_id, s, l, min(p) AS p FROM long GROUP BY doc_id, s, l),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DOUBLE) / p DESC, s, p) AS r FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM run),
+kept AS (SELECT w.doc_id, string_agg(x, ' ' ORDER BY w.i) AS c FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i WHERE gone.i IS NULL GROUP BY w.doc_id),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS rs FROM run GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, best.p AS period, 1000 * l // best.p AS exponent_milli, sha256(coalesce(rs, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN best ON best.doc_id = t.doc_id AND r = 1 LEFT JOIN kept ON kept.doc_id = t.doc_id""",
     "op12_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -170,7 +189,7 @@ FROM e GROUP BY conv_id""",
     "op13_prefix_trie": f"""
 WITH t AS (SELECT conv_id, list(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST, role) AS ks,
   list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST, role) AS ls FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-c AS (SELECT *, CAST({_CRC32} % 6 AS INTEGER) AS h FROM t),
+c AS (SELECT *, CAST({_CRC32.format('conv_id')} % 6 AS INTEGER) AS h FROM t),
 rb AS (SELECT c.conv_id, list_concat(coalesce(b.ks[1:h], []), c.ks[h + 1:]) AS ks, list_concat(coalesce(b.ls[1:h], []), c.ls[h + 1:]) AS ls FROM c LEFT JOIN t AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
 pre AS (SELECT conv_id, ks, ls, unnest(range(0, len(ks) + 1)) AS d FROM rb),
 node AS (SELECT array_to_string(ks[1:d], ',') AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(ks) AS ks, coalesce(any_value(ls[d]), 0) AS chars,

@@ -271,7 +271,7 @@ def test_multikey_quicksort_alone():
         assert nodes[0][5] == sum(not any(p[:-1] == s for p in prefixes) for s in prefixes)
 
 
-@pytest.mark.parametrize("name", ["op12_chat_format", "op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_chat_format", "op13_prefix_trie"])
 def test_same_as_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, f"{DATA}/sf0.001").toPandas()
     want = duck.execute(queries.ORACLE_SQL[name]).df()
