@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from regionspark.llm import ann, components, decontam, mixing, pii, quality, queries, recompression, simhash, tokenbin, toxicity, viterbi
 from regionspark.llm._common import pick, table
@@ -803,3 +804,13 @@ def test_pipeline_stages(spark):
     assert times == Counter(want) and mixed.columns == docs.columns
     out = cp.run(spark, d).collect()
     assert len(out) > 0 and len({(r.doc_id, r.start) for r in out}) == len(out)
+
+
+def test_short_items_at_the_least_similarity_are_all_found(spark):
+    """Items of nine words, documents with the first eight of them: four of five shingles."""
+    n = 20_000
+    said = lambda words: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: F.concat(F.lit("w"), F.hex(F.xxhash64("id", k)))), " ")
+    items = spark.range(n).select(F.col("id").alias("item_id"), said(9).alias("text"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), said(8).alias("text"))
+    found = decontam.contaminated(docs, items)
+    assert found.where("doc_id = item_id").count() == found.count() == n
