@@ -304,8 +304,12 @@ def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
 
 
 #: The exact search: of the documents one in so many is looked at for common shingles, the most of these that are kept,
-#: and the documents that compare a common shingle in one block. They set the order of work, never which pairs are found.
-LOOK, COMMON, BLOCK = 32, 200_000, 4000
+#: how many documents make a shingle hot, the rows of a group that are compared with each other, and the rows of a
+#: bucket's largest class in one part. They set the order of work, never which pairs are found.
+LOOK, COMMON, HOT, SMALL, PART = 32, 200_000, 1000, 16, 4000
+
+#: Min-hashes in a band, and the chance at most that a pair at the least similarity shares no band.
+BAND, MISS = 6, 1e-12
 
 
 def _common_shingles(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -370,13 +374,13 @@ def _bounds(h: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(h)))
 
 
-def _may_match(i, j, side, cls, n, at, similarity: float) -> np.ndarray:
+def _may_match(i, j, cls, n, at, similarity: float) -> np.ndarray:
     """Pairs of unlike classes that can be similar, if this is the first shingle they share.
 
     The shingles from this one on must be enough in either set; sizes that are too unlike fail that too.
     """
     left = np.minimum(n[i] - at[i], n[j] - at[j])
-    return (cls[i] != cls[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (left * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
+    return (cls[i] != cls[j]) & (left * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6)
 
 
 def _pairs(rep: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -388,57 +392,120 @@ def _pairs(rep: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> np.ndar
 
 
 #: What the documents of one shingle give: the pairs of a small group, or the rows of a crowd.
-MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("rep", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle and part -> pairs that can be similar from small groups, and the rows of crowds of unlike classes as they are."""
+    """Rows sorted by shingle and heat -> pairs that can be similar from small groups, and the rows of crowds of unlike classes, hot ones too, as they are."""
 
     def made(count, /, **cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(count, f.type) for f in MET], schema=MET)
 
-    for h, part, side, rep, cls, n, at in _groups(batches):
-        start, size = _bounds(h, part)
+    for h, hot, rep, cls, n, at in _groups(batches):
+        start, size = _bounds(h, hot)
         mixed = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
         out = []
         end = np.repeat(start + size, size)
-        rows = np.flatnonzero(np.repeat(mixed & (size <= 16), size))
-        for d in range(1, 16):
+        rows = np.flatnonzero(np.repeat(mixed & (size <= SMALL), size) & (hot == 0))
+        for d in range(1, SMALL):
             rows = rows[rows + d < end[rows]]
             if not len(rows):
                 break
-            ok = _may_match(rows, rows + d, side, cls, n, at, similarity)
+            ok = _may_match(rows, rows + d, cls, n, at, similarity)
             out.append((rows[ok], rows[ok] + d))
         both = _pairs(rep, out)
         yield made(len(both), u=both[:, 0], v=both[:, 1])
-        k = np.flatnonzero(np.repeat(mixed & (size > 16), size))
-        yield made(len(k), h=h[k], part=part[k], side=side[k], rep=rep[k], cls=cls[k], n=n[k], at=at[k])
-
-
-def _meet_crowds(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows of crowds with their parities, sorted by shingle and part -> pairs of unlike classes that sizes, places and parities allow."""
-    for h, part, side, rep, cls, n, at, parity in _groups(batches):
-        out = []
-        for s, m in zip(*_bounds(h, part)):
-            # each that is not of the largest class against all
-            _, where, many = np.unique(cls[s : s + m], return_inverse=True, return_counts=True)
-            for i in s + np.flatnonzero(where != np.argmax(many)):
-                j = s + np.flatnonzero(_may_match(i, np.arange(s, s + m), side, cls, n, at, similarity))
-                apart = np.bitwise_count((parity[j] ^ parity[i]).view(np.uint64)).sum(axis=1)
-                j = j[apart * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6]
-                out.append((np.full(len(j), i), j))
-        both = _pairs(rep, out)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
-
-
-def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """made (doc_id, stamp, same, head), reps (same, doc_id, stamp, n, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components, and apart.
-
-    All that are similar are there, and some more; they differ in `apart` shingles at least.
+        k = np.flatnonzero(np.repeat(mixed & (size > SMALL), size) | (hot == 1))
+        yield made(len(k), rep=rep[k], cls=cls[k], n=n[k], at=at[k])
+
+
+def _bands(h: np.ndarray, similarity: float, seed: int) -> np.ndarray:
+    """A set's bands of min-hashes: so many that a pair at the least similarity shares none with chance MISS at most."""
+    count = max(1, math.ceil(math.log(MISS) / math.log1p(-min(similarity**BAND, 1 - 1e-9))))
+    rng = np.random.default_rng(seed)
+    flip, times = rng.integers(0, 1 << 64, (2, count * BAND), np.uint64)
+    least = np.full(count * BAND, ~np.uint64(0))
+    for x in range(0, len(h), 1024):
+        mixed = (h[x : x + 1024, None] ^ flip) * (times | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, mixed.min(axis=0))
+    key = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND):
+        key = (key ^ least[k::BAND]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _meet_buckets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by band and part -> pairs of unlike classes that sizes and places allow.
+
+    Each row that is not of the bucket's largest class looks up the sizes that
+    it can be similar to; the largest class is never compared with itself.
+    `left` is how many shingles are not before the first that a crowd shares.
+    """
+    for key, part, lead, rep, cls, n, left in _groups(batches):
+        start, size = _bounds(key, part)
+        of = np.repeat(np.arange(len(start)), size)
+        order = np.lexsort((n, of))
+        part, lead, rep, cls, n, left = (c[order] for c in (part, lead, rep, cls, n, left))
+        n = n.astype(np.int64)
+        most = np.floor(left * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)  # the largest set that each can be similar to
+        place = (of << 32) + n
+        x = np.flatnonzero(lead == 0)
+        lo = np.searchsorted(place, (of[x] << 32) + np.ceil(similarity * n[x] - 1e-6).astype(np.int64), "left")
+        hi = np.searchsorted(place, (of[x] << 32) + np.clip(most[x], 0, np.floor(n[x] / similarity + 1e-6).astype(np.int64)), "right")
+        many = np.maximum(hi - lo, 0)
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(x):
+            # about a million comparisons at a time
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
+            i = np.repeat(x[at:to], many[at:to])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + np.repeat(lo[at:to], many[at:to])
+            # two that are both not of the largest class meet in the first part only
+            ok = (cls[i] != cls[j]) & (n[i] <= most[j]) & ((lead[j] == 1) | (part[i] == 0))
+            both = _pairs(rep, [(i[ok], j[ok])])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+            at = to
+
+
+def _crowd_pairs(crowd: DataFrame, rows: DataFrame, reps: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """crowd (rep, cls, n, left) -> pairs (u, v) of unlike classes whose sets share a band of min-hashes.
+
+    A bucket's largest class is dealt over parts; the rows of others go to each
+    of these, so no task gets a whole hot bucket.
+    """
+    spark = rows.sparkSession
 
-    A common shingle's documents are compared by pairs of blocks. Few shingles
-    are held by a crowd of unlike classes; only there parities go along with the
-    rows, so that no more pairs than they allow leave a task.
+    def banded(batches):
+        for b in (whole.slice(x, 512) for whole in batches for x in range(0, whole.num_rows, 512)):
+            found = [_bands(_sketched(t.as_py(), width, seed), similarity, seed) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "keys"])
+
+    need = crowd.select("rep").join(reps.select(F.col("same").alias("rep"), F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")), "rep")
+    need = bounded(materialize(need, "near-crowd-texts"))
+    texts = rows.join(need, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("rep", "text").dropDuplicates(["rep"])
+    bands = texts.mapInArrow(tidy(banded), "rep long, keys array<long>").join(crowd, "rep")
+    keyed = materialize(bands.select(F.explode("keys").alias("key"), "rep", "cls", "n", "left"), "near-bands")
+    classes = keyed.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("c"))
+    mixed = classes.groupBy("key").agg(F.max_by("cls", F.struct("c", "cls")).alias("most"), F.max("c").alias("c"), F.count(F.lit(1)).alias("unlike")).where("unlike > 1")
+    parts = F.ceil(F.col("c") / PART).cast("int")
+    leads = F.col("cls") == F.col("most")
+    dealt = F.when(leads, F.array(F.pmod(F.xxhash64("rep"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+    placed = keyed.join(mixed.select("key", "most", "c"), "key").select("key", F.explode(dealt).alias("part"), leads.cast("int").alias("lead"), "rep", "cls", "n", "left")
+    grouped = placed.repartition(shuffle_partitions(spark), "key", "part").sortWithinPartitions("key", "part")
+    return grouped.mapInArrow(tidy(lambda it: _meet_buckets(it, similarity)), "u long, v long").distinct()
+
+
+def _exact_links(made: DataFrame, rows: DataFrame, reps: DataFrame, parts: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+    """made (doc_id, stamp, same, head), rows (doc_id, stamp, text), reps (same, doc_id, stamp, n, parity), parts (node, component) -> pairs (u, v), u < v, of unlike components, and apart.
+
+    All that are similar are there (but for a chance of MISS each in crowds), and some more; they differ in `apart` shingles at least.
+
+    The documents of a rare shingle are compared with each other. Those of a
+    crowd meet by further evidence: bands of min-hashes of the whole sets, so
+    candidates follow similar pairs and not the size of the crowd.
     """
     spark = reps.sparkSession
 
@@ -451,26 +518,24 @@ def _exact_links(made: DataFrame, reps: DataFrame, parts: DataFrame, similarity:
             h = heads.flatten().to_numpy()
             of = np.repeat(np.arange(len(rep)), size)
             at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            blocks = np.maximum(1, -(-_times(h.view(np.uint64), common) // BLOCK))
-            for g in np.unique(blocks).tolist():
-                k = np.flatnonzero(blocks == g)
-                own = ((rep[of[k]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % g
-                for other in range(g):
-                    part = np.minimum(own, other) * g + np.maximum(own, other)
-                    side = np.where(own == other, 2, own > other)
-                    cols = [h[k], part, side, rep[of[k]], cls[of[k]], n[of[k]], at[k]]
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                    for x in range(0, len(k), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)], t) for c, t in zip(cols, types)], names=["h", "part", "side", "rep", "cls", "n", "at"])
+            hot = _times(h.view(np.uint64), common) >= HOT
+            # of hot shingles the first of a document stands for all, in no group of its shingle
+            first = np.flatnonzero(hot)
+            first = first[np.unique(of[first], return_index=True)[1]]
+            for k, heat in ((np.flatnonzero(~hot), 0), (first, 1)):
+                cols = [rep[of[k]] if heat else h[k], np.full(len(k), heat), rep[of[k]], cls[of[k]], n[of[k]], at[k]]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                for x in range(0, len(k), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)], t) for c, t in zip(cols, types)], names=["h", "hot", "rep", "cls", "n", "at"])
 
     named = reps.join(bounded(parts), F.col("same") == F.col("node"), "left").select(F.col("same").alias("rep"), F.col("doc_id").alias("__d"), F.col("stamp").alias("__s"), F.coalesce("component", "same").alias("cls"))
     placed = made.join(bounded(named), (F.col("same") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("rep", "cls", "n", "head")
-    placed = placed.mapInArrow(tidy(spread), "h long, part int, side int, rep long, cls long, n int, at int")
-    grouped = placed.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
-    met = materialize(grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long, h long, part int, side int, rep long, cls long, n int, at int"), "near-met")
-    crowds = met.where("h is not null").drop("u", "v").join(reps.select(F.col("same").alias("rep"), "parity"), "rep").select("h", "part", "side", "rep", "cls", "n", "at", "parity")
-    crowds = crowds.repartition(shuffle_partitions(spark), "h", "part").sortWithinPartitions("h", "part")
-    pairs = met.where("u is not null").select("u", "v").unionByName(crowds.mapInArrow(tidy(lambda it: _meet_crowds(it, similarity)), "u long, v long")).distinct()
+    placed = placed.mapInArrow(tidy(spread), "h long, hot int, rep long, cls long, n int, at int")
+    grouped = placed.repartition(shuffle_partitions(spark), "h", "hot").sortWithinPartitions("h", "hot")
+    met = materialize(grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long, rep long, cls long, n int, at int"), "near-met")
+    crowd = met.where("rep is not null").groupBy("rep").agg(F.first("cls").alias("cls"), F.first("n").alias("n"), (F.first("n") - F.min("at")).alias("left"))
+    crowd = materialize(crowd, "near-crowd")
+    pairs = met.where("u is not null").select("u", "v").unionByName(_crowd_pairs(crowd, rows, reps, width, similarity, seed)).distinct()
     a = reps.select(F.col("same").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
     b = reps.select(F.col("same").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
@@ -544,7 +609,7 @@ def _near_nodes(docs: DataFrame, text: str, width: int, similarity: float, bits:
 
     held = hold(links, links.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), None)
     # what the pieces and the stars have left apart
-    more = materialize(_exact_links(made, reps, connected_components(held), similarity, common), "near-more")
+    more = materialize(_exact_links(made, rows, reps, connected_components(held), width, similarity, common, seed), "near-more")
     held = hold(more, more.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v"), held)
     parts = connected_components(held)
     return made.join(parts, F.col("same") == F.col("node"), "left").select("doc_id", "stamp", F.coalesce("component", "same").alias("node"))
@@ -562,8 +627,10 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", width: int = SHI
     classes these have made. This joins crowds at little cost, but not all.
     Then an exact search takes every pair of unlike classes that shares one of
     the shingles with which both sets begin, rare ones first (no pair at the
-    least similarity does without), and verifies what sizes, places and parities
-    allow: no pair is missed.
+    least similarity does without). Where a crowd shares that shingle its sets
+    must share a band of min-hashes too, of so many that a similar pair has none
+    in common with chance 1e-12 at most. What sizes, places and parities allow
+    is verified: no pair is missed otherwise.
 
     A-Z are lowered; null texts, and texts without words, are alike; a text with fewer
     words than a shingle is one shingle; texts may be of any length. Rows are
