@@ -10,6 +10,11 @@ RING = f"array<{POINT}>"
 GEOMETRY = f"array<array<{RING}>>"
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def storage(x: Column) -> Column:
     """A coordinate as the mesh stores it: rounded to 32 bits."""
     return x.cast("float").cast("double")
@@ -21,32 +26,32 @@ def quantize(ring: Column) -> Column:
 
 def next_of(ring: Column) -> Column:
     """Each vertex's successor, the first one after the last."""
-    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return once(ring, lambda r: F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, F.lit(1), F.lit(1))))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace; positive if counter-clockwise. A closing vertex adds nothing."""
-    terms = F.zip_with(ring, next_of(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    terms = once(ring, lambda r: F.zip_with(r, next_of(r), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
     return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) / 2
 
 
 def open_ring(ring: Column) -> Column:
     """Without the closing vertex."""
-    closed = (F.size(ring) > 1) & (F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1)))
-    return F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    closed = lambda r: (F.size(r) > 1) & (F.try_element_at(r, F.lit(1)) == F.try_element_at(r, F.lit(-1)))
+    return once(ring, lambda r: F.when(closed(r), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
 def distinct_neighbours(ring: Column) -> Column:
     """Without vertices that equal their successor."""
-    return F.filter(F.zip_with(ring, next_of(ring), lambda a, b: F.struct(a.alias("p"), (a == b).alias("same"))), lambda z: ~z["same"])
+    return F.filter(once(ring, lambda r: F.zip_with(r, next_of(r), lambda a, b: F.struct(a.alias("p"), (a == b).alias("same")))), lambda z: ~z["same"])
 
 
 def prepare_ring(ring: Column, counter_clockwise: bool) -> Column:
     """Open, quantised, without repeats, wound as asked; null if fewer than 3 vertices or no area is left."""
     clean = F.transform(distinct_neighbours(quantize(open_ring(ring))), lambda z: z["p"])
-    area = signed_area(clean)
-    wound = F.when((area > 0) == F.lit(counter_clockwise), clean).otherwise(F.reverse(clean))
-    return F.when((F.size(clean) >= 3) & (area != 0), wound)
+    wound = lambda c: F.when((c["area"] > 0) == F.lit(counter_clockwise), c["ring"]).otherwise(F.reverse(c["ring"]))
+    sized = once(clean, lambda r: F.struct(r.alias("ring"), signed_area(r).alias("area")))
+    return once(sized, lambda c: F.when((F.size(c["ring"]) >= 3) & (c["area"] != 0), wound(c)))
 
 
 def part_count(geometry: Column) -> Column:
@@ -65,7 +70,7 @@ def vertex_count(geometry: Column) -> Column:
 def polygon_area(part: Column) -> Column:
     """Exterior minus holes, whatever their winding."""
     areas = F.transform(part, lambda ring: F.abs(signed_area(ring)))
-    return F.element_at(areas, 1) - F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.lit(0.0), lambda a, b: a + b)
+    return once(areas, lambda s: F.element_at(s, F.lit(1)) - F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.lit(0.0), lambda a, b: a + b))
 
 
 def interior_area(geometry: Column) -> Column:

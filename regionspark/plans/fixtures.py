@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._store import spread
 from ..functions import projection as P
 from ..functions import rings as R
 
@@ -73,7 +74,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """territory, geometry in degrees: a box; a hole if its number divides by 3, a second part if by 5."""
-    t = territories(spark, sf_dir).withColumn("key", F.substring("id", 3, 6).cast("int"))
+    t = spread(territories(spark, sf_dir)).withColumn("key", F.substring("id", 3, 6).cast("int"))
     x, y, w, h = (F.col(c) for c in ("lon0", "lat0", "w", "h"))
     outer = R.box_ring(x, y, x + w, y + h)
     hole = F.reverse(R.box_ring(x + w / 4, y + h / 4, x + w / 2, y + h / 2))
