@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .._store import stored
 from ..functions.rings import signed_area
-from .grid import level_join, stab_join
+from .grid import SMALL, level_join, stab_join
 
 #: Degrees, or metres, that make one step of the coordinates.
 QUANTUM = 1e-9
@@ -175,7 +175,7 @@ def below(probes: DataFrame, walls: DataFrame, by: tuple[str, ...]) -> DataFrame
     u = F.col("w_u_low") + (F.col("p_at") - F.col("w_low")) * (F.col("w_u_high") - F.col("w_u_low")) / (F.col("w_high") - F.col("w_low"))
     same = (F.col("w_lx") == F.col("p_lx")) & (F.col("w_ly") == F.col("p_ly")) & (F.col("w_hx") == F.col("p_hx")) & (F.col("w_hy") == F.col("p_hy"))
     hits = met.where(~same & (u < F.col("p_u"))).groupBy(F.col("p_eid").alias("eid"), *by).agg(F.count(F.lit(1)).alias("n"))
-    return probes.select("eid", *by).join(hits, ["eid", *by], "left").select("eid", *by, F.coalesce("n", F.lit(0)).alias("n"))
+    return probes.select("eid", *by).join(hits.hint("merge"), ["eid", *by], "left").select("eid", *by, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def even_odd(noded: DataFrame) -> DataFrame:
@@ -227,13 +227,14 @@ def successors(edges: DataFrame) -> DataFrame:
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = into.unionByName(out)
     follows = F.coalesce(F.lead("eid").over(around), F.first("eid").over(whole))
-    return edges.join(both.withColumn("next", follows).where("comes").select("eid", "next"), "eid")
+    return edges.join(both.withColumn("next", follows).where("comes").select("eid", "next").hint("merge"), "eid")
 
 
 def _chains(linked: DataFrame, cell: float) -> DataFrame:
-    """grp, chain, next, points: edges joined to chains within cells; a closed one is its own next."""
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    rows = linked.select("grp", at("ax").alias("cx"), at("ay").alias("cy"), "eid", "next", "ax", "ay").repartition("grp", "cx", "cy").sortWithinPartitions("grp", "cx", "cy")
+    """grp, chain, next, points: edges joined to chains within cells; a closed one is its own next. A group of few edges is one cell."""
+    few = linked.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SMALL).select("grp", F.lit(True).alias("few"))
+    at = lambda c: F.when(F.col("few"), F.lit(0)).otherwise(F.floor(F.col(c) / F.lit(cell)))
+    rows = linked.join(few.hint("merge"), "grp", "left").select("grp", at("ax").alias("cx"), at("ay").alias("cy"), "eid", "next", "ax", "ay").repartition("grp", "cx", "cy").sortWithinPartitions("grp", "cx", "cy")
     kind = rows.schema["grp"].dataType.simpleString()
 
     def joined(rows: list[tuple]):
