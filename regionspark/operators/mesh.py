@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .._store import expanded, spread, stored
 from . import edges as E
 
 #: Triangles of no more than this area (square metres) carry nothing.
@@ -264,12 +265,14 @@ def build(parts: DataFrame) -> DataFrame:
     loss skipped_part and has no triangles; a hole without area a skipped_ring;
     triangles of no more than MIN_AREA are counted as degenerate_triangle. Null
     and empty rings are skipped parts or rings, too. Rows are parts, so a
-    territory with many parts is spread over tasks.
+    territory with many parts is spread over tasks; equal shapes that meet in a
+    task are cut up once.
     """
     ring_type = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
     loss_type = pa.list_(pa.struct([("kind", pa.string()), ("count", pa.int64()), ("area", pa.float64())]))
 
     def run(batches):
+        known: dict[tuple, tuple] = {}
         for b in batches:
             col = b.column(2)
             flat = col.values.values
@@ -278,7 +281,12 @@ def build(parts: DataFrame) -> DataFrame:
             shapes, triangles, losses = [], [], []
             for k in range(b.num_rows):
                 rings = [xy[inner[r] : inner[r + 1]] for r in range(ends[k], ends[k + 1])]
-                kept, t, lost = _built(rings)
+                shape = tuple(r.tobytes() for r in rings)
+                if shape not in known:
+                    if len(known) >= 1024 or sum(map(len, shape)) > 1 << 16:  # what is kept is a few dozen MB at most
+                        known.clear()
+                    known[shape] = _built(rings)
+                kept, t, lost = known[shape]
                 shapes.append(kept)
                 triangles.append(t.astype(np.int32).ravel())
                 losses.append([{"kind": x, "count": n, "area": a} for x, n, a in lost])
@@ -290,7 +298,7 @@ def build(parts: DataFrame) -> DataFrame:
 
     none = F.array().cast(f"array<{_POINT}>")
     rings = F.coalesce(F.transform("rings", lambda r: F.filter(F.coalesce(r, none), lambda p: p.isNotNull())), F.array().cast(f"array<array<{_POINT}>>"))
-    return parts.select(F.col("territory").cast("string"), F.col("part").cast("int"), rings.alias("rings")).mapInArrow(run, BUILT)
+    return spread(parts.select(F.col("territory").cast("string"), F.col("part").cast("int"), rings.alias("rings"))).mapInArrow(run, BUILT)
 
 
 def triangles(built: DataFrame) -> DataFrame:
@@ -346,61 +354,90 @@ def owning_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     of several; the rule gives it one owner. Boxes meet on grids of their own size.
     """
     from ..functions.rings import in_triangle
-    from .grid import level_join
+    from .grid import aspect, level_join
 
     xs, ys = ("ax", "bx", "cx"), ("ay", "by", "cy")
     boxed = triangles.withColumns({"min_x": F.least(*xs), "max_x": F.greatest(*xs), "min_y": F.least(*ys), "max_y": F.greatest(*ys)})
-    hit = level_join(points, boxed).where(in_triangle(F.col("l_min_x"), F.col("l_min_y"), *[F.col(f"r_{c}{z}") for c in "abc" for z in "xy"]))
+    hit = level_join(points, boxed, aspect=aspect(boxed)).where(in_triangle(F.col("l_min_x"), F.col("l_min_y"), *[F.col(f"r_{c}{z}") for c in "abc" for z in "xy"]))
     return hit.groupBy(*[F.col(f"l_{c}").alias(c) for c in points.columns], F.col("r_territory").alias("territory"), F.col("r_part").alias("part")).agg(F.min("r_tri").alias("tri"))
 
 
-def clip_area(t: np.ndarray, u: np.ndarray) -> float:
-    """The area that two triangles (3, 2) share: one is cut by the half planes of the other."""
-    if _cross(u[0], u[1], u[2]) < 0:
-        u = u[::-1]
-    poly = list(t)
+def clip_areas(t: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The areas that pairs of triangles (n, 3, 2) share: one is cut by the half planes of the other, all pairs at once."""
+    turned = _cross(u[:, 0], u[:, 1], u[:, 2]) < 0
+    u = np.where(turned[:, None, None], u[:, ::-1], u)
+    poly, n = t, np.full(len(t), 3)
     for k in range(3):
-        a, b = u[k], u[(k + 1) % 3]
-        out = []
-        for i in range(len(poly)):
-            p, q = poly[i - 1], poly[i]
-            dp, dq = _cross(a, b, p), _cross(a, b, q)
-            if (dp >= 0) != (dq >= 0):
-                out.append(p + (q - p) * (dp / (dp - dq)))
-            if dq >= 0:
-                out.append(q)
-        poly = out
-        if len(poly) < 3:
-            return 0.0
-    z = np.array(poly)
-    n = np.roll(z, -1, axis=0)
-    return float(abs((z[:, 0] * n[:, 1] - n[:, 0] * z[:, 1]).sum()) / 2)
-
-
-def triangle_overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """l_territory, l_part, r_territory, r_part, area > 0 over two sets of triangles.
+        a, b = u[:, None, k], u[:, None, (k + 1) % 3]
+        m = np.arange(poly.shape[1])
+        held = m < n[:, None]
+        last = np.maximum(n - 1, 0)[:, None]
+        before = np.take_along_axis(poly, np.where(m == 0, last, m - 1)[..., None], axis=1)
+        dp, dq = _cross(a, b, before), _cross(a, b, poly)
+        crosses = held & ((dp >= 0) != (dq >= 0))
+        share = dp / np.where(crosses, dp - dq, 1.0)
+        made = np.stack([before + (poly - before) * share[..., None], poly], axis=2).reshape(len(t), -1, 2)
+        keep = np.stack([crosses, held & (dq >= 0)], axis=2).reshape(len(t), -1)
+        order = np.argsort(~keep, axis=1, kind="stable")
+        n = keep.sum(axis=1)
+        poly = np.take_along_axis(made, order[..., None], axis=1)[:, : max(3, int(n.max(initial=0)))]
+    m = np.arange(poly.shape[1])
+    after = np.take_along_axis(poly, np.where(m + 1 >= n[:, None], 0, m + 1)[..., None], axis=1)
+    terms = poly[..., 0] * after[..., 1] - after[..., 0] * poly[..., 1]
+    return np.where(n >= 3, np.abs(np.where(m < n[:, None], terms, 0.0).sum(axis=1)) / 2, 0.0)
+
+
+def clip_area(t: np.ndarray, u: np.ndarray) -> float:
+    """The area that two triangles (3, 2) share."""
+    return float(clip_areas(t[None], u[None])[0])
+
+
+def triangle_overlaps(left: DataFrame, right: DataFrame, cell: float | None = None, pairs: str = "true") -> DataFrame:
+    """l_territory, l_part, r_territory, r_part, area > 0 over two sets of triangles; of pairs for which the condition `pairs` on these names holds.
 
     Triangles tile their polygons, so the shares of pairs add up to the
-    polygons' overlap. Pairs come from the grid join.
+    polygons' overlap. Pairs come from the grid join with that cell, or else on
+    grids of their own sizes and usual shape.
     """
-    from .grid import box_join
+    from .grid import aspect, box_join, level_join
 
     corners = ["ax", "ay", "bx", "by", "cx", "cy"]
     xs, ys = ("ax", "bx", "cx"), ("ay", "by", "cy")
     boxed = lambda df: df.select("territory", "part", *corners, F.least(*xs).alias("min_x"), F.greatest(*xs).alias("max_x"), F.least(*ys).alias("min_y"), F.greatest(*ys).alias("max_y"))
-    pairs = box_join(boxed(left), boxed(right), cell)
+    a, b = boxed(left), boxed(right)
+    met = box_join(a, b, cell) if cell else level_join(a, b, aspect=aspect(a))
+    met = met.where(pairs)
 
-    areas = pairs.select("l_territory", "l_part", "r_territory", "r_part", *[f"{s}_{c}" for s in "lr" for c in corners]).mapInArrow(_clipped, "l_territory string, l_part int, r_territory string, r_part int, area double")
+    areas = met.select("l_territory", "l_part", "r_territory", "r_part", *[f"{s}_{c}" for s in "lr" for c in corners]).mapInArrow(_clipped, "l_territory string, l_part int, r_territory string, r_part int, area double")
     return areas.groupBy("l_territory", "l_part", "r_territory", "r_part").agg(F.sum("area").alias("area")).where("area > 0")
 
 
+def shapes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(territory, part, class: parts with the same rings have one; territory, part, rings of the classes: a class is the territory)."""
+    named = stored(parts.select(F.col("territory").cast("string"), F.col("part").cast("int"), "rings", F.sha2(F.to_json(F.struct("rings")), 256).alias("class")), "shapes")
+    once = named.groupBy("class").agg(F.first("rings").alias("rings"))
+    return named.drop("rings"), once.select(F.col("class").alias("territory"), F.lit(0).alias("part"), "rings")
+
+
+def part_overlaps(parts: DataFrame) -> DataFrame:
+    """left, left_part, right, right_part, area > 0 that parts (territory, part, rings) of two territories share, left < right.
+
+    Equal shapes are triangulated and overlaid once, and pairs of shapes are then written out by part.
+    """
+    named, once = shapes(parts)
+    t = stored(triangulate(once), "shape-triangles")
+    shared = triangle_overlaps(t, t, pairs="l_territory <= r_territory").select(F.col("l_territory").alias("l_class"), F.col("r_territory").alias("r_class"), "area")
+    met = expanded(shared, named.select("class", F.struct("territory", "part").alias("member")))
+    met = met.where("l.territory <> r.territory AND (l_class <> r_class OR l.territory < r.territory)")
+    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "area").select(F.col("a.territory").alias("left"), F.col("a.part").alias("left_part"), F.col("b.territory").alias("right"), F.col("b.part").alias("right_part"), "area")
+
+
 def _clipped(batches):
     corners = ["ax", "ay", "bx", "by", "cx", "cy"]
     for b in batches:
         t = np.stack([b.column(f"l_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
         u = np.stack([b.column(f"r_{c}").to_numpy() for c in corners], axis=1).reshape(-1, 3, 2)
-        area = np.array([clip_area(x, y) for x, y in zip(t, u)])
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(area, pa.float64())], names=["l_territory", "l_part", "r_territory", "r_part", "area"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(clip_areas(t, u), pa.float64())], names=["l_territory", "l_part", "r_territory", "r_part", "area"])
 
 
 def territory_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -477,7 +514,7 @@ def thin_levels(rings: DataFrame, tolerances: dict[str, float]) -> DataFrame:
     ends = e.select(F.col("ax").alias("x"), F.col("ay").alias("y"), "edge").unionByName(e.select(F.col("bx").alias("x"), F.col("by").alias("y"), "edge")).distinct()
     fixed = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select("x", "y", F.lit(True).alias("fixed"))
     verts = rings.select("territory", "part", "ring", F.posexplode("points").alias("seq", "p")).select("territory", "part", "ring", "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    marked = verts.join(fixed, ["x", "y"], "left").groupBy("territory", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", F.coalesce("fixed", F.lit(False)).alias("fixed")))).alias("v"))
+    marked = verts.join(fixed.hint("merge"), ["x", "y"], "left").groupBy("territory", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", F.coalesce("fixed", F.lit(False)).alias("fixed")))).alias("v"))
 
     def run(batches):
         kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
@@ -492,7 +529,7 @@ def thin_levels(rings: DataFrame, tolerances: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), kind))], names=["lod", "territory", "part", "ring", "points"])
 
     rows = marked.select(F.col("territory").cast("string"), F.col("part").cast("int"), F.col("ring").cast("int"), "v")
-    return rows.mapInArrow(run, "lod string, territory string, part int, ring int, points array<struct<x:double,y:double>>")
+    return spread(rows).mapInArrow(run, "lod string, territory string, part int, ring int, points array<struct<x:double,y:double>>")
 
 
 def simplify(rings: DataFrame, tolerance: float) -> DataFrame:

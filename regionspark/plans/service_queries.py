@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .._store import spread
 from ..functions import projection as P
 from ..functions import requests as Q
 from ..functions import rings as R
@@ -93,7 +94,7 @@ def degenerate_triangles(spark, d):
     c = F.col("c_custkey")
     point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), (y if not isinstance(y, (int, float)) else F.lit(float(y))).alias("y"))
     ring = F.array(point(0, 0), point(4, F.when(c % 4 == 1, -1e-11).otherwise(-1.0)), point(8, 0), point(8, 8), point(0, 8))
-    built = mesh.build(fx.table(spark, d, "customer").select(c.cast("string").alias("territory"), F.lit(0).alias("part"), F.array(ring).alias("rings")))
+    built = mesh.build(spread(fx.table(spark, d, "customer")).select(c.cast("string").alias("territory"), F.lit(0).alias("part"), F.array(ring).alias("rings")))
     kept = built.select("territory", F.floor(F.size("triangles") / 3).alias("triangles"))
     return mesh.triangulation_events(built).join(kept, "territory").select("territory", "kind", "count", "triangles")
 
