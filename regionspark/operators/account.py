@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._store import stored
-from .grid import box_join, cell_size
+from .grid import level_join
 
 #: A part corresponds if an overlap has this share of the smaller of both; less cover than this share means it is gone.
 CORRESPONDENCE = 0.1
@@ -18,12 +18,12 @@ MAX_PART_AREA, MAX_TOTAL_AREA = 10_000.0, 50_000.0
 def box_overlaps(source: DataFrame, output: DataFrame) -> DataFrame:
     """territory, i, j, area > 0 of rectangular parts (territory, part, x0, y0, x1, y1) that overlap.
 
-    Parts meet by territory and grid cell, so a territory of many parts does not
+    Parts meet by territory, in large ones by grid, so a territory of many parts does not
     compare all with all; general polygons get their overlaps from triangles
     instead.
     """
     box = lambda df: df.select("territory", "part", F.col("x0").alias("min_x"), F.col("y0").alias("min_y"), F.col("x1").alias("max_x"), F.col("y1").alias("max_y"))
-    near = box_join(box(source), box(output), 2 * cell_size(box(source)), ("territory",))
+    near = level_join(box(source), box(output), ("territory",))
     w = F.least("l_max_x", "r_max_x") - F.greatest("l_min_x", "r_min_x")
     h = F.least("l_max_y", "r_max_y") - F.greatest("l_min_y", "r_min_y")
     return near.where((w > 0) & (h > 0)).select("territory", F.col("l_part").alias("i"), F.col("r_part").alias("j"), (w * h).alias("area"))
@@ -50,16 +50,18 @@ def part_accounts(source: DataFrame, output: DataFrame, overlaps: DataFrame) ->
     by_j = overlaps.groupBy("territory", "j").agg(F.sum("area").alias("covered"))
     s = s.join(deg_i, ["territory", "i"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     o = out.join(by_j, ["territory", "j"], "left").join(deg_j, ["territory", "j"], "left")
-    return s, o.withColumn("covered", F.coalesce("covered", F.lit(0.0))).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    o = o.withColumn("covered", F.coalesce("covered", F.lit(0.0))).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return stored(s, "source-accounts"), stored(o, "output-accounts")
 
 
-def account_events(source: DataFrame, output: DataFrame, overlaps: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+def account_events(source: DataFrame, output: DataFrame, overlaps: DataFrame, filled: DataFrame | None = None, accounts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """territory, kind, count, area: every difference between source and output parts.
 
     filled (territory, j, filled): ground of dropped holes that output parts
-    cover now; it is accounted for with the holes, not as movement.
+    cover now; it is accounted for with the holes, not as movement. accounts:
+    part_accounts of the same, if they are there already.
     """
-    s, o = part_accounts(source, output, overlaps)
+    s, o = accounts or part_accounts(source, output, overlaps)
     left = F.greatest(F.col("sa") - F.col("covered"), F.lit(0.0))
     lost = F.col("gone") | (F.col("degree") == 0)
     s = s.withColumn("res", left).withColumn("lost", lost)
