@@ -308,6 +308,9 @@ def _piece_links(reps: DataFrame, bits: int) -> DataFrame:
 #: bucket's largest class in one part. They set the order of work, never which pairs are found.
 LOOK, COMMON, HOT, SMALL, PART = 32, 200_000, 1000, 16, 4000
 
+#: Rows of a bucket are compared about so many pairs at a time.
+TOGETHER = 1 << 18
+
 #: Min-hashes in a band, and the chance at most that a pair at the least similarity shares no band.
 BAND, MISS = 6, 1e-12
 
@@ -438,17 +441,19 @@ def _bands(h: np.ndarray, similarity: float, seed: int) -> np.ndarray:
 
 
 def _meet_buckets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by band and part -> pairs of unlike classes that sizes and places allow.
+    """Rows sorted by band and part -> pairs of unlike classes that sizes, places and parities (if there) allow, and the bits `apart`.
 
     Each row that is not of the bucket's largest class looks up the sizes that
     it can be similar to; the largest class is never compared with itself.
     `left` is how many shingles are not before the first that a crowd shares.
+    Only pairs that can be similar leave a task: near copies of one text that
+    are just too unlike share bands, and would make a square of rows.
     """
-    for key, part, lead, rep, cls, n, left in _groups(batches):
+    for key, part, lead, rep, cls, n, left, *parity in _groups(batches):
         start, size = _bounds(key, part)
         of = np.repeat(np.arange(len(start)), size)
         order = np.lexsort((n, of))
-        part, lead, rep, cls, n, left = (c[order] for c in (part, lead, rep, cls, n, left))
+        part, lead, rep, cls, n, left, *parity = (c[order] for c in (part, lead, rep, cls, n, left, *parity))
         n = n.astype(np.int64)
         most = np.floor(left * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)  # the largest set that each can be similar to
         place = (of << 32) + n
@@ -459,22 +464,32 @@ def _meet_buckets(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         upto = np.cumsum(many)
         at = 0
         while at < len(x):
-            # about a million comparisons at a time
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
+            # so many comparisons at a time
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, "right")))
             i = np.repeat(x[at:to], many[at:to])
             j = np.arange(len(i)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + np.repeat(lo[at:to], many[at:to])
-            # two that are both not of the largest class meet in the first part only
-            ok = (cls[i] != cls[j]) & (n[i] <= most[j]) & ((lead[j] == 1) | (part[i] == 0))
-            both = _pairs(rep, [(i[ok], j[ok])])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+            # two that are both not of the largest class meet in the first part only, or in those below it
+            ok = (cls[i] != cls[j]) & (n[i] <= most[j]) & ((lead[j] == 1) | (part[i] <= 0))
+            i, j = i[ok], j[ok]
+            apart = np.zeros(len(i), np.int64)
+            for p in parity:
+                # of signed numbers bitwise_count takes the absolute value
+                for bits in p.view(np.uint64).T:
+                    apart += np.bitwise_count(bits[i] ^ bits[j])
+                near = apart * (1 + similarity) <= (n[i] + n[j]) * (1 - similarity) + 1e-6
+                i, j, apart = i[near], j[near], apart[near]
+            both = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), apart], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2], pa.int32())], names=["u", "v", "apart"])
             at = to
 
 
 def _crowd_pairs(crowd: DataFrame, rows: DataFrame, reps: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """crowd (rep, cls, n, left) -> pairs (u, v) of unlike classes whose sets share a band of min-hashes.
+    """crowd (rep, cls, n, left, parity) -> pairs (u, v) of unlike classes whose sets share a band of min-hashes and can be similar, and the bits `apart`.
 
     A bucket's largest class is dealt over parts; the rows of others go to each
-    of these, so no task gets a whole hot bucket.
+    of these. Where these are many they are cut into blocks: each block has
+    parts of its own with the largest class, and one with each block. So no
+    task gets a whole hot bucket.
     """
     spark = rows.sparkSession
 
@@ -483,19 +498,27 @@ def _crowd_pairs(crowd: DataFrame, rows: DataFrame, reps: DataFrame, width: int,
             found = [_bands(_sketched(t.as_py(), width, seed), similarity, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "keys"])
 
+    parities, crowd = crowd.select("rep", "parity"), crowd.drop("parity")
     need = crowd.select("rep").join(reps.select(F.col("same").alias("rep"), F.col("doc_id").alias("__d"), F.col("stamp").alias("__s")), "rep")
     need = bounded(materialize(need, "near-crowd-texts"))
     texts = rows.join(need, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("stamp") == F.col("__s"))).select("rep", "text").dropDuplicates(["rep"])
     bands = texts.mapInArrow(tidy(banded), "rep long, keys array<long>").join(crowd, "rep")
     keyed = materialize(bands.select(F.explode("keys").alias("key"), "rep", "cls", "n", "left"), "near-bands")
     classes = keyed.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("c"))
-    mixed = classes.groupBy("key").agg(F.max_by("cls", F.struct("c", "cls")).alias("most"), F.max("c").alias("c"), F.count(F.lit(1)).alias("unlike")).where("unlike > 1")
-    parts = F.ceil(F.col("c") / PART).cast("int")
+    mixed = classes.groupBy("key").agg(F.max_by("cls", F.struct("c", "cls")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("unlike")).where("unlike > 1")
+    parts, blocks = F.ceil(F.col("c") / PART).cast("int"), F.ceil((F.col("all") - F.col("c")) / PART).cast("int")
     leads = F.col("cls") == F.col("most")
-    dealt = F.when(leads, F.array(F.pmod(F.xxhash64("rep"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-    placed = keyed.join(mixed.select("key", "most", "c"), "key").select("key", F.explode(dealt).alias("part"), leads.cast("int").alias("lead"), "rep", "cls", "n", "left")
+    part, block = (F.pmod(F.xxhash64("rep"), x).cast("int") for x in (parts, blocks))
+    few = F.when(leads, F.array(part)).otherwise(F.sequence(F.lit(0), parts - 1))
+    # parts from 1 on: a part of the largest class and a block; below 0: two blocks, or one
+    with_lead = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: 1 + k * blocks + block)
+    with_block = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: -1 - F.least(k, block) * blocks - F.greatest(k, block))
+    many = F.when(leads, F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: 1 + part * blocks + k)).otherwise(F.concat(with_lead, with_block))
+    dealt = F.when(blocks == 1, few).otherwise(many)
+    placed = keyed.join(mixed.select("key", "most", "c", "all"), "key").select("key", F.explode(dealt).alias("part"), leads.cast("int").alias("lead"), "rep", "cls", "n", "left")
+    placed = placed.join(parities, "rep").select("key", "part", "lead", "rep", "cls", "n", "left", "parity")
     grouped = placed.repartition(shuffle_partitions(spark), "key", "part").sortWithinPartitions("key", "part")
-    return grouped.mapInArrow(tidy(lambda it: _meet_buckets(it, similarity)), "u long, v long").distinct()
+    return grouped.mapInArrow(tidy(lambda it: _meet_buckets(it, similarity)), "u long, v long, apart int").distinct()
 
 
 def _exact_links(made: DataFrame, rows: DataFrame, reps: DataFrame, parts: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
@@ -534,13 +557,14 @@ def _exact_links(made: DataFrame, rows: DataFrame, reps: DataFrame, parts: DataF
     grouped = placed.repartition(shuffle_partitions(spark), "h", "hot").sortWithinPartitions("h", "hot")
     met = materialize(grouped.mapInArrow(tidy(lambda it: _meet(it, similarity)), "u long, v long, rep long, cls long, n int, at int"), "near-met")
     crowd = met.where("rep is not null").groupBy("rep").agg(F.first("cls").alias("cls"), F.first("n").alias("n"), (F.first("n") - F.min("at")).alias("left"))
-    crowd = materialize(crowd, "near-crowd")
-    pairs = met.where("u is not null").select("u", "v").unionByName(_crowd_pairs(crowd, rows, reps, width, similarity, seed)).distinct()
+    crowd = materialize(crowd.join(reps.select(F.col("same").alias("rep"), "parity"), "rep"), "near-crowd")
+    pairs = met.where("u is not null").select("u", "v").distinct()
     a = reps.select(F.col("same").alias("u"), F.col("parity").alias("pu"), F.col("n").alias("nu"))
     b = reps.select(F.col("same").alias("v"), F.col("parity").alias("pv"), F.col("n").alias("nv"))
     apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, k: acc + k)
     near = F.col("apart") * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6
-    return pairs.join(a, "u").join(b, "v").withColumn("apart", apart).where(near).select("u", "v", "apart")
+    pairs = pairs.join(a, "u").join(b, "v").withColumn("apart", apart).where(near).select("u", "v", "apart")
+    return pairs.unionByName(_crowd_pairs(crowd, rows, reps, width, similarity, seed)).distinct()
 
 
 def _near_nodes(docs: DataFrame, text: str, width: int, similarity: float, bits: int, seed: int) -> DataFrame:

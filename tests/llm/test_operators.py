@@ -355,6 +355,58 @@ def test_a_crowd_of_unlike_documents_costs_no_square():
         assert set(simhash._bands(a, 0.8, 7).tolist()) & set(simhash._bands(other, 0.8, 7).tolist())
 
 
+def test_near_copies_that_are_too_unlike_leave_no_square():
+    """Edits of one text share a band with each other: of those below the least similarity no pairs leave a task, others are all there."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 140, dtype=np.uint64) * np.uint64(2)
+    left = []
+    for size in (150, 300):
+        sets = []
+        for _ in range(size):
+            gone = rng.choice(140, 13, replace=False)
+            sets.append(np.unique(np.concatenate([np.delete(base, gone), rng.integers(0, 1 << 63, 13, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])))
+        # the last ones are near one each
+        for x in sets[:20]:
+            sets.append(np.unique(np.concatenate([x[3:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])))
+        names = ["key", "part", "lead", "rep", "cls", "n", "left", "parity"]
+        rows = [(9, 0, int(i == 0), i, i, len(x), len(x), simhash._parity(x).tolist()) for i, x in enumerate(sets)]
+        batches = pa.table({c: list(x) for c, x in zip(names, zip(*rows))}).to_batches(max_chunksize=64)
+        got = [r for b in simhash._meet_buckets(batches, 0.8) for r in b.to_pylist()]
+        similar = {}
+        for u, v in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[u], sets[v]))
+            if both >= 0.8 * (len(sets[u]) + len(sets[v]) - both):
+                similar[u, v] = len(sets[u]) + len(sets[v]) - 2 * both
+        pairs = {(r["u"], r["v"]): r["apart"] for r in got}
+        assert len(similar) >= 20 and set(similar) <= set(pairs) and all(pairs[p] <= similar[p] for p in similar)
+        left.append(len(pairs) - len(similar))
+        assert left[-1] < size * size // 20
+        parities = [simhash._parity(x).view(np.uint64) for x in sets]
+        assert all(a == int(np.bitwise_count(parities[u] ^ parities[v]).sum()) for (u, v), a in pairs.items())
+
+
+def test_hot_buckets_of_unlike_rows_are_dealt_by_blocks(spark, monkeypatch):
+    """Many classes of one bucket meet block by block: each pair in some part, and no part holds more than two blocks and some of the largest class."""
+    monkeypatch.setattr(simhash, "PART", 8)
+    monkeypatch.setattr(simhash, "_bands", lambda h, similarity, seed: np.array([5]))
+    sizes = []
+    meet = simhash._meet_buckets
+
+    def seen(batches, similarity):
+        batches = list(batches)
+        for b in batches:
+            sizes.extend(Counter(zip(b.column(0).to_pylist(), b.column(1).to_pylist())).values())
+        yield from meet(iter(batches), similarity)
+        assert max(sizes, default=0) <= 40
+
+    monkeypatch.setattr(simhash, "_meet_buckets", seen)
+    reps = spark.createDataFrame([(i, i, 0, [0] * 16) for i in range(60)], "same long, doc_id long, stamp long, parity array<long>")
+    rows = spark.createDataFrame([(i, 0, f"t{i}") for i in range(60)], "doc_id long, stamp long, text string")
+    crowd = spark.createDataFrame([(i, max(i, 20), 10, 10, [0] * 16) for i in range(60)], "rep long, cls long, n int, left int, parity array<long>")
+    got = sorted((r.u, r.v) for r in simhash._crowd_pairs(crowd, rows, reps, 5, 0.8, 7).collect())
+    assert got == [(u, v) for u, v in itertools.combinations(range(60), 2) if v > 20]
+
+
 def test_personal_data_spans():
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
