@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df's rows dealt evenly over tasks, several a core: small files of keys make one task, whatever each row costs later."""
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(tasks(df.sparkSession))
+
+
+def tasks(spark: SparkSession) -> int:
+    """How many tasks long work is dealt over."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def expanded(pairs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .._store import expanded, stored
 
 
-def _point_key(x: Column, y: Column) -> Column:
+def point_key(x: Column, y: Column) -> Column:
     """The endpoint with nine decimals, without the sign of a zero."""
     return F.format_string("%.9f,%.9f", x + 0.0, y + 0.0)
 
@@ -18,7 +18,7 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     nxt = F.concat(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), F.slice("points", 1, 1))
     e = rings.select("territory", "part", "ring", F.posexplode(F.arrays_zip(F.col("points").alias("a"), nxt.alias("b"))).alias("seq", "e"))
     e = e.select("territory", "part", "ring", "seq", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
-    a, b = _point_key(F.col("ax"), F.col("ay")), _point_key(F.col("bx"), F.col("by"))
+    a, b = point_key(F.col("ax"), F.col("ay")), point_key(F.col("bx"), F.col("by"))
     return e.withColumn("edge", F.concat_ws(";", F.least(a, b), F.greatest(a, b)))
 
 

@@ -1,7 +1,8 @@
 """Levels of detail in one plan: thinning with shared borders, repair, holes, accounts.
 
-All levels share the one join that finds fixed vertices; a row then stands for a
-ring at a level. Rings that thinning made cross are rebuilt by the overlay. Holes
+All levels share the one shuffle that finds fixed vertices. A small territory is then
+one row, from which `wholes` tells all levels without a join; of large ones a row stands
+for a ring at a level. Rings that thinning made cross are rebuilt by the overlay. Holes
 that the source never had are taken out of the geometry. What became of parts and
 holes is read off the areas that source and output share, by triangles, so the ledger
 describes the geometry it comes with.
@@ -14,9 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .._store import stored
-from ..functions.rings import polygon_area, signed_area
-from . import account, mesh, overlay
+from .._store import stored, tasks
+from ..functions.rings import RING, polygon_area, signed_area
+from . import account, mesh, overlay, wholes
 
 #: Tolerances in degrees by level (fixed values).
 TOLERANCES = {"high": 5e-5, "medium": 5e-4, "low": 2.5e-3}
@@ -42,7 +43,10 @@ def _key() -> Column:
 
 def thinned(rings: DataFrame, tolerances: dict[str, float]) -> DataFrame:
     """lod, territory, part, ring, points of rings (territory, part, ring, points: open) at every level; rings without area, and holes of exteriors without area, are gone."""
-    thin = mesh.thin_levels(rings, tolerances)
+    return _alive(mesh.thin_levels(rings, tolerances))
+
+
+def _alive(thin: DataFrame) -> DataFrame:
     alive = thin.where((F.size("points") >= 3) & (signed_area(F.col("points")) != 0))
     shells = alive.where("ring = 0").select("lod", "territory", "part")
     return alive.join(shells, ["lod", "territory", "part"], "left_semi")
@@ -107,11 +111,48 @@ def simplify_levels(rings: DataFrame, tolerances: dict[str, float] = TOLERANCES,
     hole_events have them, a dropped hole's ground counted once. accounts: the
     columns of account.budget_violations. missing: lod, territory of territories
     without a part; `require_all` makes these an error.
+
+    Small territories are one row each and need no join. Large ones, and levels of
+    others whose thinned rings are not clearly sound, go by joins.
     """
-    names = F.array(*[F.lit(x) for x in tolerances])
+    source = stored(rings.select("territory", "part", "ring", "points"), "level-source")
+    fixed = mesh.fixed_vertices(source)
+    large = stored(source.groupBy("territory").agg(F.sum(F.size("points")).alias("n")).where(F.col("n") > wholes.SMALL).select("territory"), "large-territories")
+    some = not large.isEmpty()
+    few = source.join(large, "territory", "left_anti") if some else source
+    whole = stored(_whole(few, fixed, tolerances, quantum), "whole-levels")
+    left = whole.where(~F.col("sound"))
+    done = whole.where("sound")
+    of_whole = lambda column: done.select("lod", "territory", F.inline(column))
+    gone = lambda made: F.size(made) == 0
+    made = Levels(of_whole("rings"), of_whole("events"), done.select("lod", "territory", "account.*"), done.where(gone("rings")).select("lod", "territory"))
+    keys, thin = left.select("lod", "territory"), left.select("lod", "territory", F.inline("rings"))
+    if some:
+        keys = keys.unionByName(large.select(F.explode(F.array(*[F.lit(x) for x in tolerances])).alias("lod"), "territory"))
+        big = lambda df: df.join(large, "territory", "left_semi")
+        thin = thin.unionByName(_alive(mesh.thin_levels(big(source), tolerances, big(fixed))))
+    elif left.isEmpty():
+        return made
+    rest = _by_joins(source.join(keys.hint("merge"), "territory").select("lod", *source.columns), thin, quantum)
+    both = [a.unionByName(b) for a, b in zip((made.rings, made.events, made.accounts, made.missing), (rest.rings, rest.events, rest.accounts, rest.missing))]
+    return Levels(*both)
+
+
+def _whole(rings: DataFrame, fixed: DataFrame, tolerances: dict[str, float], quantum: float) -> DataFrame:
+    """Rows of wholes.SCHEMA of rings (territory, part, ring, points) of small territories; fixed: mesh.fixed_vertices of all rings."""
+    n = tasks(rings.sparkSession)
+    of = lambda df, column, *names: df.repartition(n, "territory").groupBy("territory").agg(F.array_sort(F.collect_list(F.struct(*names))).alias(column))
+    rows = of(rings, "r", F.col("part").cast("int").alias("part"), F.col("ring").cast("int").alias("ring"), F.coalesce("points", F.array().cast(RING)).alias("points"))
+    marks = of(fixed, "f", F.col("part").cast("int").alias("part"), F.col("ring").cast("int").alias("ring"), "seq")
+    rows = rows.join(marks.hint("merge"), "territory", "left").select("territory", "r", "f")
+    return rows.mapInArrow(lambda batches: wholes.whole_levels(batches, tolerances, quantum), wholes.WHOLE)
+
+
+def _by_joins(rings: DataFrame, thin: DataFrame, quantum: float) -> Levels:
+    """Levels of rings (lod, territory, part, ring, points) and what thinning left of them, for rings and parts of any number."""
     whole = F.to_json(_key()).alias("territory")  # one text a level and territory
-    source = stored(rings.withColumn("lod", F.explode(names)).select(whole, "part", "ring", "points"), "level-source")
-    made = repaired(stored(thinned(rings, tolerances), "level-thin"), quantum)
+    source = stored(rings.select(whole, "part", "ring", "points"), "level-source")
+    made = repaired(stored(thin, "level-thin"), quantum)
     output, holes, dropped = resolve_holes(stored(made.select(whole, "part", "ring", "points"), "level-output"), source)
     output = stored(output, "level-rings")
     src, out = stored(_parts(source), "source-parts"), stored(_parts(output), "output-parts")

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._store import expanded, spread, stored
@@ -334,8 +334,6 @@ def part_owners(built: DataFrame) -> DataFrame:
     comes from running sums; each vertex number then takes the last start at or
     before it, in one pass over starts and vertices in order.
     """
-    from pyspark.sql import Window
-
     per = built.select("territory", "part", F.size(F.flatten("rings")).alias("n"), "triangles", F.floor(F.size("triangles") / 3).alias("t"))
     before = Window.partitionBy("territory").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("first", F.coalesce(F.sum("t").over(before), F.lit(0)))
@@ -479,7 +477,7 @@ def _thin(points: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def _arc(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """One arc thinned in the direction that both of its rings agree on."""
+    """Which points of one arc stay, thinned in the direction that both of its rings agree on."""
     back = tuple(points[-1]) < tuple(points[0]) or (tuple(points[-1]) == tuple(points[0]) and tuple(points[-2]) < tuple(points[1]))
     line = points[::-1] if back else points
     if len(line) > 3 and (line[0] == line[-1]).all():
@@ -487,48 +485,70 @@ def _arc(points: np.ndarray, tolerance: float) -> np.ndarray:
         keep = np.concatenate([_thin(line[: far + 1], tolerance), _thin(line[far:], tolerance)[1:]])
     else:
         keep = _thin(line, tolerance)
-    out = line[keep]
-    return out[::-1] if back else out
+    return keep[::-1] if back else keep
 
 
-def simplify_ring(points: np.ndarray, fixed: np.ndarray, tolerance: float) -> np.ndarray:
-    """An open ring with its arcs between fixed vertices thinned; without any it starts at its least vertex."""
+def kept_of_ring(points: np.ndarray, fixed: np.ndarray, tolerance: float) -> np.ndarray:
+    """The numbers, in order, of the vertices that stay of an open ring with its arcs between fixed vertices thinned; without any it starts at its least vertex."""
     at = np.flatnonzero(fixed)
     if not len(at):
         at = np.array([min(range(len(points)), key=lambda k: tuple(points[k]))])
-    ring = np.concatenate([np.roll(points, -at[0], axis=0), points[at[0]][None]])
+    order = np.arange(at[0], at[0] + len(points) + 1) % len(points)
+    ring = points[order]
     cuts = [*(at - at[0]).tolist(), len(points)]
-    return np.concatenate([_arc(ring[s : e + 1], tolerance)[:-1] for s, e in zip(cuts, cuts[1:])])
+    return np.concatenate([order[s:e][_arc(ring[s : e + 1], tolerance)[:-1]] for s, e in zip(cuts, cuts[1:])])
 
 
-def thin_levels(rings: DataFrame, tolerances: dict[str, float]) -> DataFrame:
+def simplify_ring(points: np.ndarray, fixed: np.ndarray, tolerance: float) -> np.ndarray:
+    """An open ring with its arcs between fixed vertices thinned."""
+    return points[kept_of_ring(points, fixed, tolerance)]
+
+
+def fixed_vertices(rings: DataFrame) -> DataFrame:
+    """territory, part, ring, seq of vertices that the union of all borders does not simply pass through: they have other than two neighbours.
+
+    All corners at a vertex meet in one shuffle, and only those of fixed vertices leave it.
+    """
+    n = F.size("points")
+    before, after = F.concat(F.slice("points", n, F.lit(1)), F.slice("points", F.lit(1), n - 1)), F.concat(F.slice("points", F.lit(2), n - 1), F.slice("points", 1, 1))
+    corners = rings.where(n > 0).select("territory", "part", "ring", F.posexplode(F.arrays_zip(F.col("points").alias("p"), before.alias("a"), after.alias("b"))).alias("seq", "c"))
+    key = lambda end: E.point_key(F.col(f"c.{end}.x"), F.col(f"c.{end}.y"))
+    corners = corners.select("territory", "part", "ring", "seq", F.col("c.p.x").alias("x"), F.col("c.p.y").alias("y"), key("a").alias("a"), key("b").alias("b"))
+    corners = corners.select("territory", "part", "ring", "seq", "x", "y", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    here = Window.partitionBy("x", "y")
+    held = corners.withColumns({"least": F.min("low").over(here), "most": F.max("high").over(here)})
+    # two neighbours: the least and the greatest of all, and no other
+    two = (F.col("least") < F.col("most")) & F.col("low").isin(F.col("least"), F.col("most")) & F.col("high").isin(F.col("least"), F.col("most"))
+    return held.withColumn("passes", F.min(two).over(here)).where(~F.col("passes")).select("territory", "part", "ring", "seq")
+
+
+def thin_levels(rings: DataFrame, tolerances: dict[str, float], fixed: DataFrame | None = None) -> DataFrame:
     """lod, territory, part, ring, points: rings (territory, part, ring, points: open) thinned to each tolerance so that shared borders stay shared.
 
     A vertex where the union of all borders does not simply pass through (other
     than two neighbours) is fixed. Between fixed vertices, rings that share a
     border hold the same points, and each thins them in the same direction: the
-    results are identical without ever meeting. The one join is by vertex, for
-    all levels together. Rings may be left with fewer than three vertices.
+    results are identical without ever meeting. Rings may be left with fewer than
+    three vertices. fixed: fixed_vertices, if rings are not all that there are.
     """
-    e = E.ring_edges(rings)
-    ends = e.select(F.col("ax").alias("x"), F.col("ay").alias("y"), "edge").unionByName(e.select(F.col("bx").alias("x"), F.col("by").alias("y"), "edge")).distinct()
-    fixed = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select("x", "y", F.lit(True).alias("fixed"))
-    verts = rings.select("territory", "part", "ring", F.posexplode("points").alias("seq", "p")).select("territory", "part", "ring", "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    marked = verts.join(fixed.hint("merge"), ["x", "y"], "left").groupBy("territory", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", F.coalesce("fixed", F.lit(False)).alias("fixed")))).alias("v"))
+    fixed = fixed_vertices(rings) if fixed is None else fixed
+    marks = fixed.groupBy("territory", "part", "ring").agg(F.collect_list("seq").alias("f"))
+    marked = rings.where(F.size("points") > 0).join(marks.hint("merge"), ["territory", "part", "ring"], "left")
 
     def run(batches):
         kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
         for b in batches:
             cols = [[] for _ in range(5)]
-            for t, p, r, v in zip(*(c.to_pylist() for c in b.columns)):
-                points, held = np.array([(q["x"], q["y"]) for q in v]), np.array([q["fixed"] for q in v])
+            for t, p, r, v, f in zip(*(c.to_pylist() for c in b.columns)):
+                points, held = np.array([(q["x"], q["y"]) for q in v]), np.zeros(len(v), bool)
+                held[f or []] = True
                 for lod, tolerance in tolerances.items():
                     got = simplify_ring(points, held, tolerance)
                     for c, x in zip(cols, (lod, t, p, r, [{"x": x, "y": y} for x, y in got.tolist()])):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), kind))], names=["lod", "territory", "part", "ring", "points"])
 
-    rows = marked.select(F.col("territory").cast("string"), F.col("part").cast("int"), F.col("ring").cast("int"), "v")
+    rows = marked.select(F.col("territory").cast("string"), F.col("part").cast("int"), F.col("ring").cast("int"), "points", "f")
     return spread(rows).mapInArrow(run, "lod string, territory string, part int, ring int, points array<struct<x:double,y:double>>")
 
 
